@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import extension, norm_id, norm_path
+from codeloom.shipping import ship
 
 #: Extensions of source files and their languages.
 SOURCE_LANGUAGES = {"py": "python", "ts": "typescript", "js": "javascript", "cs": "c_sharp"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -40,3 +42,9 @@ def source_documents(documents: DataFrame, files: DataFrame) -> DataFrame:
     paths = file_paths(files).withColumn("ext", extension(F.col("path"))).where(F.col("ext").isin(*SOURCE_LANGUAGES))
     keyed = documents.where("text is not null").withColumn("fid", norm_id("file_id"))
     return keyed.join(paths, "fid").withColumn("code_language", langs[F.col("ext")])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores is dealt out over all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
