@@ -11,12 +11,6 @@ from pyspark.sql import DataFrame
 from codeloom.llm.bpe import blocks, encoder, vocabulary_path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than the cluster has cores is dealt out over all of them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
-
-
 def vocabulary(df: DataFrame, folder: str | None = None):
     """The vocabulary file (under 1 MB) as a broadcast variable, so that executors need no copy on disk."""
     with open(vocabulary_path(folder=folder), "rb") as f:

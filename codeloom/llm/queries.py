@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import canonical, encode, packing
-from codeloom.tables import table
+from codeloom.llm import canonical, docpairs, encode, packing, syntax
+from codeloom.tables import spread, table
 
 
 def _documents(f):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return f(encode.spread(table(spark, folder, "documents")))
+        return f(spread(table(spark, folder, "documents")))
+
+    return run
+
+
+def _tables(f, *names):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return f(*[spread(table(spark, folder, n)) if n == "documents" else table(spark, folder, n) for n in names])
 
     return run
 
 
 QUERIES = {
+    "p1_found": _tables(docpairs.p1_found, "documents", "files", "parsed_symbols"),
+    "p1_pairs": _tables(docpairs.p1_pairs, "documents", "files", "parsed_symbols"),
+    "p4_found": _tables(syntax.p4_found, "documents", "files"),
+    "p4_rates": _tables(syntax.p4_rates, "documents", "files"),
     "p8_ids": _documents(encode.encode),
     "p8_offsets": _documents(lambda d: encode.encode(d, offsets=True)),
     "p9_packing": _documents(packing.p9_packing),
