@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import canonical, docpairs, encode, packing, syntax
+from codeloom.llm import canonical, docpairs, encode, handwritten, packing, syntax
 from codeloom.tables import spread, table
 
 
@@ -27,6 +27,8 @@ QUERIES = {
     "p1_pairs": _tables(docpairs.p1_pairs, "documents", "files", "parsed_symbols"),
     "p4_found": _tables(syntax.p4_found, "documents", "files"),
     "p4_rates": _tables(syntax.p4_rates, "documents", "files"),
+    "p6_found": _tables(handwritten.p6_found, "documents", "files"),
+    "p6_reasons": _tables(handwritten.p6_reasons, "documents", "files"),
     "p8_ids": _documents(encode.encode),
     "p8_offsets": _documents(lambda d: encode.encode(d, offsets=True)),
     "p9_packing": _documents(packing.p9_packing),
