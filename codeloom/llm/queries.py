@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import canonical, docpairs, encode, handwritten, packing, syntax
+from codeloom.llm import canonical, docpairs, encode, handwritten, packing, secrets, syntax
 from codeloom.tables import spread, table
 
 
@@ -29,6 +29,9 @@ QUERIES = {
     "p4_rates": _tables(syntax.p4_rates, "documents", "files"),
     "p6_found": _tables(handwritten.p6_found, "documents", "files"),
     "p6_reasons": _tables(handwritten.p6_reasons, "documents", "files"),
+    "p7_found": _tables(secrets.p7_found, "documents", "risks"),
+    "p7_redacted": _documents(secrets.p7_redacted),
+    "p7_redacted_risks": _tables(secrets.p7_redacted_risks, "risks"),
     "p8_ids": _documents(encode.encode),
     "p8_offsets": _documents(lambda d: encode.encode(d, offsets=True)),
     "p9_packing": _documents(packing.p9_packing),
