@@ -30,7 +30,12 @@ CODE_KINDS = frozenset("license licence access auth activation security recovery
 OTHER_MEANING = frozenset("public endpoint url uri host path file filename name field header id ids type length len min max size ttl expiry expires count limit policy param label placeholder regex pattern sha1 sha256 sha512 md5 checksum digest hash integrity commit revision etag version format prefix column attribute index env var variable input prompt hint".split())
 
 #: Substrings (lower case) of lines worth a look.
-TRIGGERS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "bearer", "basic ", "credential", "private", "://", "code", "psk", "akia", "eyj", "_live_", "sk-", "phrase", "word", "sas", "wort", "pat", "cred", "sk_", "ghp_", "xox", "p_")
+TRIGGERS = ("pass", "pw", "secret", "token", "key", "auth", "bearer", "basic ", "cred", "private", "://", "code", "psk", "akia", "eyj", "_live_", "sk-", "sk_", "phrase", "word", "sas", "wort", "pat", "ghp_", "xox", "p_")
+
+#: What a line with a credential holds at least: a digit in or a symbol within a word, or a word of changing case.
+_ODD = re.compile(r"\d[^\s\"'`]{3}|[^\s\"'`]{3}\d|[A-Za-z][!%^~*+#$&@?][^\s\"'`]|[!%^~*+#$&@?][A-Za-z]{2}|(?:[a-z]+[A-Z]+){3}")
+#: How a line ends whose literal goes on in the next.
+_GOES_ON = ('"', "'", "(", "+", "\\", "=")
 
 _NAME = r"[A-Za-z_$@][\w.$@-]*"
 _QUOTED = r"(?:[fFrRbBuU@$]{0,2})(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.){1,400})(?P=q)"
@@ -214,11 +219,11 @@ def spans(text: str, judge: Judge) -> list[tuple[int, int, int]]:
 
     for k in sorted(hits):
         start, own = line(k)
-        if k < len(ends) and (m := _NAMED.search(own)) and names_credential(m["k"]):
+        if k < len(ends) and "ame" in own and (m := _NAMED.search(own)) and names_credential(m["k"]):
             below, after = line(k + 1)
             if (v := _VALUE.match(after)) and judge.literal(v["v"]):
                 out.append((below + v.start("v"), below + v.end("v"), k + 2))
-        if k < len(ends) and (m := _OPENS.search(own)) and names_credential(m["k"]):
+        if k < len(ends) and own.rstrip().endswith(_GOES_ON) and (m := _OPENS.search(own)) and names_credential(m["k"]):
             pieces = [(start + m.start("first") + 1, m["first"][1:-1], k + 1)] if m["first"] else []
             j = k + 1
             while j <= len(ends) and j < k + 40:
@@ -232,6 +237,8 @@ def spans(text: str, judge: Judge) -> list[tuple[int, int, int]]:
             if len(pieces) > bool(m["first"]) and judge.literal("".join(p for _, p, _ in pieces)):
                 n = pieces[0][2]  # the credential begins on the line of its first piece
                 out += [(x, x + len(p), n) for x, p, _ in pieces]
+        if not _ODD.search(own):
+            continue
         a, z = (ends[k - 1] + 1 if k else 0), (ends[k] if k < len(ends) else len(text))
         for x, y in line_spans(text[a:z], judge):
             if not any(p < a + y and a + x < q for p, q, _ in out):
