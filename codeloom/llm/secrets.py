@@ -33,7 +33,7 @@ OTHER_MEANING = frozenset("public endpoint url uri host path file filename name
 TRIGGERS = ("pass", "pw", "secret", "token", "key", "auth", "bearer", "basic ", "cred", "private", "://", "code", "psk", "akia", "eyj", "_live_", "sk-", "sk_", "phrase", "word", "sas", "wort", "pat", "ghp_", "xox", "p_")
 
 #: What a line with a credential holds at least: a digit in or a symbol within a word, or a word of changing case.
-_ODD = re.compile(r"\d[^\s\"'`]{3}|[^\s\"'`]{3}\d|[A-Za-z][!%^~*+#$&@?][^\s\"'`]|[!%^~*+#$&@?][A-Za-z]{2}|(?:[a-z]+[A-Z]+){3}")
+_ODD = re.compile(r"\d[^\s\"'`]{3}|[^\s\"'`]{3}\d|[A-Za-z][!%^~*+#$&@?][^\s\"'`]|[!%^~*+#$&@?][A-Za-z]{2}|(?:[a-z]+[A-Z]+){3}|[a-z][A-Z]{2}|[A-Z]{10}")
 #: How a line ends whose literal goes on in the next.
 _GOES_ON = ('"', "'", "(", "+", "\\", "=")
 
