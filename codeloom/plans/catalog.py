@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.plans import training
+from codeloom.plans import reference, training
 
-QUERIES = {**training.QUERIES}
-SQL = {**training.SQL}
+QUERIES = {**reference.QUERIES, **training.QUERIES}
+SQL = {**reference.SQL, **training.SQL}
