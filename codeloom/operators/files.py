@@ -62,7 +62,7 @@ def is_config(path: Column) -> Column:
 
 def skip_regex(patterns: list[str] | None = None) -> str:
     """One expression for a base name; no or empty patterns mean the defaults."""
-    return "|".join(f"(?:{fnmatch.translate(p)})" for p in (patterns or SKIP_PATTERNS))
+    return "^(?:" + "|".join(f"(?:{fnmatch.translate(p)})" for p in (patterns or SKIP_PATTERNS)) + ")"
 
 
 def skip_reason(path: Column, size: Column, has_nul: Column, patterns: list[str] | None = None) -> Column:

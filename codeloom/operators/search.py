@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.lineage import cut
+
+#: Query vectors that are compared at a time.
+BLOCK = 4096
+
 
 def tokens(c: Column) -> Column:
     """Lower-case words of letters and digits of two characters or more; underscores, hyphens, dots and slashes part words."""
@@ -57,10 +63,10 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
     import numpy as np
     import pandas as pd
 
-    rows = queries.select("vec_id", "embedding").orderBy("vec_id").collect()  # a stated query set, one in a hundred of the vectors
-    out = None
-    for at in range(0, len(rows), 4096):
-        block = rows[at : at + 4096]
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = queries.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()  # a stated query set, of which the driver holds one block at a time
+    parts = []
+    while block := list(islice(rows, BLOCK)):
         ids = np.array([r[0] for r in block])
         mat = np.array([r[1] for r in block], np.float64)
         mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-12)
@@ -74,6 +80,8 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
                 yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": vid[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
 
         part = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id bigint, vec_id bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.where("query_id <> vec_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        part = part.where("query_id <> vec_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        parts.append(part if len(block) < BLOCK and not parts else cut(part))
+    if not parts:
+        return vectors.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return reduce(DataFrame.unionByName, parts)

@@ -134,7 +134,7 @@ QUERIES = {
     "call_edges": _lens(lambda k: k.calls()),
     "uses_edges": _lens(lambda k: k.uses()),
     "uses_parser": lambda s, d: relations.parser_usages(
-        table(s, d, "parsed_symbols").where("return_type is not null").select(F.col("file_id").alias("repo"), F.col("name").alias("source_symbol"), F.element_at(F.split(F.element_at("children", 1), r"\."), -1).alias("target_name")),
+        table(s, d, "parsed_symbols").where("return_type is not null").select(F.col("file_id").alias("repo"), F.col("name").alias("source_symbol"), F.element_at(F.split(F.try_element_at("children", F.lit(1)), r"\."), -1).alias("target_name")),
         table(s, d, "parsed_symbols").select(F.col("file_id").alias("repo"), "name", F.concat_ws(":", "file_id", "path").alias("symbol_id"), "ord"),
     ),
     "relation_families": _lens(_all_relations),
@@ -348,7 +348,8 @@ select symbol_id, concat_ws('. ', upper(kind[1]) || kind[2:] || ' ''' || name ||
     "summary_lookup_last_wins": f"select {_ID('target_id')} target_id, content from summaries where {_ID('target_id')} is not null qualify row_number() over (partition by {_ID('target_id')} order by ingested_at desc, ord desc) = 1",
     "glossary_pascal": f"{_C}, oc as (select repo, ord, unnest(regexp_extract_all(name, '[A-Z][a-z]+')) term from sy), og as (select repo, term, count(*) n, min(ord) \"first\" from oc where length(term) > 3 group by all) select *, row_number() over (partition by repo order by n desc, \"first\", term) rank from og qualify rank <= 15 and n >= 3",
     "glossary_paths": f"{_C}, pt as (select repo, ord, unnest(string_split(path, '/')) part from cf), oc as (select repo, ord, lower({_STEM('part')}) term from pt where part not in {_in(glossary.COMMON_SEGMENTS)}), og as (select repo, term, count(*) n, min(ord) \"first\" from oc where length(term) > 3 group by all) select *, row_number() over (partition by repo order by n desc, \"first\", term) rank from og qualify rank <= 10 and n >= 2",
-    "glossary_caps": rf"{_C}, oc as (select repo, ord, unnest(regexp_extract_all(content, '[A-Z]{{2,}}(?:_[A-Z]+)*|[\pL\pN\pM_]+')) term from cf), ok as (select * from (select repo, ord, unnest(regexp_extract_all(content, '[\pL\pN\pM_]+')) term from cf) where regexp_full_match(term, '[A-Z]{{2,}}(?:_[A-Z]+)*')), oh as (select * from ok where split_part(term, '_', 1) not in {_in(glossary.ACRONYMS + glossary.NOISE)}), og as (select repo, term, count(*) n, min(ord) \"first\" from oh group by all) select *, row_number() over (partition by repo order by n desc, \"first\", term) rank from og qualify rank <= 20 and n >= 2",
+    "glossary_caps": rf"""{_C}, ok as (select * from (select repo, ord, unnest(regexp_extract_all(content, '[\pL\pN\pM_]+')) term from cf) where regexp_full_match(term, '[A-Z]{{2,}}(?:_[A-Z]+)*')),
+oh as (select * from ok where split_part(term, '_', 1) not in {_in(glossary.ACRONYMS + glossary.NOISE)}), og as (select repo, term, count(*) n, min(ord) "first" from oh group by all) select *, row_number() over (partition by repo order by n desc, "first", term) rank from og qualify rank <= 20 and n >= 2""",
     "lexicon_hits": f"{_C}, lx as (select distinct split_part(path, '/', 2) keyword from cf where regexp_full_match(split_part(path, '/', 2), '[a-z]{{3,}}')), wd as (select file_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) keyword from cf) select file_id, keyword, count(*) n from wd join lx using (keyword) group by all",
     "file_context": _file_context(REVIEW) + _ranked(REVIEW),
     "file_context_dev": _file_context(DEV) + _ranked(DEV),
