@@ -42,7 +42,7 @@ _JS = re.compile(
     |(?P<op>=>|\.\.\.|\?\.(?!\d)|\+\+|--|===?|!==?|<=|>=(?!=)|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\*\*=|\*\*|<<=|<<|[-+*%&|^]=|[-+*%&|^<>=!~?:;,.@()\[\]{{}}])|(?P<slash>/)|(?P<tick>`)""",
     re.X,
 )
-_JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
+_JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[dgimsuvy]*(?![\w$])")
 _JS_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 _JS_OPS = {"=>": ARROW, "...": DOTS, "?.": NULLDOT, "++": INC, "--": INC, "-": "+", "~": "~", "%": BIN, "^": BIN} | {o: BIN for o in "== === != !== <= >= && || ?? ** <<".split()} | {o: ASSIGN for o in "&&= ||= ??= **= <<= -= += *= %= &= |= ^= /=".split()}
 
