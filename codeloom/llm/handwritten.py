@@ -85,10 +85,10 @@ def repetition(text: str) -> tuple[int, float]:
     """Lines with a word, and the share of them that the two most frequent shapes cover; shapes without code punctuation count for nothing."""
     shapes = Counter(x.strip() for x in _VALUE.sub("0", _WORD.sub("w", text)).split("\n"))
     n = sum(k for x, k in shapes.items() if "w" in x or "0" in x)
-    top = sum(k for x, k in shapes.most_common(6) if ("w" in x or "0" in x) and any(c in x for c in "=([{,;"))
+    top = sum(k for x, k in shapes.most_common(6) if ("w" in x or "0" in x) and ("=" in x or "(" in x))
     if top < 0.5 * n:
         return n, 0.0
-    two = sum(sorted((k for x, k in shapes.items() if ("w" in x or "0" in x) and any(c in x for c in "=([{,;")), reverse=True)[:2])
+    two = sum(sorted((k for x, k in shapes.items() if ("w" in x or "0" in x) and ("=" in x or "(" in x)), reverse=True)[:2])
     return n, two / n
 
 

@@ -69,6 +69,8 @@ _STAND_IN = re.compile(
     r"|none|null|nil|undefined|empty|unset|true|false|n/?a|todo|tbd|fixme|secret|password|passwd|token|hidden|masked|default|string|str|changeit|test|foo|bar"
 )
 _REFERENCE = re.compile(r"(?:process\.env|os\.environ|environ|getenv|env|config|settings|vault|secret(?:s|smanager)?|ssm|arn|op|ref\+\w+|keyvault|kms|sops|file|data)(?::|\.|\[|\(|/).*|.*\b(?:getenv|environ|secretsmanager|secretkeyref)\b.*|(?:https?|file|s3|gs|vault|op)://.*|[./~]{0,2}/[\w./ -]*", re.I)
+_INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
+_MIXED = re.compile(r"[a-z][A-Z]{2}|[A-Z]{2,}[a-z]+[A-Z]|(?:[a-z]+[A-Z]){3}")
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 _ADDRESS = re.compile(r"(?:[\w-]+\.)+[a-z]{2,}(?::\d+)?(?:/\S*)?|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?", re.I)
 _SUM = re.compile(r"(?:sha\d+|md5)[-:].*", re.I)
@@ -114,18 +116,25 @@ class Judge:
         """Whether a value may be a credential at all: no stand-in, reference, address, checksum, id or natural word."""
         v = value.strip()
         low = v.lower()
-        if len(v) < 5 or any(c.isspace() for c in v) or _STAND_IN.fullmatch(low) or _REFERENCE.fullmatch(v) or _UUID.fullmatch(v) or _SUM.fullmatch(v):
+        if len(v) < 5 or any(c.isspace() for c in v) or _STAND_IN.fullmatch(low) or _REFERENCE.fullmatch(v) and not (v[0] in "/." and self.random(v)) or _UUID.fullmatch(v) or _SUM.fullmatch(v):
             return False
-        if _ADDRESS.fullmatch(v) and not (v.startswith("eyJ") or self.unnatural(v) and any(c.isdigit() for c in v) and any(c.isupper() for c in v)):
+        if _ADDRESS.fullmatch(v) and not (v.startswith("eyJ") or self.random(v)):
             return False
         if "${" in v or "{{" in v or "<" in v and ">" in v or v.isdigit():
             return False
+        if _BARE.fullmatch(v):
+            return True
         odd = any(c.isdigit() or not (c.isalnum() or c in "-_./:") for c in v)
-        return odd or self.unnatural(v)
+        return odd or self.unnatural(v) or len(v) >= 8 and bool(_MIXED.search(v)) and self.per_subword(v) <= UNNATURAL
+
+    def random(self, value: str) -> bool:
+        """Unnatural, with digits and capitals."""
+        return self.unnatural(value) and any(c.isdigit() for c in value) and any(c.isupper() for c in value)
 
     def plain(self, value: str) -> bool:
         """Stricter, for values without quotes: no code."""
-        return self.literal(value) and not re.search(r"[()\[\]{}]|=>|\w\.\w+\(|^[\w.]+\.[a-z_]\w*$", value) and not re.fullmatch(r"[a-z_]+\d{0,3}|[A-Za-z]+(?:[A-Z][a-z]+)*\d{0,2}", value)
+        code = r"[()\[\]{}]|=>|\w\.\w+\(" if value.startswith("eyJ") or self.random(value) else r"[()\[\]{}]|=>|\w\.\w+\(|^[\w.]+\.[a-z_]\w*$"
+        return self.literal(value) and not re.search(code, value) and not re.fullmatch(r"[a-z_]+\d{0,3}|[A-Za-z]+(?:[A-Z][a-z]+)*\d{0,2}", value)
 
 
 def _clean(value: str) -> str:
@@ -142,10 +151,10 @@ def line_spans(line: str, judge: Judge) -> list[tuple[int, int]]:
             out.append((a, z))
 
     for m in _USERINFO.finditer(line):
-        if judge.literal(m["v"]) or not _STAND_IN.fullmatch(m["v"].lower()) and len(m["v"]) >= 5 and "{" not in m["v"] and "$" != m["v"][:1] and any(not c.isalpha() for c in m["v"]):
+        if judge.literal(m["v"]) or not _STAND_IN.fullmatch(m["v"].lower()) and len(m["v"]) >= 5 and "{" not in m["v"] and "$" != m["v"][:1] and (any(not c.isalpha() for c in m["v"]) or _MIXED.search(m["v"])):
             take(*m.span("v"))
     for m in _BARE.finditer(line):
-        if not _STAND_IN.fullmatch(m[0].lower()) and judge.unnatural(m[0]):
+        if not _STAND_IN.fullmatch(m[0].lower()) and (m[0].startswith(("eyJ", "AKIA")) or judge.unnatural(m[0])):
             take(*m.span())
     for m in _SCHEME.finditer(line):
         if judge.literal(m["v"]) and (judge.unnatural(m["v"]) or m["s"].lower() != "token" and any(c.isdigit() for c in m["v"]) and len(m["v"]) >= 16):
@@ -239,8 +248,13 @@ def spans(text: str, judge: Judge) -> list[tuple[int, int, int]]:
                 out += [(x, x + len(p), n) for x, p, _ in pieces]
         if not _ODD.search(own):
             continue
-        a, z = (ends[k - 1] + 1 if k else 0), (ends[k] if k < len(ends) else len(text))
-        for x, y in line_spans(text[a:z], judge):
+        a = start
+        if not own.isascii() and (kept := [i for i, c in enumerate(own) if c not in _INVISIBLE]) and len(kept) < len(own):
+            seen = line_spans("".join(own[i] for i in kept), judge)  # as a reader sees the line
+            places = [(kept[x], kept[y - 1] + 1) for x, y in seen]
+        else:
+            places = line_spans(own, judge)
+        for x, y in places:
             if not any(p < a + y and a + x < q for p, q, _ in out):
                 out.append((a + x, a + y, k + 1))
     return sorted(out)
