@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import conventions, files, glossary, relations, retrieval, risks, search, summaries
 from codeloom.operators.profiles import DEFAULTS
+from codeloom.parse import extract
 from codeloom.plans import lens
 from codeloom.tables import table
 
@@ -161,6 +162,9 @@ QUERIES = {
     "neighbour_expand": _stored(_neighbours),
     "neighbour_graph": _graph,
     "relation_dedup": lambda s, d: relations.dedup(table(s, d, "relations").select("source_id", "relation_type", "target_id", "ord", "confidence")),
+    "extracted_symbols": _lens(lambda k: extract.symbol_rows(extract.extract(k.sources)).select("file_id", "path", "hash", "ordinal", "name", "kind", "line_start", "line_end", "visibility", "parameters")),
+    "extracted_imports": _lens(lambda k: extract.import_rows(extract.extract(k.sources))),
+    "extracted_calls": _lens(lambda k: extract.call_rows(extract.extract(k.sources))),
     "ext_dense_topk": lambda s, d: search.dense_search(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id % 100 = 0")),
 }
 
