@@ -125,7 +125,7 @@ def extract_tokens(text: str, lang: str) -> tuple[list, list, list]:
     found = definitions(text, lang, lexed, lines)
     heads = {(d.line, d.name) for d in found}
     for d in found:
-        owner = next((o for a, z, o in sorted(owners, key=lambda o: o[1] - o[0]) if a < d.line <= z), None) if d.kind == "method" else None
+        owner = next((o for a, z, o in sorted(owners, key=lambda o: o[1] - o[0]) if a <= d.line <= z), None) if d.kind == "method" else None
         first = rows[d.line - 1] if d.line <= len(rows) else ""
         seen = next((v for v in ("public", "private", "protected", "internal") if f"{v} " in first), "private" if lang == "c_sharp" else "public")
         symbols.append(_symbol(rows, d.name, d.kind, f"{owner}.{d.name}" if owner else d.name, d.line, d.end, visibility=seen, is_async="async " in first, is_static="static " in first, parameters=d.parameters))

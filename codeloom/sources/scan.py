@@ -13,7 +13,8 @@ def scan_repository(spark: SparkSession, root: str, repo: str, patterns: list[st
     """(file_id, repo, path, size, hash, language, flags, content, skip_reason, ord) of the files under root.
 
     Skipped files keep their reason and have no text. The hash is that of the raw bytes; texts are read as UTF-8 with replacement characters for malformed bytes and \\n as line
-    end. The length filter reaches the scan, so that large files are listed but not read into rows. An empty folder gives no rows; ord follows the path.
+    end. The length filter reaches the scan, so that large files are listed but not read into rows. An empty folder gives no rows; Spark's reader leaves out files
+    of no bytes.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = F.lit("file:" + root.rstrip("/") + "/") if "://" not in root else F.lit(root.rstrip("/") + "/")
