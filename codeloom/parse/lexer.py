@@ -48,7 +48,7 @@ _JS_OPS = {"=>": ARROW, "...": DOTS, "?.": NULLDOT, "++": INC, "--": INC, "-": "
 
 _CS = re.compile(
     r"""(?P<skip>[\s﻿]+|//[^\n\r]*|/\*(?:[^*]|\*(?!/))*\*/|(?<!\S)\#[ \t]*(?:if|elif|else|endif|define|undef|region|endregion|pragma|nullable|line|error|warning)\b[^\n]*)
-    |(?P<raw>\$*\"{3,})|(?P<verb>@"(?:[^"]|"")*"(?:u8)?)|(?P<interp>\$@"|@\$"|\$")
+    |(?P<raw>\$*\"{3,})|(?P<verb>@"(?:[^"]|"")*+"(?:u8)?)|(?P<interp>\$@"|@\$"|\$")
     |(?P<id>@?[^\W\d]\w*)
     |(?P<num>(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*(?:\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)(?:[uUlLfFdDmM]{0,2})(?!\w))
     |(?P<str>"(?:[^"\\\n\r]|\\.)*"(?:u8)?|'(?:\\(?:u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|x[0-9a-fA-F]{1,4}|[^\n\r])|[^'\\\n\r])')
@@ -80,7 +80,7 @@ def lex(text: str, lang: str) -> Lexed:
 
 
 def _open_state(text: str, pos: int, holes: list) -> str:
-    state = "comment" if text.startswith("/*", pos) else "verbatim" if text.startswith('@"', pos) else "error"
+    state = "verbatim" if text.startswith('@"', pos) else "error"
     return "nested" if holes and state != "error" else state
 
 
@@ -137,6 +137,8 @@ def _lex_js(text: str) -> Lexed:
         elif kind == "priv":
             code = PRIV
         elif kind == "slash":
+            if text.startswith("/*", pos):
+                return Lexed(tokens, comments, "nested" if holes else "comment")
             if prev in _ENDS:
                 code = BIN
                 if text[end : end + 1] == "=":
@@ -204,6 +206,8 @@ def _lex_cs(text: str) -> Lexed:
         if kind == "id":
             code = words.get(m.group(), ID)
         elif kind == "op":
+            if text.startswith("/*", pos):
+                return Lexed(tokens, comments, "nested" if holes else "comment")
             o = m.group()
             code = _CS_OPS.get(o, o)
             if o in "([{":
