@@ -77,7 +77,8 @@ def chunk_map(chunk: str, lang: str) -> dict[str, tuple[str, str | None]]:
             codes[:1] = ["`"] if codes[0] == TEMPLATE else []
         elif state == "hole":
             codes = codes[2:]
-        out[state] = (lexed.state, None if lexed.state == "error" else grammar(lang).reduce(codes))
+        summary = grammar(lang).reduce(codes) if lexed.state not in ("error", "nested") else None
+        out[state] = (lexed.state if summary is not None or lexed.state == "nested" else "error", summary)
     return out
 
 
@@ -86,14 +87,15 @@ def compose(a: dict, b: dict, lang: str) -> dict:
     out = {}
     for state, (mid, left) in a.items():
         if left is None or mid not in b:
-            out[state] = (mid if left is not None else "error", None)
+            out[state] = ("error", None) if left is None and mid != "nested" else ("nested", None)
             continue
         end, right = b[mid]
-        if right is None:
+        if right is None or end == "nested":
             out[state] = (end, None)
             continue
         line = LINE if lang != "c_sharp" and mid in ("", "hole") and left and right and right[0] in _LINE_STARTS and (left[-1] in _LINE_ENDS or left[-1] == END) else ""
-        out[state] = (end, grammar(lang).reduce(left + line + right))
+        both = grammar(lang).reduce(left + line + right)
+        out[state] = ("error", None) if both is None else (end, both)
     return out
 
 
