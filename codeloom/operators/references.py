@@ -1,21 +1,22 @@
 """References to records that do not exist (problem 3).
 
 A reference is a composite key (kind of record, id, snapshot) in which the kind may be unknown and the snapshot may be null. References are
-grouped by the mask of the columns that are null, and each mask is anti-joined to the records on its non-null columns only, under the match
+grouped by the mask of the columns that are null, and each mask is anti-joined to the records on its non-null columns only (all masks in one join, as the mask is part of the key), under the match
 semantics declared here: an unknown kind matches records of any kind; a null snapshot matches no delivery, only the id as such.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import norm_id
 
-KINDS = {"file": "file", "symbol": "symbol"}
+KINDS = ("file", "symbol")
+#: Stands for the kind in the keys of masks that have none.
+ANY = "*"
 
 
 def kind_of(c: str) -> Column:
@@ -54,25 +55,18 @@ def orphans(refs: DataFrame, recs: DataFrame) -> DataFrame:
     missing: no record of that kind has the id; deleted: some have, none in the snapshot of the reference (so always where that is null); late:
     all of those in the snapshot arrived after the reference. A reference of unknown arrival time comes before no record; a record of unknown
     arrival time is known to precede nothing. Repeated rows give repeated references with their own ord. Empty tables: everything is missing.
-    A hot id makes a skewed left side, which adaptive execution splits; records hold one row per key, so no join multiplies rows.
+
+    All masks are served by one pass: records stand once under their kind and once under ANY, the key of the masks without a kind, and a null snapshot meets no
+    record. A hot id makes a skewed left side, which adaptive execution splits; records hold one row per key, so no join multiplies rows.
     """
-    out = []
-    for has_kind, has_snap in product((True, False), (True, False)):
-        mask = (F.col("kind").isNotNull() if has_kind else F.col("kind").isNull()) & (F.col("snap").isNotNull() if has_snap else F.col("snap").isNull())
-        part = refs.where(mask)
-        id_key = ["kind", "id"] if has_kind else ["id"]
-        part = part if has_kind else part.drop("kind")
-        if has_snap:
-            key = [*id_key, "snap"]
-            here = recs.where("snap is not null").groupBy(*key).agg(F.min(F.struct(F.col("came").isNull(), "came")).getField("came").alias("came"))
-            met = part.join(here.withColumn("here", F.lit(True)), key, "left")
-            late = met.where(F.expr("here and coalesce(came > seen, came is null)")).withColumn("reason", F.lit("late"))
-            out.append(late.select("table_name", "ref_field", "ord", "seen", "reason"))
-            part = met.where("here is null")
-        known = recs.select(*id_key).distinct().withColumn("known", F.lit(True))
-        part = part.join(known, id_key, "left").withColumn("reason", F.when(F.col("known"), "deleted").otherwise("missing"))
-        out.append(part.select("table_name", "ref_field", "ord", "seen", "reason"))
-    return reduce(DataFrame.unionByName, out)
+    masked = refs.withColumn("kind", F.coalesce("kind", F.lit(ANY)))
+    keyed = recs.withColumn("kind", F.explode(F.array("kind", F.lit(ANY))))
+    here = keyed.where("snap is not null").groupBy("kind", "id", "snap").agg(F.min(F.struct(F.col("came").isNull(), "came")).getField("came").alias("came"))
+    met = masked.join(here.withColumn("here", F.lit(True)), ["kind", "id", "snap"], "left")
+    bad = met.where(F.expr("here is null or coalesce(came > seen, came is null)")).select("table_name", "ref_field", "ord", "seen", "kind", "id", "here")
+    known = keyed.select("kind", "id").distinct().withColumn("known", F.lit(True))
+    reason = F.when(F.col("here"), "late").when(F.col("known"), "deleted").otherwise("missing")
+    return bad.join(known, ["kind", "id"], "left").select("table_name", "ref_field", "ord", "seen", reason.alias("reason"))
 
 
 def p3_found(files: DataFrame, symbols: DataFrame, relations: DataFrame, summaries: DataFrame) -> DataFrame:
