@@ -37,17 +37,17 @@ _ODD = re.compile(r"\d[^\s\"'`]{3}|[^\s\"'`]{3}\d|[A-Za-z][!%^~*+#$&@?][^\s\"'`]
 #: How a line ends whose literal goes on in the next.
 _GOES_ON = ('"', "'", "(", "+", "\\", "=")
 
-_NAME = r"[A-Za-z_$@][\w.$@-]*"
+_NAME = r"(?<![\w$@])[A-Za-z_$@][\w.$@-]{0,80}"
 _QUOTED = r"(?:[fFrRbBuU@$]{0,2})(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.){1,400})(?P=q)"
 #: A name, an optional type, and a quoted value; between them calls that read a setting with a default.
-_ASSIGN = re.compile(rf"[\"'`]?(?P<k>{_NAME}(?: {_NAME}){{0,2}}?)[\"'`]?\]?\s*(?::\s*[\w.<>\[\]|? ]+?\s*)?(?:=>|:=|={{1,3}}|:)\s*(?:(?:[\w.]+\s*\([^()\n]*?,\s*(?:default\s*=\s*)?)|(?:[\w.]+(?:\([^()\n]*\)|\[[^\]\n]*\])?[\w.]*\s*(?:\|\||\?\?|\bor\b)\s*))?(?:\(\s*)?{_QUOTED}")
+_ASSIGN = re.compile(rf"[\"'`]?(?P<k>{_NAME}(?: {_NAME}){{0,2}}?)[\"'`]?\]?\s*(?::\s*[\w.<>\[\]|? ]{{1,80}}?\s*)?(?:=>|:=|={{1,3}}|:)\s*(?:(?:[\w.]{{1,80}}\s*\([^()\n]{{0,200}}?,\s*(?:default\s*=\s*)?)|(?:[\w.]{{1,80}}(?:\([^()\n]{{0,200}}\)|\[[^\]\n]{{0,200}}\])?[\w.]{{0,80}}\s*(?:\|\||\?\?|\bor\b)\s*))?(?:\(\s*)?{_QUOTED}")
 _XML = re.compile(r"(?:key|name)\s*=\s*([\"'])(?P<k>[^\"'\n]+)\1\s+value\s*=\s*([\"'])(?P<v>[^\"'\n]*)\3|<(?P<k2>[A-Za-z][\w.-]*)>(?P<v2>[^<>\n]+)</(?P=k2)>", re.I)
 _PLAIN = re.compile(rf"(?:^|(?<=[\s;:?&#/*\"'`(,{{]))(?:export\s+)?-{{0,2}}(?P<k>{_NAME}(?: {_NAME})?)\s*(?:=|:\s)\s*(?P<v>[^\s\"'`]+)")
 _FLAG = re.compile(rf"--(?P<k>{_NAME})[= ](?P<v>[^\s\"'`]+)")
-_SPOKEN = re.compile(r"\b(?P<k>(?:[A-Za-z]+[ _-]){0,2}(?!(?:was|is|are|to|now|of|as)\b)[A-Za-z_-]+)(?:\s+(?:was|is|are|to|now|of|as)\b:?|\s*[:=])?\s+[`\"']?(?P<v>[^\s`\"']{6,})[`\"']?")
-_TICKED = re.compile(r"[`\"'](?P<k>[\w.-]+)[`\"']\s+(?:to|is|as|=|:)\s+[`\"'](?P<v>[^`\"'\s]+)[`\"']|\b(?P<k2>(?:[A-Za-z]+[ _-]){0,3}[A-Za-z_-]+)\s+`(?P<v2>[^`\s]+)`")
+_SPOKEN = re.compile(r"\b(?P<k>(?:[A-Za-z]{1,40}[ _-]){0,2}(?!(?:was|is|are|to|now|of|as)\b)[A-Za-z_-]{1,40})(?![A-Za-z_-])(?:\s+(?:was|is|are|to|now|of|as)\b:?|\s*[:=])?\s+[`\"']?(?P<v>[^\s`\"']{6,})[`\"']?")
+_TICKED = re.compile(r"[`\"'](?P<k>[\w.-]{1,80})[`\"']\s+(?:to|is|as|=|:)\s+[`\"'](?P<v>[^`\"'\s]+)[`\"']|\b(?P<k2>(?:[A-Za-z]{1,40}[ _-]){0,3}[A-Za-z_-]{1,40})\s+`(?P<v2>[^`\s]+)`")
 _SCHEME = re.compile(r"\b(?P<s>bearer|basic|token|apikey)\b\s*[\"'`]?\s*(?:[+.:,]\s*)?[\"'`]?\s?(?P<v>[A-Za-z0-9_\-.~+/=]{8,})", re.I)
-_HEADER = re.compile(r"\b(?P<k>(?:X-)?[A-Za-z-]*(?:Auth|Token|Key|Secret)[A-Za-z-]*)[\"'`]?\s*[:,]\s*[\"'`]?(?P<v>[^\s\"'`,;]{8,})", re.I)
+_HEADER = re.compile(r"\b(?P<k>(?:X-)?[A-Za-z-]{0,40}(?:Auth|Token|Key|Secret)[A-Za-z-]{0,40})[\"'`]?\s*[:,]\s*[\"'`]?(?P<v>[^\s\"'`,;]{8,})", re.I)
 #: A pair of user and password; a name-value pair on two lines; a literal that goes on in others.
 _PAIR = re.compile(rf"(?P<k>{_NAME})[\"']?\s*[:=]\s*[(\[{{]\s*([\"'])[^\"'\n]*\2\s*,\s*([\"'])(?P<v>[^\"'\n]+)\3\s*[)\]}}]")
 _NAMED = re.compile(r"[\"']?name[\"']?\s*[:=]\s*[\"']?(?P<k>[\w.-]+)[\"']?,?\s*$", re.I)
@@ -55,7 +55,7 @@ _VALUE = re.compile(r"^\s*[-,]?\s*[\"']?value[\"']?\s*[:=]\s*[\"']?(?P<v>[^\s\"'
 _OPENS = re.compile(rf"(?P<k>{_NAME})[\"'`]?\]?\s*(?::\s*[\w.]+\s*)?[:=]\s*\(?\s*(?P<first>[\"'][^\"'\n]*[\"'])?\s*[+\\]?\s*$")
 _MORE = re.compile(r"^\s*[+.]?\s*([\"'])(?P<v>[^\"'\n]*)\1\s*(?P<on>[+\\]?)\s*(?P<end>[);,]*)\s*$")
 _TOGETHER = re.compile(rf"(?P<k>{_NAME})[\"'`]?\]?\s*(?::\s*[\w.]+\s*)?[:=]\s*\(?\s*(?P<parts>([\"'])[^\"'\n]*\3(?:\s*\+?\s*([\"'])[^\"'\n]*\4)+)")
-_USERINFO = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>]*:(?P<v>[^\s/\"'`<>]+)@[\w\[.$-]")
+_USERINFO = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/@\"'`<>]{0,200}:(?P<v>[^\s/\"'`<>]+)@[\w\[.$-]")
 _CONNECTION = re.compile(r"(?:^|[;\"'`\s?&])(?P<k>password|pwd|accountkey|sharedaccesskey|sharedaccesssignature|secret|access[_-]?token|api[_-]?key|token|sig)\s*=\s*(?P<v>[^;\"'`\s&]+)", re.I)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<v>[\s\S]*?)(?:-----END [A-Z0-9 ]*-----|\Z)")
 _BARE = re.compile(r"(?<![\w/+=-])(?:AKIA[0-9A-Z]{13,17}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*|gh[pousr]_\w{20,}|xox[abprs]-[\w-]{10,}|[a-z]{2,8}(?:[-_](?:sk|live|prod|api|pat|secret))+[-_][A-Za-z0-9]{16,}|[a-z]{2,8}p_[A-Za-z0-9]{16,}|AIza[\w-]{30,})(?![\w/+=-])")

@@ -145,7 +145,7 @@ def verdicts(sources: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def p4_found(documents: DataFrame, files: DataFrame) -> DataFrame:
-    return verdicts(source_documents(documents, files)).where("not ok").select("doc_id").distinct()
+    return verdicts(source_documents(documents.select("doc_id", "file_id", "text"), files)).where("not ok").select("doc_id").distinct()
 
 
 def p4_rates(documents: DataFrame, files: DataFrame) -> DataFrame:
