@@ -19,31 +19,32 @@ SEPARATOR = "/"
 SALTS = 64
 
 
-def climb(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """Doubles the pointers of nodes (tree, node, up, cost, label) until all that reach the end of their walk have.
+def climb(nodes: DataFrame, sizes: bool = False) -> tuple[DataFrame, int]:
+    """Doubles the pointers of nodes (tree, node, up, costs, label) until all that reach the end of their walk have.
 
-    Gives (tree, node, up, anc, root, steps, total, trail, weight): root is the last node of the walk, steps its length, total the sum of cost and
-    trail the joined labels over the walk without the root's own; weight counts the node and all below it. Where anc is left non-null the node
+    Gives (tree, node, up, anc, root, totals, trail, weight): root is the last node of the walk, totals the sums of costs (an array) and
+    trail the joined labels over the walk without the root's own; with sizes, weight counts the node and all below it. Where anc is left non-null the node
     never reaches an end; the number of those rows comes second.
     """
     state = cut(
         nodes.select(
             "tree", "node", "up", F.col("up").alias("anc"), F.when(F.col("up").isNull(), F.col("node")).alias("root"),
-            F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("steps"),
-            F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.col("cost")).cast("bigint").alias("total"),
+            F.when(F.col("up").isNull(), F.transform("costs", lambda x: F.lit(0).cast("bigint"))).otherwise(F.col("costs")).alias("totals"),
             F.when(F.col("up").isNull(), F.lit(None).cast("string")).otherwise(F.col("label")).alias("trail"), F.lit(1).cast("bigint").alias("weight"),
         )
     )
     left = state.where("anc is not null").count()
     while left:
-        sums = state.where("anc is not null").groupBy("tree", F.col("anc").alias("node")).agg(F.sum("weight").alias("more"))
-        far = state.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("root2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"), F.col("trail").alias("trail2"))
+        far = state.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("root2"), F.col("totals").alias("totals2"), F.col("trail").alias("trail2"))
         moved = state.where("anc is not null").join(far, ["tree", "anc"], "left").select(
-            "tree", "node", "up", F.col("anc2").alias("anc"), F.col("root2").alias("root"), (F.col("steps") + F.col("steps2")).alias("steps"),
-            (F.col("total") + F.col("total2")).alias("total"), F.concat_ws(SEPARATOR, "trail2", "trail").alias("trail"), "weight",
+            "tree", "node", "up", F.col("anc2").alias("anc"), F.col("root2").alias("root"),
+            F.zip_with("totals", "totals2", lambda x, y: x + y).alias("totals"), F.when(F.col("trail").isNotNull(), F.concat_ws(SEPARATOR, "trail2", "trail")).alias("trail"), "weight",
         )
-        grown = state.where("anc is null").unionByName(moved).join(sums, ["tree", "node"], "left")
-        state = cut(grown.withColumn("weight", F.expr("coalesce(try_add(weight, more), weight)")).drop("more"))
+        grown = state.where("anc is null").unionByName(moved)
+        if sizes:
+            sums = state.where("anc is not null").groupBy("tree", F.col("anc").alias("node")).agg(F.sum("weight").alias("more"))
+            grown = grown.join(sums, ["tree", "node"], "left").withColumn("weight", F.expr("coalesce(try_add(weight, more), weight)")).drop("more")
+        state = cut(grown)
         now = state.where("anc is not null").count()
         if now == left:  # every depth up to the largest occurs, so a round without an arrival is the last
             break
@@ -71,24 +72,25 @@ def cycle_roots(stuck: DataFrame) -> DataFrame:
     return stuck.join(ring.select("tree", F.col("node").alias("anc"), F.col("low").alias("root")), ["tree", "anc"]).select("tree", "node", "root")
 
 
-def hierarchy(links: DataFrame) -> DataFrame:
+def hierarchy(links: DataFrame, paths: bool = True) -> DataFrame:
     """Of links (tree, node, parent; parent null where only the node is known): a row for every node or parent.
 
     Columns tree_id, node_id, parent_id, root_id, depth, path, chain_id, chain_pos, subtree_size, first, last. The descendants of a node are the nodes of the same
-    tree and root whose `first` lies in (first, last]. Nodes on or below a cycle: depth -1, root_id the smallest node of the cycle, no path,
+    tree and root whose `first` lies in (first, last]. Without paths, path is null. Nodes on or below a cycle: depth -1, root_id the smallest node of the cycle, no path,
     chain or interval. Repeated links count once; of several parents the smallest counts; rows without tree or node are dropped;
     a node that is its own parent is a cycle of one. An empty table gives none.
     """
     links = links.where("tree is not null and node is not null")
     every = links.select("tree", "node", "parent").unionByName(links.where("parent is not null").select("tree", F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
     base = every.groupBy("tree", "node").agg(F.min("parent").alias("up"))
-    whole, cyclic = climb(base.withColumns({"cost": F.lit(0), "label": F.lit(None).cast("string")}))
+    none_label, one = F.lit(None).cast("string"), F.lit(1).cast("bigint")
+    whole, cyclic = climb(base.withColumns({"costs": F.array().cast("array<bigint>"), "label": none_label}), sizes=True)
     ends = whole.where("anc is null").select("tree", "node", "up", F.col("root").alias("tree_root"), F.col("weight").alias("size"))
     heavy = ends.where("up is not null").groupBy("tree", "up").agg(F.max(F.struct("size", "node")).getField("node").alias("node")).select("tree", "node", F.lit(True).alias("heavy"))
     marked = ends.join(heavy, ["tree", "node"], "left")
     # chains: position and segment of each node below the head of its chain
-    chained, _ = climb(marked.select("tree", "node", F.when(F.col("heavy"), F.col("up")).alias("up"), F.lit(1).alias("cost"), F.col("node").alias("label")))
-    placed = chained.select("tree", "node", F.col("root").alias("head"), F.col("total").alias("pos"), F.concat_ws(SEPARATOR, F.col("root"), F.col("trail")).alias("segment"))
+    chained, _ = climb(marked.select("tree", "node", F.when(F.col("heavy"), F.col("up")).alias("up"), F.array(one).alias("costs"), (F.col("node") if paths else none_label).alias("label")))
+    placed = chained.select("tree", "node", F.col("root").alias("head"), F.col("totals")[0].alias("pos"), (F.concat_ws(SEPARATOR, F.col("root"), F.col("trail")) if paths else none_label).alias("segment"))
     nodes = cut(marked.join(placed, ["tree", "node"]))
     # each light child's distance in preorder from its parent: 1, the heavy sibling's subtree, then the light ones before it
     light = nodes.where("up is not null and heavy is null").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
@@ -101,14 +103,13 @@ def hierarchy(links: DataFrame) -> DataFrame:
     # chains of chains: each hangs by its head's parent from another
     at = nodes.select("tree", F.col("node").alias("up"), F.col("head").alias("up_head"), F.col("pos").alias("up_pos"), F.col("segment").alias("up_segment"))
     heads = nodes.where("node = head").select("tree", "node", "up").join(at, ["tree", "up"], "left").join(light, ["tree", "node"], "left")
-    chains = cut(heads.select("tree", F.col("node"), F.col("up_head").alias("up"), (F.col("up_pos") + F.col("offset")).alias("cost"), F.col("up_segment").alias("label"), (F.col("up_pos") + 1).alias("drop")))
-    pre, _ = climb(chains)
-    deep, _ = climb(chains.select("tree", "node", "up", F.col("drop").alias("cost"), F.lit(None).cast("string").alias("label")))
-    of_chain = pre.select("tree", F.col("node").alias("head"), F.col("total").alias("head_first"), "trail").join(deep.select("tree", F.col("node").alias("head"), F.col("total").alias("head_depth")), ["tree", "head"])
+    costs = F.array(F.col("up_pos") + F.col("offset"), F.col("up_pos") + 1)  # in preorder, and in depth
+    pre, _ = climb(heads.select("tree", "node", F.col("up_head").alias("up"), costs.alias("costs"), F.col("up_segment").alias("label")))
+    of_chain = pre.select("tree", F.col("node").alias("head"), F.col("totals")[0].alias("head_first"), F.col("totals")[1].alias("head_depth"), "trail")
     full = nodes.join(of_chain, ["tree", "head"])
     good = full.select(
         F.col("tree").alias("tree_id"), F.col("node").alias("node_id"), F.col("up").alias("parent_id"), F.col("tree_root").alias("root_id"), (F.col("head_depth") + F.col("pos")).cast("int").alias("depth"),
-        F.concat_ws(SEPARATOR, "trail", "segment").alias("path"), F.col("head").alias("chain_id"), F.col("pos").alias("chain_pos"), F.col("size").alias("subtree_size"),
+        (F.concat_ws(SEPARATOR, "trail", "segment") if paths else none_label).alias("path"), F.col("head").alias("chain_id"), F.col("pos").alias("chain_pos"), F.col("size").alias("subtree_size"),
         (F.col("head_first") + F.col("pos")).alias("first"), (F.col("head_first") + F.col("pos") + F.col("size") - 1).alias("last"),
     )
     if not cyclic:
@@ -141,4 +142,4 @@ def p2_hierarchy(relations: DataFrame, parsed_symbols: DataFrame) -> DataFrame:
 
 
 def p2_found(relations: DataFrame, parsed_symbols: DataFrame) -> DataFrame:
-    return p2_hierarchy(relations, parsed_symbols).select("tree_id", "node_id", "root_id", "depth")
+    return hierarchy(links_of(relations, parsed_symbols), paths=False).select("tree_id", "node_id", "root_id", "depth")
