@@ -20,30 +20,30 @@ SALTS = 64
 
 
 def climb(nodes: DataFrame, sizes: bool = False) -> tuple[DataFrame, int]:
-    """Doubles the pointers of nodes (tree, node, up, costs, label) until all that reach the end of their walk have.
+    """Doubles the pointers of nodes (node, up, costs, label) until all that reach the end of their walk have; node and up are numbers.
 
-    Gives (tree, node, up, anc, root, totals, trail, weight): root is the last node of the walk, totals the sums of costs (an array) and
+    Gives (node, up, anc, root, totals, trail, weight): root is the last node of the walk, totals the sums of costs (an array) and
     trail the joined labels over the walk without the root's own; with sizes, weight counts the node and all below it. Where anc is left non-null the node
     never reaches an end; the number of those rows comes second.
     """
+    ended = F.col("up").isNull()
     state = cut(
         nodes.select(
-            "tree", "node", "up", F.col("up").alias("anc"), F.when(F.col("up").isNull(), F.col("node")).alias("root"),
-            F.when(F.col("up").isNull(), F.transform("costs", lambda x: F.lit(0).cast("bigint"))).otherwise(F.col("costs")).alias("totals"),
-            F.when(F.col("up").isNull(), F.lit(None).cast("string")).otherwise(F.col("label")).alias("trail"), F.lit(1).cast("bigint").alias("weight"),
+            "node", "up", F.col("up").alias("anc"), F.when(ended, F.col("node")).alias("root"), F.when(ended, F.transform("costs", lambda x: F.lit(0).cast("bigint"))).otherwise(F.col("costs")).alias("totals"),
+            F.when(~ended, F.col("label")).alias("trail"), F.lit(1).cast("bigint").alias("weight"),
         )
     )
     left = state.where("anc is not null").count()
     while left:
-        far = state.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("root2"), F.col("totals").alias("totals2"), F.col("trail").alias("trail2"))
-        moved = state.where("anc is not null").join(far, ["tree", "anc"], "left").select(
-            "tree", "node", "up", F.col("anc2").alias("anc"), F.col("root2").alias("root"),
+        far = state.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("root2"), F.col("totals").alias("totals2"), F.col("trail").alias("trail2"))
+        moved = state.where("anc is not null").join(far, "anc", "left").select(
+            "node", "up", F.col("anc2").alias("anc"), F.col("root2").alias("root"),
             F.zip_with("totals", "totals2", lambda x, y: x + y).alias("totals"), F.when(F.col("trail").isNotNull(), F.concat_ws(SEPARATOR, "trail2", "trail")).alias("trail"), "weight",
         )
         grown = state.where("anc is null").unionByName(moved)
         if sizes:
-            sums = state.where("anc is not null").groupBy("tree", F.col("anc").alias("node")).agg(F.sum("weight").alias("more"))
-            grown = grown.join(sums, ["tree", "node"], "left").withColumn("weight", F.expr("coalesce(try_add(weight, more), weight)")).drop("more")
+            sums = state.where("anc is not null").groupBy(F.col("anc").alias("node")).agg(F.sum("weight").alias("more"))
+            grown = grown.join(sums, "node", "left").withColumn("weight", F.expr("coalesce(try_add(weight, more), weight)")).drop("more")
         state = cut(grown)
         now = state.where("anc is not null").count()
         if now == left:  # every depth up to the largest occurs, so a round without an arrival is the last
@@ -52,71 +52,83 @@ def climb(nodes: DataFrame, sizes: bool = False) -> tuple[DataFrame, int]:
     return state, left
 
 
-def cycle_roots(stuck: DataFrame) -> DataFrame:
-    """(tree, node, root) with the smallest node of the cycle that the walk of (tree, node, up, anc) ends in."""
-    stuck = stuck.select("tree", "node", "up", "anc")
+def cycle_roots(stuck: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, root_id) with the smallest name on the cycle that the walk of (node, up, anc) ends in; names (node, name)."""
+    stuck = stuck.select("node", "up", "anc")
     size = -1
     while True:  # the images of ever longer walks shrink to the nodes on cycles
-        ends = stuck.select("tree", "anc").distinct().count()
+        ends = stuck.select("anc").distinct().count()
         if ends == size:
             break
         size = ends
-        stuck = cut(stuck.join(stuck.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2")), ["tree", "anc"]).select("tree", "node", "up", F.col("anc2").alias("anc")))
-    ring = stuck.join(stuck.select("tree", F.col("anc").alias("node")).distinct(), ["tree", "node"]).select("tree", "node", F.col("up").alias("ptr"), F.col("node").alias("low"))
+        stuck = cut(stuck.join(stuck.select(F.col("node").alias("anc"), F.col("anc").alias("anc2")), "anc").select("node", "up", F.col("anc2").alias("anc")))
+    ring = stuck.join(stuck.select(F.col("anc").alias("node")).distinct(), "node").join(names, "node").select("node", F.col("up").alias("ptr"), F.col("name").alias("low"))
     while True:
-        nxt = ring.select("tree", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
-        ring = cut(ring.join(nxt, ["tree", "ptr"]).select("tree", "node", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("changed")))
+        nxt = ring.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
+        ring = cut(ring.join(nxt, "ptr").select("node", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("changed")))
         if not ring.where("changed").count():
             break
         ring = ring.drop("changed")
-    return stuck.join(ring.select("tree", F.col("node").alias("anc"), F.col("low").alias("root")), ["tree", "anc"]).select("tree", "node", "root")
+    return stuck.join(ring.select(F.col("node").alias("anc"), F.col("low").alias("root_id")), "anc").select("node", "root_id")
 
 
-def hierarchy(links: DataFrame, paths: bool = True) -> DataFrame:
+def hierarchy(links: DataFrame, full: bool = True) -> DataFrame:
     """Of links (tree, node, parent; parent null where only the node is known): a row for every node or parent.
 
-    Columns tree_id, node_id, parent_id, root_id, depth, path, chain_id, chain_pos, subtree_size, first, last. The descendants of a node are the nodes of the same
-    tree and root whose `first` lies in (first, last]. Without paths, path is null. Nodes on or below a cycle: depth -1, root_id the smallest node of the cycle, no path,
+    Columns tree_id, node_id, parent_id, root_id, depth and, if full, path, chain_id, chain_pos, subtree_size, first, last. The descendants of a node are the nodes of the same
+    tree and root whose `first` lies in (first, last]. Nodes on or below a cycle: depth -1, root_id the smallest node of the cycle, no path,
     chain or interval. Repeated links count once; of several parents the smallest counts; rows without tree or node are dropped;
     a node that is its own parent is a cycle of one. An empty table gives none.
+
+    Nodes get numbers once, so that the rounds move numbers instead of names.
     """
     links = links.where("tree is not null and node is not null")
     every = links.select("tree", "node", "parent").unionByName(links.where("parent is not null").select("tree", F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
-    base = every.groupBy("tree", "node").agg(F.min("parent").alias("up"))
+    named = cut(every.groupBy("tree", "node").agg(F.min("parent").alias("parent")).withColumn("id", F.monotonically_increasing_id()))
+    up = named.select("tree", F.col("node").alias("parent"), F.col("id").alias("up"))
+    base = named.join(up, ["tree", "parent"], "left").select(F.col("id").alias("node"), "up", F.col("node").alias("name"))
+    names = named.select(F.col("id").alias("node"), F.col("node").alias("name"))
     none_label, one = F.lit(None).cast("string"), F.lit(1).cast("bigint")
     whole, cyclic = climb(base.withColumns({"costs": F.array().cast("array<bigint>"), "label": none_label}), sizes=True)
-    ends = whole.where("anc is null").select("tree", "node", "up", F.col("root").alias("tree_root"), F.col("weight").alias("size"))
-    heavy = ends.where("up is not null").groupBy("tree", "up").agg(F.max(F.struct("size", "node")).getField("node").alias("node")).select("tree", "node", F.lit(True).alias("heavy"))
-    marked = ends.join(heavy, ["tree", "node"], "left")
+    ends = whole.where("anc is null").select("node", "up", F.col("root").alias("tree_root"), F.col("weight").alias("size"))
+    heavy = ends.where("up is not null").groupBy("up").agg(F.max(F.struct("size", "node")).getField("node").alias("node")).select("node", F.lit(True).alias("heavy"))
+    marked = cut(ends.join(heavy, "node", "left"))
     # chains: position and segment of each node below the head of its chain
-    chained, _ = climb(marked.select("tree", "node", F.when(F.col("heavy"), F.col("up")).alias("up"), F.array(one).alias("costs"), (F.col("node") if paths else none_label).alias("label")))
-    placed = chained.select("tree", "node", F.col("root").alias("head"), F.col("totals")[0].alias("pos"), (F.concat_ws(SEPARATOR, F.col("root"), F.col("trail")) if paths else none_label).alias("segment"))
-    nodes = cut(marked.join(placed, ["tree", "node"]))
+    labelled = marked.join(names.withColumnRenamed("name", "label"), "node") if full else marked.withColumn("label", none_label)
+    chained, _ = climb(labelled.select("node", F.when(F.col("heavy"), F.col("up")).alias("up"), F.array(one).alias("costs"), "label"))
+    placed = chained.select("node", F.col("root").alias("head"), F.col("totals")[0].alias("pos"), "trail")
+    if full:
+        placed = placed.join(names.select(F.col("node").alias("head"), F.col("name").alias("head_name")), "head").withColumn("segment", F.concat_ws(SEPARATOR, "head_name", "trail")).drop("trail", "head_name")
+    else:
+        placed = placed.withColumnRenamed("trail", "segment")
+    nodes = cut(marked.join(placed, "node"))
     # each light child's distance in preorder from its parent: 1, the heavy sibling's subtree, then the light ones before it
     light = nodes.where("up is not null and heavy is null").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    before = Window.partitionBy("tree", "up", "salt").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    salts = light.groupBy("tree", "up", "salt").agg(F.sum("size").alias("sum"))
-    salts = salts.withColumn("base", F.coalesce(F.sum("sum").over(Window.partitionBy("tree", "up").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum")
-    light = light.withColumn("own", F.coalesce(F.sum("size").over(before), F.lit(0))).join(salts, ["tree", "up", "salt"])
-    firsts = nodes.where("heavy").select("tree", "up", F.col("size").alias("heavy_size"))
-    light = light.join(firsts, ["tree", "up"]).select("tree", "node", (1 + F.col("heavy_size") + F.col("base") + F.col("own")).alias("offset"))
+    before = Window.partitionBy("up", "salt").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    salts = light.groupBy("up", "salt").agg(F.sum("size").alias("sum"))
+    salts = salts.withColumn("base", F.coalesce(F.sum("sum").over(Window.partitionBy("up").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum")
+    light = light.withColumn("own", F.coalesce(F.sum("size").over(before), F.lit(0))).join(salts, ["up", "salt"])
+    firsts = nodes.where("heavy").select("up", F.col("size").alias("heavy_size"))
+    light = light.join(firsts, "up").select("node", (1 + F.col("heavy_size") + F.col("base") + F.col("own")).alias("offset"))
     # chains of chains: each hangs by its head's parent from another
-    at = nodes.select("tree", F.col("node").alias("up"), F.col("head").alias("up_head"), F.col("pos").alias("up_pos"), F.col("segment").alias("up_segment"))
-    heads = nodes.where("node = head").select("tree", "node", "up").join(at, ["tree", "up"], "left").join(light, ["tree", "node"], "left")
+    at = nodes.select(F.col("node").alias("up"), F.col("head").alias("up_head"), F.col("pos").alias("up_pos"), F.col("segment").alias("up_segment"))
+    heads = nodes.where("node = head").select("node", "up").join(at, "up", "left").join(light, "node", "left")
     costs = F.array(F.col("up_pos") + F.col("offset"), F.col("up_pos") + 1)  # in preorder, and in depth
-    pre, _ = climb(heads.select("tree", "node", F.col("up_head").alias("up"), costs.alias("costs"), F.col("up_segment").alias("label")))
-    of_chain = pre.select("tree", F.col("node").alias("head"), F.col("totals")[0].alias("head_first"), F.col("totals")[1].alias("head_depth"), "trail")
-    full = nodes.join(of_chain, ["tree", "head"])
-    good = full.select(
-        F.col("tree").alias("tree_id"), F.col("node").alias("node_id"), F.col("up").alias("parent_id"), F.col("tree_root").alias("root_id"), (F.col("head_depth") + F.col("pos")).cast("int").alias("depth"),
-        (F.concat_ws(SEPARATOR, "trail", "segment") if paths else none_label).alias("path"), F.col("head").alias("chain_id"), F.col("pos").alias("chain_pos"), F.col("size").alias("subtree_size"),
-        (F.col("head_first") + F.col("pos")).alias("first"), (F.col("head_first") + F.col("pos") + F.col("size") - 1).alias("last"),
-    )
+    pre, _ = climb(heads.select("node", F.col("up_head").alias("up"), costs.alias("costs"), F.col("up_segment").alias("label")))
+    of_chain = pre.select(F.col("node").alias("head"), F.col("totals")[0].alias("head_first"), F.col("totals")[1].alias("head_depth"), "trail")
+    good = nodes.join(of_chain, "head").join(named.select(F.col("id").alias("node"), F.col("tree").alias("tree_id"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id")), "node")
+    good = good.join(names.select(F.col("node").alias("tree_root"), F.col("name").alias("root_id")), "tree_root")
+    columns = ["tree_id", "node_id", "parent_id", "root_id", (F.col("head_depth") + F.col("pos")).cast("int").alias("depth")]
+    if full:
+        good = good.join(names.select(F.col("node").alias("head"), F.col("name").alias("chain_id")), "head")
+        columns += [F.concat_ws(SEPARATOR, "trail", "segment").alias("path"), "chain_id", F.col("pos").alias("chain_pos"), F.col("size").alias("subtree_size"), (F.col("head_first") + F.col("pos")).alias("first"), (F.col("head_first") + F.col("pos") + F.col("size") - 1).alias("last")]
+    good = good.select(*columns)
     if not cyclic:
         return good
-    rings = cycle_roots(whole.where("anc is not null"))
-    none = {c: F.lit(None).cast(t) for c, t in (("path", "string"), ("chain_id", "string"), ("chain_pos", "bigint"), ("subtree_size", "bigint"), ("first", "bigint"), ("last", "bigint"))}
-    bad = rings.join(base, ["tree", "node"]).select(F.col("tree").alias("tree_id"), F.col("node").alias("node_id"), F.col("up").alias("parent_id"), F.col("root").alias("root_id"), F.lit(-1).alias("depth")).withColumns(none)
+    rings = cycle_roots(whole.where("anc is not null"), names)
+    bad = rings.join(named.withColumnRenamed("node", "name").withColumnRenamed("id", "node"), "node").select(F.col("tree").alias("tree_id"), F.col("name").alias("node_id"), F.col("parent").alias("parent_id"), "root_id", F.lit(-1).alias("depth"))
+    if full:
+        bad = bad.withColumns({c: F.lit(None).cast(t) for c, t in (("path", "string"), ("chain_id", "string"), ("chain_pos", "bigint"), ("subtree_size", "bigint"), ("first", "bigint"), ("last", "bigint"))})
     return good.unionByName(bad)
 
 
@@ -142,4 +154,4 @@ def p2_hierarchy(relations: DataFrame, parsed_symbols: DataFrame) -> DataFrame:
 
 
 def p2_found(relations: DataFrame, parsed_symbols: DataFrame) -> DataFrame:
-    return hierarchy(links_of(relations, parsed_symbols), paths=False).select("tree_id", "node_id", "root_id", "depth")
+    return hierarchy(links_of(relations, parsed_symbols), full=False).select("tree_id", "node_id", "root_id", "depth")
