@@ -19,61 +19,49 @@ def any_of(c: Column, words: list[str]) -> Column:
     return reduce(Column.__or__, [F.contains(F.lower(c), F.lit(w)) for w in words])
 
 
-def _row(parts: tuple[str, str], kind: str, name: str, confidence: Column) -> list[Column]:
-    return [short_sha(16, *map(F.lit, parts)).alias("convention_id"), F.lit(kind).alias("convention_type"), F.lit(name).alias("name"), F.round(confidence, 6).alias("confidence")]
-
-
-def _ratio(df: DataFrame, hit: Column, least: float, parts, kind: str, name: str, fixed: float | None = None) -> DataFrame:
-    g = df.groupBy("repo").agg(F.count_if(hit).alias("n_hits"), F.count("*").alias("n_all")).where((F.col("n_hits") / F.col("n_all") >= least) & (F.col("n_hits") > 0))
-    return g.select("repo", *_row(parts, kind, name, F.lit(fixed) if fixed else F.least(F.lit(1.0), F.col("n_hits") / F.col("n_all"))), "n_hits")
-
-
-def _atleast(df: DataFrame, hit: Column, k: int, parts, kind: str, name: str, confidence: float) -> DataFrame:
-    return df.groupBy("repo").agg(F.count_if(hit).alias("n_hits")).where(F.col("n_hits") >= k).select("repo", *_row(parts, kind, name, F.lit(confidence)), "n_hits")
-
-
-def naming(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Ratios of 70 % and more among python files, classes and functions."""
-    py = files.where("language = 'python'")
-    return reduce(DataFrame.unionByName, [
-        _ratio(py, base_name(F.col("path")).rlike(r"^[a-z_][a-z0-9_]*\.py$"), 0.7, ("naming", "python_snake_case"), "naming_pattern", "Python snake_case file naming"),
-        _ratio(symbols.where("kind = 'class'"), F.col("name").rlike("^[A-Z][a-zA-Z0-9]*$"), 0.7, ("naming", "pascal_class"), "naming_pattern", "PascalCase class naming"),
-        _ratio(symbols.where("kind = 'function'"), F.col("name").rlike("^[a-z_][a-z0-9_]*$"), 0.7, ("naming", "snake_func"), "naming_pattern", "snake_case function naming"),
+def detect(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo, convention_id, convention_type, name, confidence, n_hits) of files (repo, path, language, is_entrypoint, content) and symbols (repo, name, kind).
+
+    All rules are conditions on one row of counts per repository, so that files and symbols are read once. Null contents count as having none of the words. A repository without
+    files or without symbols follows the rules of what it has.
+    """
+    p, name = F.col("path"), F.col("name")
+    py = F.col("language") == "python"
+    tried = (extension(p) == "py") & (F.contains("content", F.lit("try:")) | F.contains("content", F.lit("except ")))
+    of_files = {
+        "n": F.lit(True), "py": py, "py_snake": py & base_name(p).rlike(r"^[a-z_][a-z0-9_]*\.py$"), "src": p.startswith("src/"), "init": p.endswith("__init__.py"), "main": p.endswith("__main__.py"), "entry": F.col("is_entrypoint"),
+        "config": any_of(p, CONFIG_WORDS), "cli": F.contains(p, F.lit("/cli/")), "models": F.contains(p, F.lit("/models/")), "ingest": F.contains(p, F.lit("/ingest/")), "tried": F.coalesce(tried, F.lit(False)), **{f"f_{r}": any_of(p, w) for r, w in ROLES.items()},
+    }
+    of_symbols = {
+        "class": F.col("kind") == "class", "pascal": (F.col("kind") == "class") & name.rlike("^[A-Z][a-zA-Z0-9]*$"), "func": F.col("kind") == "function", "snake": (F.col("kind") == "function") & name.rlike("^[a-z_][a-z0-9_]*$"),
+        "error": any_of(name, ["error", "exception"]), **{f"s_{r}": any_of(name, w) for r, w in ROLES.items()},
+    }
+    f = files.groupBy("repo").agg(*[F.count_if(c).alias(k) for k, c in of_files.items()])
+    s = symbols.groupBy("repo").agg(*[F.count_if(c).alias(k) for k, c in of_symbols.items()])
+    both = f.join(s, "repo", "full_outer").na.fill(0)
+    n = F.col
+    share = lambda hits, of: n(hits) / F.greatest(n(of), F.lit(1))
+    most = lambda hits, of, least: (share(hits, of) >= least) & (n(hits) > 0)
+    layers = n("cli") + n("models") + n("ingest")
+    rules = [
+        ("naming:python_snake_case", "naming_pattern", "Python snake_case file naming", most("py_snake", "py", 0.7), share("py_snake", "py"), n("py_snake")),
+        ("naming:pascal_class", "naming_pattern", "PascalCase class naming", most("pascal", "class", 0.7), share("pascal", "class"), n("pascal")),
+        ("naming:snake_func", "naming_pattern", "snake_case function naming", most("snake", "func", 0.7), share("snake", "func"), n("snake")),
+        ("module:src_layout", "module_structure", "src/ directory layout", most("src", "n", 0.5), F.lit(0.9), n("src")),
+        ("module:python_packages", "module_structure", "Python package modules", n("init") >= 3, F.lit(0.9), n("init")),
+        ("config:organization", "config_organization", "Centralized configuration", n("config") >= 1, F.lit(0.9), n("config")),
+        ("entrypoint:cli", "entrypoint_pattern", "CLI entrypoint", n("entry") >= 1, F.lit(0.95), n("entry")),
+        ("entrypoint:main_module", "entrypoint_pattern", "__main__.py entrypoint pattern", n("main") >= 1, F.lit(0.9), n("main")),
+        ("layer:cli_models_ingest", "layered_architecture", "Layered architecture", (n("cli") > 0) & (n("models") > 0) & (n("ingest") > 0), F.lit(0.8), layers),
+        *[(f"pattern:{r}", "service_repository_pattern", f"{r.capitalize()} pattern", n(f"f_{r}") + n(f"s_{r}") > 0, F.when(n(f"f_{r}") > 0, 0.8).otherwise(0.6), n(f"f_{r}") + n(f"s_{r}")) for r in ROLES],
+        ("error:custom_exceptions", "error_handling", "Custom exception classes", n("error") >= 1, F.lit(0.9), n("error")),
+        ("error:try_except", "error_handling", "Explicit try/except error handling", n("tried") >= 3, F.lit(0.8), n("tried")),
+    ]
+    found = F.array(*[
+        F.when(holds, F.struct(short_sha(16, F.lit(key)).alias("convention_id"), F.lit(kind).alias("convention_type"), F.lit(label).alias("name"), F.round(F.least(F.lit(1.0), confidence), 6).alias("confidence"), hits.cast("bigint").alias("n_hits")))
+        for key, kind, label, holds, confidence, hits in rules
     ])
-
-
-def layout(files: DataFrame) -> DataFrame:
-    """Source under src/, python packages, configuration, entry points and layers."""
-    p = F.col("path")
-    layered = files.groupBy("repo").agg(F.count_if(F.contains(p, F.lit("/cli/"))).alias("a"), F.count_if(F.contains(p, F.lit("/models/"))).alias("b"), F.count_if(F.contains(p, F.lit("/ingest/"))).alias("c"))
-    layered = layered.where("a > 0 and b > 0 and c > 0").select("repo", *_row(("layer", "cli_models_ingest"), "layered_architecture", "Layered architecture", F.lit(0.8)), (F.col("a") + F.col("b") + F.col("c")).alias("n_hits"))
-    return reduce(DataFrame.unionByName, [
-        _ratio(files, p.startswith("src/"), 0.5, ("module", "src_layout"), "module_structure", "src/ directory layout", 0.9),
-        _atleast(files, p.endswith("__init__.py"), 3, ("module", "python_packages"), "module_structure", "Python package modules", 0.9),
-        _atleast(files, any_of(p, CONFIG_WORDS), 1, ("config", "organization"), "config_organization", "Centralized configuration", 0.9),
-        _atleast(files, F.col("is_entrypoint"), 1, ("entrypoint", "cli"), "entrypoint_pattern", "CLI entrypoint", 0.95),
-        _atleast(files, p.endswith("__main__.py"), 1, ("entrypoint", "main_module"), "entrypoint_pattern", "__main__.py entrypoint pattern", 0.9),
-        layered,
-    ])
-
-
-def roles(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Service, repository, controller and model patterns: 0.8 where a path shows one, 0.6 where only symbols do."""
-    out = []
-    for role, words in ROLES.items():
-        f = files.groupBy("repo").agg(F.count_if(any_of(F.col("path"), words)).alias("n_files"))
-        s = symbols.groupBy("repo").agg(F.count_if(any_of(F.col("name"), words)).alias("n_symbols"))
-        both = f.join(s, "repo", "full_outer").select("repo", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_symbols", F.lit(0)).alias("n_symbols")).where("n_files + n_symbols > 0")
-        out.append(both.select("repo", *_row(("pattern", role), "service_repository_pattern", f"{role.capitalize()} pattern", F.when(F.col("n_files") > 0, 0.8).otherwise(0.6)), (F.col("n_files") + F.col("n_symbols")).alias("n_hits")))
-    return reduce(DataFrame.unionByName, out)
-
-
-def errors(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols named after errors; python texts with try and except in at least three files."""
-    tried = (extension(F.col("path")) == "py") & (F.contains("content", F.lit("try:")) | F.contains("content", F.lit("except ")))
-    return _atleast(symbols, any_of(F.col("name"), ["error", "exception"]), 1, ("error", "custom_exceptions"), "error_handling", "Custom exception classes", 0.9).unionByName(
-        _atleast(files, F.coalesce(tried, F.lit(False)), 3, ("error", "try_except"), "error_handling", "Explicit try/except error handling", 0.8)
-    )
+    return both.select("repo", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("c")).select("repo", "c.*")
 
 
 def evidence(df: DataFrame, hit: Column, value: str, k: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 from itertools import islice
@@ -41,23 +42,35 @@ def norms(tf: DataFrame, idf: DataFrame) -> DataFrame:
 def search(docs: DataFrame, query: str, k: int = 10) -> DataFrame:
     """(id, score, rank): the k texts of highest cosine with the query, ties by id; the query's unknown terms count for nothing.
 
-    Only postings of the query's terms are scored, and norms are made only for the texts that have one of them.
+    The weights of the query's few words are fetched first; then one pass gives each text its norm and its dot product together.
     """
     words = query_tokens(query)
     n = docs.count()
     tf = term_counts(docs)
-    idf = idf_table(tf, n)
-    qtf = {w: words.count(w) for w in words}
-    q = idf.where(F.col("term").isin(list(qtf))).withColumn("w", F.col("idf") * reduce(lambda a, w: F.when(F.col("term") == w, qtf[w]).otherwise(a), qtf, F.lit(0)))
-    hits = tf.where(F.col("term").isin(list(qtf))).join(F.broadcast(q), "term")  # no more rows than the query has words
-    dot = hits.groupBy("id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
-    length = q.agg(F.sqrt(F.sum(F.pow("w", F.lit(2)))).alias("qnorm")).first()[0] or 1.0
-    scored = dot.join(norms(tf.join(dot.select("id"), "id", "left_semi"), idf), "id").where("norm > 0")
+    weights = {r["term"]: r["idf"] for r in idf_table(tf.where(F.col("term").isin(words)), n).collect()}  # no more rows than the query has words
+    q = {w: weights[w] * words.count(w) for w in dict.fromkeys(words) if w in weights}
+    length = math.sqrt(sum(x * x for x in q.values())) or 1.0
+    weight = reduce(lambda a, w: F.when(F.col("term") == w, q[w]).otherwise(a), q, F.lit(0.0))
+    x = tf.join(idf_table(tf, n), "term").withColumn("x", F.col("tf") * F.col("idf"))
+    scored = x.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum(F.col("x") * weight).alias("dot")).where("dot > 0 and norm > 0")
     scored = scored.select("id", F.round(F.col("dot") / (F.col("norm") * length), 6).alias("score")).where("score > 0")
     top = scored.orderBy(F.desc("score"), "id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
+def search_index(postings: DataFrame, idf: DataFrame, norms: DataFrame, query: str, k: int = 10) -> DataFrame:
+    """The same from a stored index: only the postings of the query's words are read."""
+    words = query_tokens(query)
+    weights = {r["term"]: r["idf"] for r in idf.where(F.col("term").isin(words)).select("term", "idf").collect()}
+    q = {w: weights[w] * words.count(w) for w in dict.fromkeys(words) if w in weights}
+    length = math.sqrt(sum(x * x for x in q.values())) or 1.0
+    factor = reduce(lambda a, w: F.when(F.col("term") == w, q[w] * weights[w]).otherwise(a), q, F.lit(0.0))
+    dot = postings.where(F.col("term").isin(list(q))).groupBy("id").agg(F.sum(F.col("tf") * factor).alias("dot"))
+    scored = dot.join(norms, "id").where("norm > 0").select("id", F.round(F.col("dot") / (F.col("norm") * length), 6).alias("score")).where("score > 0")
+    top = scored.orderBy(F.desc("score"), "id").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, score, rank): for each query vector the k of highest cosine. An extension; exact, in blocks of queries that a task can hold."""
     import numpy as np

@@ -43,8 +43,7 @@ class Knowledge:
         return files.module_members(self.files)
 
     def conventions(self) -> DataFrame:
-        c = conventions
-        return c.naming(self.files, self.symbols).unionByName(c.layout(self.files)).unionByName(c.roles(self.files, self.symbols)).unionByName(c.errors(self.files, self.symbols))
+        return conventions.detect(self.files, self.symbols)
 
 
 def _lens(f):

@@ -140,3 +140,16 @@ def test_stream_takes_each_content_once(spark, tmp_path):
     for _ in range(2):  # a rerun finds nothing new
         incremental.run_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
         assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_index_round_trip(spark, folder, tmp_path):
+    from codeloom.operators import search
+    from codeloom.sources.store import load_index, save_index
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    tf = search.term_counts(docs)
+    idf = search.idf_table(tf, docs.count())
+    save_index(tf, idf, search.norms(tf, idf), str(tmp_path / "i"))
+    query = "the order of entries, unknownword"
+    assert search.search_index(*load_index(spark, str(tmp_path / "i")), query).collect() == search.search(docs, query).collect()
+    assert search.search(docs, "unknownword").collect() == []
