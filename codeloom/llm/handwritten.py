@@ -106,7 +106,8 @@ def verdict(text: str, path: str, ext: str) -> str | None:
     space = (n - len(raw.translate(None, b" \t\r\n"))) / n
     if longest >= limit["max_line"] and n / len(lines) >= limit["mean_line"] and space <= limit["space"]:
         letters = (n - len(raw.translate(None, b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))) / n
-        return "minified" if letters >= limit["alnum"] else "data"
+        if letters >= limit["alnum"]:  # long lines of other scripts are prose
+            return "minified"
     if (n - len(raw.translate(None, b"0123456789"))) / n >= limit["digits"]:
         return "data"
     if n > 400 and sum(map(len, _ENCODED.findall(text))) / n >= limit["encoded"]:

@@ -134,7 +134,7 @@ class Judge:
     def plain(self, value: str) -> bool:
         """Stricter, for values without quotes: no code."""
         code = r"[()\[\]{}]|=>|\w\.\w+\(" if value.startswith("eyJ") or self.random(value) else r"[()\[\]{}]|=>|\w\.\w+\(|^[\w.]+\.[a-z_]\w*$"
-        return self.literal(value) and not re.search(code, value) and not re.fullmatch(r"[a-z_]+\d{0,3}|[A-Za-z]+(?:[A-Z][a-z]+)*\d{0,2}", value)
+        return self.literal(value) and not re.search(code, value) and not re.fullmatch(r"[a-z_]+\d{0,3}|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)*\d{0,2}", value)
 
 
 def _clean(value: str) -> str:
