@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.parse.definitions import Lines, definitions, matches, parse_python
-from codeloom.parse.lexer import CONTEXTUAL, ID, STR, WORDS, lex
+from codeloom.parse.lexer import CONTEXTUAL, ID, LINE, STR, WORDS, lex
 
 SYMBOL = "array<struct<name: string, kind: string, path: string, line_start: int, line_end: int, hash: string, visibility: string, is_async: boolean, is_static: boolean, parameters: array<string>, return_type: string, docstring: string>>"
 IMPORT = "array<struct<module_path: string, names: array<string>, is_from_import: boolean, line: int>>"
@@ -90,21 +90,48 @@ def extract_tokens(text: str, lang: str) -> tuple[list, list, list]:
     line = lambda i: lines.of(toks[min(i, n - 1)][1])
     kinds = {W[k]: k for k in ("class", "interface", "enum", "struct", "record") if k in W}
     symbols, imports, calls, owners = [], [], [], []
+    bodies: dict[int, str] = {}  # openings of class bodies, with the class
+    openers: list[int] = []
+    sharp = lang == "c_sharp"
+    access = {W[k] for k in ("public", "private", "protected", "static", "readonly", "declare", "abstract", "override") if k in W}
+    accessors = {W[k] for k in ("get", "set", "init") if k in W}
     for i, c in enumerate(codes):
+        if c in ("{", "$"):
+            openers.append(i)
+        elif c == "}" and openers:
+            openers.pop()
+        inside = bodies.get(openers[-1]) if openers else None
+        if inside and not sharp and code(i - 1) in ("{", ";", "}", LINE) and c not in ("}", ";", LINE):
+            j = i
+            while code(j) in access and code(j + 1) not in (":", "=", ";", "?", "!", "("):
+                j += 1
+            k = j + 1 + (code(j + 1) in ("?", "!"))
+            if (code(j) in names or code(j) == "#") and code(k) in (":", "=", ";", LINE, "}"):
+                symbols.append(_symbol(rows, word(j).lstrip("#"), "property", f"{inside}.{word(j)}", line(i), line(k)))
+        elif inside and sharp and c in names and code(i + 1) == "{" and (code(i + 2) in accessors or code(i + 3) in accessors):
+            symbols.append(_symbol(rows, word(i), "property", f"{inside}.{word(i)}", line(i), line(close.get(i + 1, i + 1))))
+        elif inside and sharp and c == W["const"]:
+            j = i + 1
+            while j < n and codes[j] not in ("=", ";", "}"):
+                j += 1
+            if code(j) == "=" and code(j - 1) in names:
+                symbols.append(_symbol(rows, word(j - 1), "constant", f"{inside}.{word(j - 1)}", line(i), line(j)))
         after_dot = code(i - 1) in (".", "q", ":", "<", ",")
         if c in kinds and code(i + 1) in names and not after_dot:
             j = i + 2
             while j < n and codes[j] not in ("{", ";"):
                 j = close.get(j, j) + 1
             end = close.get(j, j)
+            if c in (W["class"], W.get("struct"), W.get("record")):
+                bodies[j] = word(i + 1)
             kind = {"record": "class"}.get(kinds[c], kinds[c])
             symbols.append(_symbol(rows, word(i + 1), kind, word(i + 1), line(i), line(end)))
             owners.append((line(i), line(end), word(i + 1)))
-        elif lang != "c_sharp" and c == W["type"] and code(i + 1) in names and code(i + 2) in ("=", "<") and not after_dot:
+        elif not sharp and c == W["type"] and code(i + 1) in names and code(i + 2) in ("=", "<") and not after_dot:
             symbols.append(_symbol(rows, word(i + 1), "type", word(i + 1), line(i), line(i)))
-        elif lang != "c_sharp" and c in (W["const"], W["let"], W["var"]) and code(i + 1) in names and code(i + 2) == "=" and (word(i + 1).isupper() or code(i + 3) in ("n", "S", "T")):
+        elif not sharp and c in (W["const"], W["let"], W["var"]) and code(i + 1) in names and code(i + 2) == "=" and (word(i + 1).isupper() or code(i + 3) in ("n", "S", "T")):
             symbols.append(_symbol(rows, word(i + 1), "constant", word(i + 1), line(i), line(i)))
-        elif lang != "c_sharp" and c == W["import"] and code(i - 1) not in (".", "="):
+        elif not sharp and c == W["import"] and code(i - 1) not in (".", "="):
             j, found = i + 1, []
             while j < n and codes[j] not in (STR, ";", "(", "="):
                 if codes[j] in names and code(j - 1) != W["as"] and word(j) not in ("from", "type", "as") or code(j - 1) == W["as"] and code(j - 2) == "*":
@@ -112,7 +139,7 @@ def extract_tokens(text: str, lang: str) -> tuple[list, list, list]:
                 j += 1
             if code(j) == STR:
                 imports.append({"module_path": word(j)[1:-1], "names": found, "is_from_import": True, "line": line(i)})
-        elif lang == "c_sharp" and c == W["using"] and code(i + 1) in names and code(i - 1) in ("", ";", "{"):
+        elif sharp and c == W["using"] and code(i + 1) in names and code(i - 1) in ("", ";", "{"):
             j = i + 1
             while j < n and codes[j] != ";":
                 j += 1

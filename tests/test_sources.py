@@ -64,7 +64,7 @@ export const arrow = async (p) => { call(`t${p}`); };
 '''
 CS = '''using System.Text;
 namespace A.B;
-public sealed class C : Base { public C() { } public int P { get; set; } [X] private static async Task<int> Go(int a, List<string> b) { return Run(a); } }
+public sealed class C : Base { public C() { } public int P { get; set; } const string K = "x"; [X] private static async Task<int> Go(int a, List<string> b) { return Run(a); } }
 public interface IThing { void No(); }
 '''
 
@@ -76,8 +76,8 @@ def test_extractors(spark):
     assert errors["bad"] and not errors["p"] and errors["nul"] is None and "go" not in errors
     got = {(r.file_id, r.path, r.kind) for r in extract.symbol_rows(parsed).collect()}
     assert {("p", "LIMIT", "constant"), ("p", "top", "function"), ("p", "inner", "function"), ("p", "K", "class"), ("p", "K.MAX", "constant"), ("p", "K.m", "method"), ("p", "K.__init__", "method")} == {x for x in got if x[0] == "p"}
-    assert {("t", "Q", "class"), ("t", "Q.go", "method"), ("t", "I", "interface"), ("t", "Al", "type"), ("t", "E", "enum"), ("t", "UP", "constant"), ("t", "arrow", "function")} <= got
-    assert {("c", "C", "class"), ("c", "C.Go", "method"), ("c", "IThing", "interface")} == {x for x in got if x[0] == "c"}
+    assert {("t", "Q", "class"), ("t", "Q.x", "property"), ("t", "Q.go", "method"), ("t", "I", "interface"), ("t", "Al", "type"), ("t", "E", "enum"), ("t", "UP", "constant"), ("t", "arrow", "function")} <= got
+    assert {("c", "C", "class"), ("c", "C.Go", "method"), ("c", "C.P", "property"), ("c", "C.K", "constant"), ("c", "IThing", "interface")} == {x for x in got if x[0] == "c"}
     imports = {(r.file_id, r.module_path, tuple(r.names)) for r in extract.import_rows(parsed).collect()}
     assert {("p", "os", ("os",)), ("p", "sys", ("s",)), ("p", ".x", ("Y", "Z")), ("t", "n", ("* as N",)), ("c", "System.Text", ())} <= imports
     calls = {(r.file_id, r.callee, r.caller_path) for r in extract.call_rows(parsed).collect()}
