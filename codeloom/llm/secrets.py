@@ -28,12 +28,12 @@ KEY_KINDS = frozenset("api access session deploy secret private signing sign enc
 PHRASE_KINDS = frozenset("admin login user pass root db secret recovery seed backup wallet unlock master service sudo".split())
 CODE_KINDS = frozenset("license licence access auth activation security recovery backup pairing".split())
 OTHER_MEANING = frozenset("public endpoint url uri host path file filename name field header id ids type length len min max size ttl expiry expires count limit policy param label placeholder regex pattern sha1 sha256 sha512 md5 checksum digest hash integrity commit revision etag version format prefix column attribute index env var variable input prompt hint".split())
+#: What names of credentials end with, whatever separates their words.
+JOINED = ("password", "passwd", "passphrase", "dbpass", "apikey", "accesskey", "secretkey", "authtoken", "accesstoken", "sessionkey", "deploykey", "smtppw", "licensecode", "connectionauth", "signingsecret", "clientsecret", "webhooksecret", "hmacsaltkey")
 
 #: Substrings (lower case) of lines worth a look.
 TRIGGERS = ("pass", "pw", "secret", "token", "key", "auth", "bearer", "basic ", "cred", "private", "://", "code", "psk", "akia", "eyj", "_live_", "sk-", "sk_", "phrase", "word", "sas", "wort", "pat", "ghp_", "xox", "p_")
 
-#: What a line with a credential holds at least: a digit in or a symbol within a word, or a word of changing case.
-_ODD = re.compile(r"\d[^\s\"'`]{3}|[^\s\"'`]{3}\d|[A-Za-z][!%^~*+#$&@?][^\s\"'`]|[!%^~*+#$&@?][A-Za-z]{2}|(?:[a-z]+[A-Z]+){3}|[a-z][A-Z]{2}|[A-Z]{10}")
 #: How a line ends whose literal goes on in the next.
 _GOES_ON = ('"', "'", "(", "+", "\\", "=")
 
@@ -91,8 +91,22 @@ def names_credential(key: str) -> bool:
     before = words[-2] if len(words) > 1 else ""
     if last in CREDENTIAL_WORDS or last in ("key", "keys") and (before in KEY_KINDS or len(words) > 2 and words[-3] in KEY_KINDS) or last in ("code", "codes") and before in CODE_KINDS or last in ("phrase", "word", "words") and before in PHRASE_KINDS:
         return True
-    joined = "".join(words)
-    return any(joined.endswith(w) for w in ("password", "passwd", "passphrase", "dbpass", "apikey", "accesskey", "secretkey", "authtoken", "accesstoken", "sessionkey", "deploykey", "smtppw", "licensecode", "connectionauth", "signingsecret", "clientsecret", "webhooksecret", "hmacsaltkey"))
+    return "".join(words).endswith(JOINED)
+
+
+#: What follows from names_credential: the name ends with one of these words, no letter goes on, and at least the five characters of a value come later.
+_NAME_ENDS = re.compile(rf"(?:{'|'.join(sorted({*CREDENTIAL_WORDS, 'key', 'keys', 'code', 'codes', 'phrase', 'word', 'words'}))})(?![a-z])(?:\s*\S){{5}}")
+_SEPARATORS = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
+_JOINED = tuple(w.encode() for w in JOINED)
+
+
+def may_name(line: str) -> bool:
+    """Whether any rule on names can find a credential in a line: true for each line in which one does."""
+    low = line.casefold()
+    if _NAME_ENDS.search(low):
+        return True
+    letters = low.encode(errors="replace").translate(None, _SEPARATORS)
+    return any(w in letters for w in _JOINED)
 
 
 class Judge:
@@ -150,7 +164,7 @@ def line_spans(line: str, judge: Judge) -> list[tuple[int, int]]:
         if z > a and not any(x < z and a < y for x, y in out):
             out.append((a, z))
 
-    for m in _USERINFO.finditer(line):
+    for m in _USERINFO.finditer(line) if "://" in line else ():
         if judge.literal(m["v"]) or not _STAND_IN.fullmatch(m["v"].lower()) and len(m["v"]) >= 5 and "{" not in m["v"] and "$" != m["v"][:1] and (any(not c.isalpha() for c in m["v"]) or _MIXED.search(m["v"])):
             take(*m.span("v"))
     for m in _BARE.finditer(line):
@@ -162,6 +176,8 @@ def line_spans(line: str, judge: Judge) -> list[tuple[int, int]]:
     for m in _CONNECTION.finditer(line):
         if judge.literal(m["v"]) and not re.search(r"[()\[\]]|^[a-z_.]+$", m["v"]):
             take(*m.span("v"))
+    if not may_name(line):  # the rules below begin with the name of a credential
+        return out
     at = 0
     while m := _ASSIGN.search(line, at):
         if names_credential(m["k"].split()[-1]) and judge.literal(m["v"]):
@@ -246,8 +262,6 @@ def spans(text: str, judge: Judge) -> list[tuple[int, int, int]]:
             if len(pieces) > bool(m["first"]) and judge.literal("".join(p for _, p, _ in pieces)):
                 n = pieces[0][2]  # the credential begins on the line of its first piece
                 out += [(x, x + len(p), n) for x, p, _ in pieces]
-        if not _ODD.search(own):
-            continue
         a = start
         if not own.isascii() and (kept := [i for i, c in enumerate(own) if c not in _INVISIBLE]) and len(kept) < len(own):
             seen = line_spans("".join(own[i] for i in kept), judge)  # as a reader sees the line

@@ -43,6 +43,22 @@ def test_tables(spark):
     assert {(r.risk_id, tuple(r.evidence) if r.evidence is not None else None) for r in secrets.p7_redacted_risks(risks).collect()} == {("r1", ("x", None, "const dbPass = '************';", "-----BEGIN PRIVATE KEY-----")), ("r2", None), ("r3", ())}
 
 
+LETTERS = ['smtp_password = "qzxkvjwbnmplrtgh"', 'app_password: "kxqv-zjwp-mtrb-hngd"', 'LICENSE_KEY = "QZXKV-WPMTR-BNHGD"', "--password qzxk-vjwb-nmpl"]
+
+
+def test_values_of_letters_alone():
+    assert [x for x in LETTERS if not secrets.spans(x, J)] == []
+
+
+@pytest.mark.parametrize("sep", ["", "_", "-", "."])
+def test_names_pass_the_gate(sep):
+    names = [w for w in secrets.CREDENTIAL_WORDS if w.isascii()] + [f"api{sep}{w}" for w in ("key", "keys")] + [f"auth{sep}{w}" for w in ("code", "codes")] + [f"admin{sep}{w}" for w in ("phrase", "word", "words")] + [sep.join((w[:3], w[3:])) for w in secrets.JOINED]
+    for name in names:
+        for k in (name, name.upper(), f"db_{name}", f"{name}_1"):
+            if secrets.names_credential(k):
+                assert secrets.may_name(f"{k} = 'abcde'") and secrets.may_name(f"<{k}>abc</{k}>") and secrets.may_name(f'{k} = "a" "b" "c"'), k
+
+
 HAND = "import os\nfrom a.b import c\n\n\ndef work(x, y):\n    for i in range(x):\n        if i % 2:\n            print(i)\n    while y:\n        y -= 1\n    return x\n\n\nclass A:\n    LIMIT = 3\n\n    def go(self):\n        return [1, 2]\n"
 
 
