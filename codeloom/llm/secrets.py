@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from unicodedata import normalize
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,35 +33,58 @@ OTHER_MEANING = frozenset("public endpoint url uri host path file filename name
 #: What names of credentials end with, whatever separates their words.
 JOINED = ("password", "passwd", "passphrase", "dbpass", "apikey", "accesskey", "secretkey", "authtoken", "accesstoken", "sessionkey", "deploykey", "smtppw", "licensecode", "connectionauth", "signingsecret", "clientsecret", "webhooksecret", "hmacsaltkey")
 
-#: Substrings (lower case) of lines worth a look.
-TRIGGERS = ("pass", "pw", "secret", "token", "key", "auth", "bearer", "basic ", "cred", "private", "://", "code", "psk", "akia", "eyj", "_live_", "sk-", "sk_", "phrase", "word", "sas", "wort", "pat", "ghp_", "xox", "p_")
+#: Schemes, names in connection strings (regular expressions; the letters of each), and what bare tokens begin with or hold between two of - and _.
+SCHEMES = ("bearer", "basic", "token", "apikey")
+CONNECTION_NAMES = ("password", "pwd", "accountkey", "sharedaccesskey", "sharedaccesssignature", "secret", "access[_-]?token", "api[_-]?key", "token", "sig")
+TOKEN_STARTS = ("AKIA", "eyJ", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "p_", "AIza")
+TOKEN_PARTS = ("sk", "live", "prod", "api", "pat", "secret")
+
+
+def _shortest(words: set[str]) -> tuple[str, ...]:
+    """The words that hold no other."""
+    return tuple(sorted(w for w in words if not any(o != w and o in w for o in words)))
+
+
+def _forms(words: Iterable[str]) -> set[str]:
+    """Words in lower case, with their accents as one character or two."""
+    return {normalize(f, w.casefold()) for w in words for f in ("NFC", "NFD")}
+
+
+#: Words one of which ends the name of a credential; substrings of lines worth a look (in lower case), from the rules: every line with a credential holds one, or a name in JOINED, or 'sig ='.
+NAME_ENDS = _forms({*CREDENTIAL_WORDS, "key", "keys", "code", "codes", "phrase", "word", "words"})
+TRIGGERS = _shortest({*NAME_ENDS, *SCHEMES, *(re.split(r"\[", w)[-1].split("?")[-1] for w in CONNECTION_NAMES if w != "sig"), *(w.lower() for w in TOKEN_STARTS), *(a + w + b for w in TOKEN_PARTS for a in "-_" for b in "-_"), "://"})
+_TRIGGERS = tuple(t.encode() for t in TRIGGERS)
+_SIG = re.compile(rb"sig[^a-z0-9=\n]*=")
 
 #: How a line ends whose literal goes on in the next.
-_GOES_ON = ('"', "'", "(", "+", "\\", "=")
+_GOES_ON = ('"', "'", "(", "+", "\\", "=", ":")
 
-_NAME = r"(?<![\w$@])[A-Za-z_$@][\w.$@-]{0,80}"
+_MARK = "\u0300-\u036f"  # accents that are characters of their own
+_NAME = rf"(?<![\w{_MARK}$@])(?!\d)[\w$@][\w{_MARK}.$@-]{{0,80}}"
+_LETTERS = (("[A-Za-z]", "[A-Za-z_-]"), (rf"(?:[^\W\d_]|[{_MARK}])", rf"(?:[^\W\d]|[{_MARK}-])"))  # letters, and letters with _ and -: of ASCII lines, and of any
 _QUOTED = r"(?:[fFrRbBuU@$]{0,2})(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.){1,400})(?P=q)"
 #: A name, an optional type, and a quoted value; between them calls that read a setting with a default.
 _ASSIGN = re.compile(rf"[\"'`]?(?P<k>{_NAME}(?: {_NAME}){{0,2}}?)[\"'`]?\]?\s*(?::\s*[\w.<>\[\]|? ]{{1,80}}?\s*)?(?:=>|:=|={{1,3}}|:)\s*(?:(?:[\w.]{{1,80}}\s*\([^()\n]{{0,200}}?,\s*(?:default\s*=\s*)?)|(?:[\w.]{{1,80}}(?:\([^()\n]{{0,200}}\)|\[[^\]\n]{{0,200}}\])?[\w.]{{0,80}}\s*(?:\|\||\?\?|\bor\b)\s*))?(?:\(\s*)?{_QUOTED}")
 _XML = re.compile(r"(?:key|name)\s*=\s*([\"'])(?P<k>[^\"'\n]+)\1\s+value\s*=\s*([\"'])(?P<v>[^\"'\n]*)\3|<(?P<k2>[A-Za-z][\w.-]*)>(?P<v2>[^<>\n]+)</(?P=k2)>", re.I)
 _PLAIN = re.compile(rf"(?:^|(?<=[\s;:?&#/*\"'`(,{{]))(?:export\s+)?-{{0,2}}(?P<k>{_NAME}(?: {_NAME})?)\s*(?:=|:\s)\s*(?P<v>[^\s\"'`]+)")
 _FLAG = re.compile(rf"--(?P<k>{_NAME})[= ](?P<v>[^\s\"'`]+)")
-_SPOKEN = re.compile(r"\b(?P<k>(?:[A-Za-z]{1,40}[ _-]){0,2}(?!(?:was|is|are|to|now|of|as)\b)[A-Za-z_-]{1,40})(?![A-Za-z_-])(?:\s+(?:was|is|are|to|now|of|as)\b:?|\s*[:=])?\s+[`\"']?(?P<v>[^\s`\"']{6,})[`\"']?")
-_TICKED = re.compile(r"[`\"'](?P<k>[\w.-]{1,80})[`\"']\s+(?:to|is|as|=|:)\s+[`\"'](?P<v>[^`\"'\s]+)[`\"']|\b(?P<k2>(?:[A-Za-z]{1,40}[ _-]){0,3}[A-Za-z_-]{1,40})\s+`(?P<v2>[^`\s]+)`")
-_SCHEME = re.compile(r"\b(?P<s>bearer|basic|token|apikey)\b\s*[\"'`]?\s*(?:[+.:,]\s*)?[\"'`]?\s?(?P<v>[A-Za-z0-9_\-.~+/=]{8,})", re.I)
+_SPOKEN, _SPOKEN_ANY = (re.compile(rf"\b(?P<k>(?:{w}{{1,40}}[ _-]){{0,2}}(?!(?:was|is|are|to|now|of|as)\b){x}{{1,40}})(?!{x})(?:\s+(?:was|is|are|to|now|of|as)\b:?|\s*[:=])?\s+[`\"']?(?P<v>[^\s`\"']{{6,}})[`\"']?") for w, x in _LETTERS)
+_TICKED, _TICKED_ANY = (re.compile(rf"[`\"'](?P<k>[\w{_MARK}.-]{{1,80}})[`\"']\s+(?:to|is|as|=|:)\s+[`\"'](?P<v>[^`\"'\s]+)[`\"']|\b(?P<k2>(?:{w}{{1,40}}[ _-]){{0,3}}{x}{{1,40}})\s+`(?P<v2>[^`\s]+)`") for w, x in _LETTERS)
+_SCHEME = re.compile(rf"\b(?P<s>{'|'.join(SCHEMES)})\b\s*[\"'`]?\s*(?:[+.:,]\s*)?[\"'`]?\s?(?P<v>[A-Za-z0-9_\-.~+/=]{{8,}})", re.I)
 _HEADER = re.compile(r"\b(?P<k>(?:X-)?[A-Za-z-]{0,40}(?:Auth|Token|Key|Secret)[A-Za-z-]{0,40})[\"'`]?\s*[:,]\s*[\"'`]?(?P<v>[^\s\"'`,;]{8,})", re.I)
 #: A pair of user and password; a name-value pair on two lines; a literal that goes on in others.
 _PAIR = re.compile(rf"(?P<k>{_NAME})[\"']?\s*[:=]\s*[(\[{{]\s*([\"'])[^\"'\n]*\2\s*,\s*([\"'])(?P<v>[^\"'\n]+)\3\s*[)\]}}]")
-_NAMED = re.compile(r"[\"']?name[\"']?\s*[:=]\s*[\"']?(?P<k>[\w.-]+)[\"']?,?\s*$", re.I)
+_NAMED = re.compile(rf"[\"']?name[\"']?\s*[:=]\s*[\"']?(?P<k>[\w{_MARK}.-]+)[\"']?,?\s*$", re.I)
 _VALUE = re.compile(r"^\s*[-,]?\s*[\"']?value[\"']?\s*[:=]\s*[\"']?(?P<v>[^\s\"']+)[\"']?,?\s*$", re.I)
 _OPENS = re.compile(rf"(?P<k>{_NAME})[\"'`]?\]?\s*(?::\s*[\w.]+\s*)?[:=]\s*\(?\s*(?P<first>[\"'][^\"'\n]*[\"'])?\s*[+\\]?\s*$")
 _MORE = re.compile(r"^\s*[+.]?\s*([\"'])(?P<v>[^\"'\n]*)\1\s*(?P<on>[+\\]?)\s*(?P<end>[);,]*)\s*$")
 _TOGETHER = re.compile(rf"(?P<k>{_NAME})[\"'`]?\]?\s*(?::\s*[\w.]+\s*)?[:=]\s*\(?\s*(?P<parts>([\"'])[^\"'\n]*\3(?:\s*\+?\s*([\"'])[^\"'\n]*\4)+)")
 _USERINFO = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/@\"'`<>]{0,200}:(?P<v>[^\s/\"'`<>]+)@[\w\[.$-]")
-_CONNECTION = re.compile(r"(?:^|[;\"'`\s?&])(?P<k>password|pwd|accountkey|sharedaccesskey|sharedaccesssignature|secret|access[_-]?token|api[_-]?key|token|sig)\s*=\s*(?P<v>[^;\"'`\s&]+)", re.I)
+_CONNECTION = re.compile(rf"(?:^|[;\"'`\s?&])(?P<k>{'|'.join(CONNECTION_NAMES)})\s*=\s*(?P<v>[^;\"'`\s&]+)", re.I)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<v>[\s\S]*?)(?:-----END [A-Z0-9 ]*-----|\Z)")
-_BARE = re.compile(r"(?<![\w/+=-])(?:AKIA[0-9A-Z]{13,17}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*|gh[pousr]_\w{20,}|xox[abprs]-[\w-]{10,}|[a-z]{2,8}(?:[-_](?:sk|live|prod|api|pat|secret))+[-_][A-Za-z0-9]{16,}|[a-z]{2,8}p_[A-Za-z0-9]{16,}|AIza[\w-]{30,})(?![\w/+=-])")
+_BARE = re.compile(r"(?<![\w/+=-])(?:AKIA[0-9A-Z]{13,17}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*|gh[pousr]_\w{20,}|xox[abprs]-[\w-]{10,}|[a-z]{2,8}(?:[-_](?:" + "|".join(TOKEN_PARTS) + r"))+[-_][A-Za-z0-9]{16,}|[a-z]{2,8}p_[A-Za-z0-9]{16,}|AIza[\w-]{30,})(?![\w/+=-])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_ANY_WORDS = regex.compile(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\p{Lo}+|\d+")
 
 # Literals that stand in for a credential (matched whole, in lower case).
 _STAND_IN = re.compile(
@@ -77,7 +102,7 @@ _SUM = re.compile(r"(?:sha\d+|md5)[-:].*", re.I)
 
 
 def name_of(key: str) -> list[str]:
-    return [w.lower() for w in _WORDS.findall(key)]
+    return [w.lower() for w in (_WORDS.findall(key) if key.isascii() else _ANY_WORDS.findall(normalize("NFC", key)))]
 
 
 def names_credential(key: str) -> bool:
@@ -95,18 +120,45 @@ def names_credential(key: str) -> bool:
 
 
 #: What follows from names_credential: the name ends with one of these words, no letter goes on, and at least the five characters of a value come later.
-_NAME_ENDS = re.compile(rf"(?:{'|'.join(sorted({*CREDENTIAL_WORDS, 'key', 'keys', 'code', 'codes', 'phrase', 'word', 'words'}))})(?![a-z])(?:\s*\S){{5}}")
-_SEPARATORS = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
+_NAME_ENDS = re.compile(rf"(?=(?:{'|'.join(sorted(NAME_ENDS))})(?![a-z])(?:\s*\S){{5}})[{''.join(sorted({w[0] for w in NAME_ENDS}))}]")
+_SEPARATORS = bytes(c for c in range(256) if c != 10 and not (chr(c).isascii() and chr(c).isalnum()))
 _JOINED = tuple(w.encode() for w in JOINED)
+_ANY_JOINED = re.compile(b"|".join(_JOINED))
 
 
 def may_name(line: str) -> bool:
     """Whether any rule on names can find a credential in a line: true for each line in which one does."""
     low = line.casefold()
-    if _NAME_ENDS.search(low):
+    if not line.isascii():
+        if _NAME_ENDS.search(low):
+            return True
+    elif any(not (i := m.start()) or not line[i - 1].isalpha() or line[i].isupper() for m in _NAME_ENDS.finditer(low)):  # where a word begins in name_of
         return True
-    letters = low.encode(errors="replace").translate(None, _SEPARATORS)
-    return any(w in letters for w in _JOINED)
+    return bool(_ANY_JOINED.search(low.encode(errors="replace").translate(None, _SEPARATORS)))
+
+
+def worth_a_look(text: str, ends: list[int]) -> set[int]:
+    """Numbers from 0 of the lines in which a rule may find a credential. ends: the places of line ends."""
+    low = text.casefold()
+    if not text.isascii():
+        for c in _INVISIBLE:
+            low = low.replace(c, "")
+    raw = low.encode(errors="replace")
+    if not text.isascii():
+        ends = [m.start() for m in re.finditer(b"\n", raw)]
+    hits: set[int] = set()
+    for t in _TRIGGERS:
+        i = raw.find(t)
+        while i >= 0:
+            k = bisect_right(ends, i)
+            hits.add(k)
+            i = raw.find(t, ends[k] if k < len(ends) else len(raw))
+    if b"sig" in raw:
+        hits.update(bisect_right(ends, m.start()) for m in _SIG.finditer(raw))
+    letters = raw.translate(None, _SEPARATORS)
+    if any(w in letters for w in _JOINED):
+        hits.update(k for k, x in enumerate(letters.split(b"\n")) if any(w in x for w in _JOINED))
+    return hits
 
 
 class Judge:
@@ -170,14 +222,16 @@ def line_spans(line: str, judge: Judge) -> list[tuple[int, int]]:
     for m in _BARE.finditer(line):
         if not _STAND_IN.fullmatch(m[0].lower()) and (m[0].startswith(("eyJ", "AKIA")) or judge.unnatural(m[0])):
             take(*m.span())
-    for m in _SCHEME.finditer(line):
+    low = line.casefold()
+    for m in _SCHEME.finditer(line) if any(w in low for w in SCHEMES) else ():
         if judge.literal(m["v"]) and (judge.unnatural(m["v"]) or m["s"].lower() != "token" and any(c.isdigit() for c in m["v"]) and len(m["v"]) >= 16):
             take(*m.span("v"))
-    for m in _CONNECTION.finditer(line):
+    for m in _CONNECTION.finditer(line) if "=" in line else ():
         if judge.literal(m["v"]) and not re.search(r"[()\[\]]|^[a-z_.]+$", m["v"]):
             take(*m.span("v"))
     if not may_name(line):  # the rules below begin with the name of a credential
         return out
+    spoken, ticked = (_SPOKEN, _TICKED) if line.isascii() else (_SPOKEN_ANY, _TICKED_ANY)
     at = 0
     while m := _ASSIGN.search(line, at):
         if names_credential(m["k"].split()[-1]) and judge.literal(m["v"]):
@@ -195,10 +249,10 @@ def line_spans(line: str, judge: Judge) -> list[tuple[int, int]]:
         k, v = ("k", "v") if m["k"] else ("k2", "v2")
         if names_credential(m[k]) and judge.literal(m[v]):
             take(*m.span(v))
-    for pattern in (_HEADER, _TICKED):
+    for pattern in (_HEADER, ticked):
         for m in pattern.finditer(line):
             k, v = ("k", "v") if m["k"] else ("k2", "v2")
-            if names_credential(m[k]) and judge.literal(m[v]) and (pattern is _TICKED or judge.unnatural(m[v])):
+            if names_credential(m[k]) and judge.literal(m[v]) and (pattern is ticked or judge.unnatural(m[v])):
                 take(*m.span(v))
     for pattern in (_PLAIN, _FLAG):
         at = 0
@@ -208,7 +262,7 @@ def line_spans(line: str, judge: Judge) -> list[tuple[int, int]]:
                 take(a, a + len(v))
             at = max(m.end("k"), at + 1)
     at = 0
-    while m := _SPOKEN.search(line, at):
+    while m := spoken.search(line, at):
         v, a = _clean(m["v"]), m.start("v")
         if names_credential(" ".join(m["k"].split()[-3:])) and judge.literal(m["v"]) and judge.plain(v) and (judge.unnatural(v) or any(c.isdigit() for c in v) and any(not c.isalnum() for c in v)):
             take(a, a + len(v))
@@ -220,15 +274,8 @@ def line_spans(line: str, judge: Judge) -> list[tuple[int, int]]:
 
 def spans(text: str, judge: Judge) -> list[tuple[int, int, int]]:
     """(start, end, 1-based line) of the credentials of a text; of key blocks, the body and the line of the opening."""
-    low = text.lower()
-    hits: set[int] = set()
     ends = [m.start() for m in re.finditer("\n", text)]
-    for t in TRIGGERS:
-        i = low.find(t)
-        while i >= 0:
-            k = bisect_right(ends, i - 1)
-            hits.add(k)
-            i = low.find(t, ends[k] if k < len(ends) else len(low))
+    hits = worth_a_look(text, ends)
     if not hits:
         return []
     out: list[tuple[int, int, int]] = []
@@ -244,7 +291,7 @@ def spans(text: str, judge: Judge) -> list[tuple[int, int, int]]:
 
     for k in sorted(hits):
         start, own = line(k)
-        if k < len(ends) and "ame" in own and (m := _NAMED.search(own)) and names_credential(m["k"]):
+        if k < len(ends) and "ame" in own.lower() and (m := _NAMED.search(own)) and names_credential(m["k"]):
             below, after = line(k + 1)
             if (v := _VALUE.match(after)) and judge.literal(v["v"]):
                 out.append((below + v.start("v"), below + v.end("v"), k + 2))
