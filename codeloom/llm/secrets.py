@@ -62,7 +62,7 @@ _GOES_ON = ('"', "'", "(", "+", "\\", "=", ":")
 _MARK = "\u0300-\u036f"  # accents that are characters of their own
 _NAME = rf"(?<![\w{_MARK}$@])(?!\d)[\w$@][\w{_MARK}.$@-]{{0,80}}"
 _LETTERS = (("[A-Za-z]", "[A-Za-z_-]"), (rf"(?:[^\W\d_]|[{_MARK}])", rf"(?:[^\W\d]|[{_MARK}-])"))  # letters, and letters with _ and -: of ASCII lines, and of any
-_QUOTED = r"(?:[fFrRbBuU@$]{0,2})(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.){1,400})(?P=q)"
+_QUOTED = r"(?:[fFrRbBuU@$]{0,2})(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)++)(?P=q)"
 #: A name, an optional type, and a quoted value; between them calls that read a setting with a default.
 _ASSIGN = re.compile(rf"[\"'`]?(?P<k>{_NAME}(?: {_NAME}){{0,2}}?)[\"'`]?\]?\s*(?::\s*[\w.<>\[\]|? ]{{1,80}}?\s*)?(?:=>|:=|={{1,3}}|:)\s*(?:(?:[\w.]{{1,80}}\s*\([^()\n]{{0,200}}?,\s*(?:default\s*=\s*)?)|(?:[\w.]{{1,80}}(?:\([^()\n]{{0,200}}\)|\[[^\]\n]{{0,200}}\])?[\w.]{{0,80}}\s*(?:\|\||\?\?|\bor\b)\s*))?(?:\(\s*)?{_QUOTED}")
 _XML = re.compile(r"(?:key|name)\s*=\s*([\"'])(?P<k>[^\"'\n]+)\1\s+value\s*=\s*([\"'])(?P<v>[^\"'\n]*)\3|<(?P<k2>[A-Za-z][\w.-]*)>(?P<v2>[^<>\n]+)</(?P=k2)>", re.I)
@@ -82,6 +82,8 @@ _TOGETHER = re.compile(rf"(?P<k>{_NAME})[\"'`]?\]?\s*(?::\s*[\w.]+\s*)?[:=]\s*\(
 _USERINFO = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/@\"'`<>]{0,200}:(?P<v>[^\s/\"'`<>]+)@[\w\[.$-]")
 _CONNECTION = re.compile(rf"(?:^|[;\"'`\s?&])(?P<k>{'|'.join(CONNECTION_NAMES)})\s*=\s*(?P<v>[^;\"'`\s&]+)", re.I)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<v>[\s\S]*?)(?:-----END [A-Z0-9 ]*-----|\Z)")
+#: The rest of a line, and the lines of a key's body that follow: base64, headers and blank ones, the last perhaps short.
+_KEY_LINES = re.compile(r"[^\n]*(?:\n[\s\"'`,;>*#-]*+(?:[A-Za-z0-9+/]{24,}+={0,2}|[A-Z][A-Za-z-]+: [^\n]*)?(?:\\[rn])*[^\w\n]*(?=\n|\Z))*(?:\n[ \t\"'`>*#-]*+(?=[a-z]*[A-Z0-9+/=])[A-Za-z0-9+/]{1,23}+={0,2}(?:\\[rn])*[^\w\n]*(?=\n|\Z))?")
 _BARE = re.compile(r"(?<![\w/+=-])(?:AKIA[0-9A-Z]{13,17}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*|gh[pousr]_\w{20,}|xox[abprs]-[\w-]{10,}|[a-z]{2,8}(?:[-_](?:" + "|".join(TOKEN_PARTS) + r"))+[-_][A-Za-z0-9]{16,}|[a-z]{2,8}p_[A-Za-z0-9]{16,}|AIza[\w-]{30,})(?![\w/+=-])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _ANY_WORDS = regex.compile(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\p{Lo}+|\d+")
@@ -169,11 +171,14 @@ class Judge:
         self.seen: dict[str, float] = {}
 
     def per_subword(self, value: str) -> float:
-        if value not in self.seen:
+        if value in self.seen:
+            return self.seen[value]
+        n = len(value) / max(1, len(self.enc.encode([value])[0]))
+        if len(value) <= 1000:  # longer ones are not kept
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            self.seen[value] = len(value) / max(1, len(self.enc.encode([value])[0]))
-        return self.seen[value]
+            self.seen[value] = n
+        return n
 
     def unnatural(self, value: str) -> bool:
         return len(value) >= JUDGED and self.per_subword(value) <= UNNATURAL
@@ -272,18 +277,18 @@ def line_spans(line: str, judge: Judge) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str, judge: Judge) -> list[tuple[int, int, int]]:
-    """(start, end, 1-based line) of the credentials of a text; of key blocks, the body and the line of the opening."""
-    ends = [m.start() for m in re.finditer("\n", text)]
-    hits = worth_a_look(text, ends)
-    if not hits:
-        return []
+def over_lines(text: str, judge: Judge, ends: list[int], hits: set[int], apart: bool = False) -> list[tuple[int, int, int]]:
+    """Spans of the rules that go over line ends: key blocks, values on the line after their name, literals that go on. Where lines need not follow each other (apart), a block without end holds what looks like lines of a key."""
     out: list[tuple[int, int, int]] = []
-    if "PRIVATE KEY" in text:
-        for m in _PEM.finditer(text):
-            body = re.sub(r"\\n|[^A-Za-z0-9+/=]", "", m["v"])
-            if len(body) >= 32 and judge.per_subword(body[:200]) <= 3:
-                out.append((*m.span("v"), bisect_right(ends, m.start() - 1) + 1))
+    at = 0
+    while "PRIVATE KEY" in text and (m := _PEM.search(text, at)):
+        a, z = m.span("v")
+        if apart and ("-----BEGIN" in m["v"] or not text.startswith("-----END", z)):
+            z = min(z, _KEY_LINES.match(text, a).end())
+        at = z if apart else m.end()
+        body = re.sub(r"\\n|[^A-Za-z0-9+/=]", "", text[a:z])
+        if len(body) >= 32 and (judge.per_subword(body[:200]) <= 3 or judge.per_subword(body) <= 3):
+            out.append((a, z, bisect_right(ends, m.start() - 1) + 1))
 
     def line(k: int) -> tuple[int, str]:
         a = ends[k - 1] + 1 if k else 0
@@ -298,7 +303,7 @@ def spans(text: str, judge: Judge) -> list[tuple[int, int, int]]:
         if k < len(ends) and own.rstrip().endswith(_GOES_ON) and (m := _OPENS.search(own)) and names_credential(m["k"]):
             pieces = [(start + m.start("first") + 1, m["first"][1:-1], k + 1)] if m["first"] else []
             j = k + 1
-            while j <= len(ends) and j < k + 40:
+            while j <= len(ends):
                 below, after = line(j)
                 if not (v := _MORE.match(after)):
                     break
@@ -309,6 +314,19 @@ def spans(text: str, judge: Judge) -> list[tuple[int, int, int]]:
             if len(pieces) > bool(m["first"]) and judge.literal("".join(p for _, p, _ in pieces)):
                 n = pieces[0][2]  # the credential begins on the line of its first piece
                 out += [(x, x + len(p), n) for x, p, _ in pieces]
+    return out
+
+
+def spans(text: str, judge: Judge) -> list[tuple[int, int, int]]:
+    """(start, end, 1-based line) of the credentials of a text; of key blocks, the body and the line of the opening."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    hits = worth_a_look(text, ends)
+    if not hits:
+        return []
+    out = over_lines(text, judge, ends, hits)
+    for k in sorted(hits):
+        start = ends[k - 1] + 1 if k else 0
+        own = text[start : ends[k]] if k < len(ends) else text[start:]
         a = start
         if not own.isascii() and (kept := [i for i, c in enumerate(own) if c not in _INVISIBLE]) and len(kept) < len(own):
             seen = line_spans("".join(own[i] for i in kept), judge)  # as a reader sees the line
@@ -324,13 +342,37 @@ def spans(text: str, judge: Judge) -> list[tuple[int, int, int]]:
 def redact(text: str, found: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
     for a, z, _ in found:
-        if a < at:
+        a = max(a, at)
+        if z <= a:
             continue
         out += [text[at:a], re.sub(r"[^\s]", "*", text[a:z])]
         at = z
     return "".join([*out, text[at:]])
 
 
+def evidence_spans(items: list[str | None], judge: Judge) -> list[list[tuple[int, int, int]]]:
+    """Spans of each item, as spans() has them; then those of rules that go over line ends, on the items as lines of one text. A credential over several items has line 1 where it begins and 0 in the others."""
+    found = [spans(t, judge) if t else [] for t in items]
+    if len(items) < 2:
+        return found
+    text = "\n".join(t or "" for t in items)
+    ends = [m.start() for m in re.finditer("\n", text)]
+    if not (hits := worth_a_look(text, ends)):
+        return found
+    begins = [0]
+    for t in items:
+        begins.append(begins[-1] + len(t or "") + 1)
+    for a, z, line in over_lines(text, judge, ends, hits, apart=True):
+        first = bisect_right(begins, ends[line - 2] + 1 if line > 1 else 0) - 1
+        for k in range(bisect_right(begins, a) - 1, len(items)):
+            x, y = max(a, begins[k]), min(z, begins[k + 1] - 1)
+            if begins[k] >= z:
+                break
+            if x < y:
+                found[k].append((x - begins[k], y - begins[k], int(k == first)))
+    return [sorted(f) for f in found]
+
+
 _judges: dict[int, Judge] = {}
 
 
@@ -374,7 +416,7 @@ def document_lines(documents: DataFrame, folder: str | None = None) -> DataFrame
 
 
 def risk_credentials(risks: DataFrame, folder: str | None = None) -> DataFrame:
-    """(risk_id, lines, evidence): 1-based positions in evidence that hold credentials, and the redacted evidence. Null evidence and null items stay so."""
+    """(risk_id, lines, evidence): 1-based positions in evidence at which credentials begin, and the redacted evidence. Null evidence and null items stay so."""
     raw = vocabulary(risks, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,9 +424,9 @@ def risk_credentials(risks: DataFrame, folder: str | None = None) -> DataFrame:
         for b in batches:
             lines, texts = [], []
             for items in b.column("evidence").to_pylist():
-                found = [spans(t, judge) if t else [] for t in items or ()]
+                found = evidence_spans(items or [], judge)
                 opens = ["PRIVATE KEY-----" in t and "BEGIN" in t if t else False for t in items or ()]
-                lines.append([k for k, (f, o) in enumerate(zip(found, opens), 1) if f or o])
+                lines.append([k for k, (f, o) in enumerate(zip(found, opens), 1) if any(n for *_, n in f) or o])
                 texts.append(None if items is None else [redact(t, f) if f else t for t, f in zip(items, found)])
             yield pa.RecordBatch.from_arrays([b.column("risk_id"), pa.array(lines, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["risk_id", "lines", "evidence"])
 
