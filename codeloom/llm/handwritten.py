@@ -24,9 +24,6 @@ LIMITS = {
     "js": {"max_line": 400, "mean_line": 160, "space": 0.11, "alnum": 0.45, "digits": 0.35, "encoded": 0.65, "shape_lines": 8, "shapes": 0.74},
     "cs": {"max_line": 400, "mean_line": 160, "space": 0.12, "alnum": 0.45, "digits": 0.35, "encoded": 0.65, "shape_lines": 8, "shapes": 0.74},
 }
-#: Lines within which the opening comments are read.
-HEAD_LINES = 12
-
 # How tools sign what they write (at the start of a comment line).
 GENERATED = re.compile(
     r"@generated\b|<auto-?generated|auto-?generated\b(?!_)|code generated by\b|machine[- ]generated"
@@ -54,25 +51,32 @@ PACKAGE_PATH = re.compile(
     r"(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages|third[_-]?party|thirdparty|vendor|deps|externals?|extern|Libs|Pods|Carthage)/(?:@[\w.-]+/)?[\w.-]+/"
     r"|(?:^|/)packages/[\w.-]*?[\w-]\.\d+\.\d+(?:\.\d+)*[\w.-]*/"
 )
+#: A comment (a block, or a line) and the white space before it; a string that stands alone.
+_OPENING = re.compile(r"(?P<s>[\s\ufeff]*+)(?P<c>/\*(?:[\s\S]*?\*/|[\s\S]*)|<!--(?:[\s\S]*?-->|[\s\S]*)|(?:#|//|--)[^\n]*)")
+_DOCSTRING = re.compile(r"(?P<s>[\s\ufeff]*+)[rRuU]?(?P<q>\"\"\"|'''|[\"'](?![\"']))(?P<c>(?:\\[\s\S]|(?!(?P=q))[^\\])*+)(?P=q)(?=[ \t\r]*(?:[;#\n]|\Z))")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
 _WORD = re.compile(r"[^\W\d]\w*")
 _VALUE = re.compile(r"\d+|\"[^\"\n]*\"|'[^'\n]*'")
 
 
-def head(text: str) -> list[str]:
-    """The comment lines that a text opens with, without their marks."""
-    out = []
-    for line in text[:8192].lstrip("﻿").split("\n")[:HEAD_LINES]:
-        x = line.strip()
-        if x and not x.startswith(("#", "//", "/*", "*", "<!--", "--")):
-            break
-        if x[:4] != "/*! " or len(x) < 300:
-            out.append(x)
+def head(text: str, ext: str = "") -> list[str]:
+    """The lines of all comments that a text opens with, up to its first code; of a python text, its docstring is one."""
+    out: list[str] = []
+    at, docstring = 0, ext == "py"
+    while m := _OPENING.match(text, at) or docstring and _DOCSTRING.match(text, at):
+        docstring = docstring and m.re is _OPENING
+        lines = m["c"].split("\n")
+        start = text.rfind("\n", 0, m.start("c")) + 1
+        end = text.find("\n", start)
+        if lines[0][:4] == "/*! " and len(text[start : end if end >= 0 else len(text)].strip()) >= 300:
+            lines = lines[1:]
+        out += [""] * (m["s"].count("\n") - 1) + [x.strip() for x in lines]
+        at = m.end()
     return out
 
 
-def banner(text: str) -> str | None:
-    lines = [x.lstrip("#/*!;-< \t").rstrip("*/>- \t") if not x.lstrip("#/*!;- \t").startswith("<") else x.lstrip("#/*!;- \t") for x in head(text)]
+def banner(text: str, ext: str = "") -> str | None:
+    lines = [x.lstrip("#/*!;-< \t").rstrip("*/>- \t") if not x.lstrip("#/*!;- \t").startswith("<") else x.lstrip("#/*!;- \t") for x in head(text, ext)]
     for k, x in enumerate(lines):
         if VENDORED.match(x) or _NAME_VERSION.match(x) and any(_LICENCE.search(y) for y in lines[k + 1 : k + 4]):
             return "vendored"
@@ -94,7 +98,7 @@ def repetition(text: str) -> tuple[int, float]:
 
 def verdict(text: str, path: str, ext: str) -> str | None:
     """generated, minified, vendored or data; None for what someone wrote by hand for the repository."""
-    if (signed := banner(text)) is not None:
+    if (signed := banner(text, ext)) is not None:
         return signed
     if PACKAGE_PATH.search(path):
         return "vendored"

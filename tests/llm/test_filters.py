@@ -112,6 +112,18 @@ def test_hand_written(text, path, want):
     assert handwritten.verdict(text, path, path.rsplit(".", 1)[1]) == want
 
 
+APACHE = "".join(f"LINE line {i} of the terms under which this is given away.\n" for i in range(30))
+
+
+@pytest.mark.parametrize(("text", "ext", "want"), [
+    (APACHE.replace("LINE", "#") + "\n# Code generated by protogen. DO NOT EDIT.\n" + HAND, "py", "generated"), ("/*\n" + APACHE.replace("LINE ", "") + "*/\n\n// @generated\nconst a = 1;\n", "ts", "generated"), ("/*\n  plain words first\n  Code generated by x 1.2. DO NOT EDIT.\n*/\nclass A { }\n", "cs", "generated"),
+    ('"""Tables of the yard.\n\n@generated\n"""\n' + HAND, "py", "generated"), ("# -*- coding: utf-8 -*-\n'''\nThis file was generated by x 1.2.\n'''\n" + HAND, "py", "generated"), ("#" * 9000 + "\n# @generated\n" + HAND, "py", "generated"), ("/* a */ /* @generated */ const a = 1;\n", "js", "generated"),
+    (HAND + "# @generated\n", "py", None), ('T = """\n@generated\n"""\n' + HAND, "py", None), ("const a = 1;\n/*\n@generated\n*/\n", "js", None), ('"""One."""\n"""\n@generated\n"""\n' + HAND, "py", None), ("/* a */ const a = 1; /* @generated */\n", "js", None),
+])
+def test_banners_in_all_opening_comments(text, ext, want):
+    assert handwritten.verdict(text, "src/a." + ext, ext) == want
+
+
 def test_encoded_data():
     rnd = random.Random(1)
     blob = "".join(f"  '{''.join(rnd.choices('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/0123456789', k=64))}',\n" for _ in range(20))
