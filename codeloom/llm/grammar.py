@@ -9,6 +9,9 @@ Notation of rules: 'word' a token, P.E, B.B, S.A a round, curly or square group
 
 from __future__ import annotations
 
+import sys
+from re import _parser as sre  # its trees of regular expressions
+
 import regex
 
 from codeloom.parse.lexer import CONTEXTUAL, HOLE, ID, WORDS
@@ -27,7 +30,7 @@ CLOSE = {"(": ")", "{": "}", "[": "]", HOLE: "}"}
 NO_SEMICOLON = {"P": "EXPTGUCQ", "B": "ONYQS", "S": "AXRZQPY", "H": "H"}
 #: Answers kept in a worker; they start anew beyond this.
 CACHE = 200_000
-#: Seconds for one match; what takes longer counts as valid.
+#: Seconds for one match by backtracking; what takes longer goes to Exact, so the answer doesn't depend on them.
 PATIENCE = 2.0
 
 # The grammar of ECMAScript modules; what stands in braces {{ }} is typescript's.
@@ -187,11 +190,93 @@ def _shorter(content: str) -> str:
     return ",".join([*out, items[-1]])
 
 
-def _match(pattern: regex.Pattern, content: str) -> bool:
-    try:
-        return bool(pattern.match(content, timeout=PATIENCE))
-    except TimeoutError:
-        return True
+class Exact:
+    """The rules read without backtracking: the set of ends of each part at each place is found once, so time is polynomial in the content. Answers are those of a search through all ways to match."""
+
+    def __init__(self, bodies: dict[str, str]):
+        self.bodies = bodies
+        self.named = {chr(0xF0000 + k): name for k, name in enumerate(bodies)}
+        self.calls = {name: c for c, name in self.named.items()}
+        self.trees: dict[str, list] = {}
+
+    def tree(self, name: str) -> list:
+        if name not in self.trees:
+            self.trees[name] = list(sre.parse(regex.sub(r"\(\?&(\w+)\)", lambda m: self.calls[m[1]], self.bodies[name])))
+        return self.trees[name]
+
+    def fits(self, name: str, content: str) -> bool:
+        """Whether a rule matches the whole content."""
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, 100_000 + 200 * len(content)))  # frames of Python functions alone
+        try:
+            return len(content) in self._sequence(self.tree(name), {0}, content, {})
+        finally:
+            sys.setrecursionlimit(before)
+
+    def _sequence(self, nodes, starts: set[int], content: str, memo: dict) -> set[int]:
+        for node in nodes:
+            ends: set[int] = set()
+            for at in starts:
+                ends |= self._ends(node, at, content, memo)
+            if not ends:
+                return ends
+            starts = ends
+        return starts
+
+    def _ends(self, node, at: int, content: str, memo: dict) -> set[int]:
+        op, arg = node
+        c = content[at : at + 1]
+        if op is sre.LITERAL:
+            if (name := self.named.get(chr(arg))) is None:
+                return {at + 1} if c and ord(c) == arg else set()
+            key = (name, at)
+            if key not in memo:
+                memo[key] = self._sequence(self.tree(name), {at}, content, memo)
+            return memo[key]
+        if op is sre.NOT_LITERAL:
+            return {at + 1} if c and ord(c) != arg else set()
+        if op is sre.IN:
+            out = {at + 1} if c and _in_class(arg, ord(c)) else set()
+            for kind, x in arg:  # alternatives of one rule each are parsed as a class
+                if kind is sre.LITERAL and chr(x) in self.named:
+                    out |= self._ends((kind, x), at, content, memo)
+            return out
+        if op is sre.AT:  # the end
+            return {at} if at == len(content) else set()
+        key = (id(node), at)
+        if key in memo:
+            return memo[key]
+        if op is sre.SUBPATTERN:
+            out = self._sequence(arg[3], {at}, content, memo)
+        elif op is sre.BRANCH:
+            out = set()
+            for way in arg[1]:
+                out |= self._sequence(way, {at}, content, memo)
+        elif op is sre.ASSERT or op is sre.ASSERT_NOT:
+            if arg[0] < 0:
+                raise ValueError("rules do not look back")
+            out = {at} if bool(self._sequence(arg[1], {at}, content, memo)) == (op is sre.ASSERT) else set()
+        elif op is sre.MAX_REPEAT or op is sre.MIN_REPEAT or op is sre.POSSESSIVE_REPEAT:
+            least, most, part = arg
+            now, out, n = {at}, set(), 0
+            while now and n < least:
+                now, n = self._sequence(part, now, content, memo), n + 1
+            out |= now
+            while now and n < most:
+                now, n = self._sequence(part, now, content, memo) - out, n + 1
+                out |= now
+        else:
+            raise ValueError(f"no rule holds {op}")
+        memo[key] = out
+        return out
+
+
+def _in_class(items: list, c: int) -> bool:
+    hit = False
+    for op, arg in items:
+        if op is sre.LITERAL and arg == c or op is sre.RANGE and arg[0] <= c <= arg[1]:
+            hit = True
+    return hit != (items[0][0] is sre.NEGATE)
 
 
 class Grammar:
@@ -229,6 +314,7 @@ class Grammar:
 
         never = r"(?!)"
         bodies = {k: translate(v) or never for k, v in rules.items()}
+        self.exact = Exact(bodies)
         self.define = "(?(DEFINE)" + "".join(f"(?P<{k}>{v})" for k, v in bodies.items()) + ")"
         self.roles = {kind: [(r, regex.compile(self.define + f"(?&{kind}_{r})\\Z")) for r in roles if f"{kind}_{r}" in rules and bodies[f"{kind}_{r}"] != never] for kind, roles in own.items()}
         # lists of statements and of members are matched piece by piece, as the pieces repeat more than the lists
@@ -268,17 +354,23 @@ class Grammar:
                 if (rule := f"{kind}_{role}") in self.pieces:
                     fits += role * self.all_fit(rule, content)
                 else:
-                    fits += role * _match(pattern, content)
+                    fits += role * self.match(pattern, rule, content)
             self.known[key] = BASE[kind] + fits + END if fits else None
         return self.known[key]
 
+    def match(self, pattern: regex.Pattern, rule: str, content: str) -> bool:
+        try:
+            return bool(pattern.match(content, timeout=PATIENCE))
+        except TimeoutError:
+            return self.exact.fits(rule, content)
+
     def all_fit(self, rule: str, content: str) -> bool:
         fits, pattern = self.fits, self.pieces[rule]
         if len(fits) > CACHE:
             fits.clear()
         for piece in self.cuts[rule].split(content):
             if (rule, piece) not in fits:
-                fits[rule, piece] = _match(pattern, piece)
+                fits[rule, piece] = self.match(pattern, rule, piece)
             if not fits[rule, piece]:
                 return False
         return True

@@ -31,13 +31,13 @@ OPENERS["javascript"] = OPENERS["typescript"]
 
 
 def valid(text: str, lang: str) -> bool:
-    """Whether a whole text follows the grammar of its language. An empty one does. What is too deep for the parser counts as valid."""
+    """Whether a whole text follows the grammar of its language. An empty one does. A python text that is too deep for the interpreter's parser does not, as the interpreter refuses it; one of which only the tree is too deep has been parsed."""
     if lang == "python":
         try:
             parse_python(text)
-        except (SyntaxError, ValueError):
+        except (SyntaxError, ValueError, MemoryError):
             return False
-        except (MemoryError, RecursionError):
+        except RecursionError:  # comes after the grammar, when the tree is made
             return True
         return True
     lexed = lex(text, lang)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from codeloom.llm import syntax
+from codeloom.llm import grammar, syntax
 from codeloom.llm.syntax import chunk_map, chunks, compose, valid, whole
 
 JS_GOOD = [
@@ -37,6 +37,31 @@ def test_grammars(lang, good, bad):
     assert [t for t in bad if valid(t, lang)] == []
 
 
+@pytest.mark.parametrize(("lang", "good", "bad"), [("javascript", JS_GOOD, JS_BAD), ("typescript", TS_GOOD, TS_BAD), ("c_sharp", CS_GOOD, CS_BAD)])
+def test_no_answer_depends_on_time(monkeypatch, lang, good, bad):
+    g = grammar.Grammar({"typescript": "ts", "javascript": "js", "c_sharp": "cs"}[lang])
+
+    class Slow:
+        def match(self, *args, **kwargs):
+            raise TimeoutError
+
+    g.roles = {kind: [(r, Slow()) for r, _ in roles] for kind, roles in g.roles.items()}
+    g.pieces = {r: Slow() for r in g.pieces}
+    monkeypatch.setitem(grammar._grammars, {"typescript": "ts", "javascript": "js", "c_sharp": "cs"}[lang], g)
+    assert [t for t in good if not valid(t, lang)] == []
+    assert [t for t in bad if valid(t, lang)] == []
+
+
+def test_exact_takes_long_contents():
+    exact = grammar.grammar("c_sharp").exact
+    assert exact.fits("P_X", "i" + "+i" * 2000) and not exact.fits("P_X", "i" + "+i" * 2000 + " i")
+    assert exact.fits("P_X", "i?i:" * 2000 + "i") and not exact.fits("P_X", "i?i:" * 2000)
+
+
+def test_python_too_deep_for_the_parser():
+    assert not valid("x = " + "-" * 200_000 + "1\n", "python")
+
+
 LONG = {
     "typescript": "const a = `one\n${b}\ntwo ${c(`x\n${d}`)}\nthree`;\n/* com\nment } */\nfunction f() {\n  return [\n    1,\n  ];\n}\nlet x = y\nlet z = w\n",
     "c_sharp": "class A\n{\n    /* com\n    ment { */\n    string v = @\"one\n    two\"\"x\n    \";\n    string r = \"\"\"\n    raw { \"\n    \"\"\";\n    void F()\n    {\n        G(1,\n          2);\n    }\n}\n",
