@@ -1,60 +1,83 @@
 """Parent-child links to full hierarchies (problem 2), by heavy-path decomposition.
 
-All walks up the trees are pointer doublings, so their rounds grow with the logarithm of the depth and every round is a few equi-joins over all trees
-at once; no tree is ever held by one task. Nodes that never reach a root are on a cycle or below one and are separated first. Subtree sizes then
-name each parent's heavy child; heavy links form chains, and any path meets at most log2(n) of them. Paths are concatenated from the
-segments of chains, and heavy-first preorder numbers make each chain, and each subtree, one interval.
+From below, nodes without children are taken off layer by layer, each passing its subtree's size to its parent, as long as a layer halves what is left; so wide and shallow forests, the usual
+kind, take few joins over ever fewer rows. What remains (deep trees, cycles and what leads to them) is walked by pointer doubling, in rounds that grow with the logarithm of the
+depth; nodes that never reach a root are on a cycle or below one and are separated there. With all sizes known, each parent's largest child is its heavy one; heavy links form
+chains, and any path meets at most log2(n) of them. From above, a node continues its parent's chain or begins one of its own: paths are concatenated from the segments of chains, and heavy-first preorder
+numbers make each chain, and each subtree, one interval. No tree, and no parent's children, are ever held by one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import norm_id
 from codeloom.lineage import cut
 
 SEPARATOR = "/"
-#: Children of one parent are numbered in this many salted groups, so that a parent of very many children is no single task.
-SALTS = 64
+#: Children of a parent that one task orders; those of a parent with more are dealt into groups of about so many.
+HOT = 100_000
+#: Preorder numbers of one bucket, when intervals meet the nodes within them.
+BUCKET = 256
+
+KEY = ["tree", "node"]
+BIG = "bigint"
+
+
+def _zero(c: str) -> Column:
+    return F.coalesce(c, F.lit(0).cast(BIG))
+
 
+def _joined(prefix: str, name: str) -> Column:
+    return F.concat_ws(SEPARATOR, prefix, name)
 
-def climb(nodes: DataFrame, sizes: bool = False) -> tuple[DataFrame, int]:
-    """Doubles the pointers of nodes (node, up, costs, label) until all that reach the end of their walk have; node and up are numbers.
 
-    Gives (node, up, anc, root, totals, trail, weight): root is the last node of the walk, totals the sums of costs (an array) and
-    trail the joined labels over the walk without the root's own; with sizes, weight counts the node and all below it. Where anc is left non-null the node
-    never reaches an end; the number of those rows comes second.
+def climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Doubles the pointers of nodes (node, up, costs, label, weight) until all that reach the end of their walk have; node and up are numbers.
+
+    Gives (node, root, totals, trail, weight): root is the last node of the walk, totals the sums of costs (an array) and trail the joined labels over the walk without the
+    root's own; weight is that of the node and of all below it. Second come the nodes that never reach an end (node, up, anc), None where there are none.
+    Finished nodes are written once; only the others move.
     """
     ended = F.col("up").isNull()
     state = cut(
         nodes.select(
-            "node", "up", F.col("up").alias("anc"), F.when(ended, F.col("node")).alias("root"), F.when(ended, F.transform("costs", lambda x: F.lit(0).cast("bigint"))).otherwise(F.col("costs")).alias("totals"),
-            F.when(~ended, F.col("label")).alias("trail"), F.lit(1).cast("bigint").alias("weight"),
+            "node", "up", F.col("up").alias("anc"), F.when(ended, F.col("node")).alias("root"), F.when(ended, F.transform("costs", lambda x: F.lit(0).cast(BIG))).otherwise(F.col("costs")).alias("totals"),
+            F.when(~ended, F.col("label")).alias("trail"), "weight",
         )
     )
-    left = state.where("anc is not null").count()
+    done, gifts, active, turn = [state.where("anc is null").withColumn("since", F.lit(0))], [], state.where("anc is not null"), 0
+    left = active.count()
     while left:
-        far = state.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("root2"), F.col("totals").alias("totals2"), F.col("trail").alias("trail2"))
-        moved = state.where("anc is not null").join(far, "anc", "left").select(
-            "node", "up", F.col("anc2").alias("anc"), F.col("root2").alias("root"),
-            F.zip_with("totals", "totals2", lambda x, y: x + y).alias("totals"), F.when(F.col("trail").isNotNull(), F.concat_ws(SEPARATOR, "trail2", "trail")).alias("trail"), "weight",
+        turn += 1
+        sums = cut(active.groupBy(F.col("anc").alias("node")).agg(F.sum("weight").alias("more")))
+        gifts.append(sums.withColumn("turn", F.lit(turn)))
+        every = reduce(DataFrame.unionByName, [d.drop("since") for d in done], active)
+        far = every.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("root2"), F.col("totals").alias("totals2"), F.col("trail").alias("trail2"))
+        moved = cut(
+            active.join(far, "anc").join(sums, "node", "left").select(
+                "node", "up", F.col("anc2").alias("anc"), F.col("root2").alias("root"), F.zip_with("totals", "totals2", lambda x, y: x + y).alias("totals"),
+                F.when(F.col("trail").isNotNull(), _joined("trail2", "trail")).alias("trail"), (F.col("weight") + _zero("more")).alias("weight"),
+            )
         )
-        grown = state.where("anc is null").unionByName(moved)
-        if sizes:
-            sums = state.where("anc is not null").groupBy(F.col("anc").alias("node")).agg(F.sum("weight").alias("more"))
-            grown = grown.join(sums, "node", "left").withColumn("weight", F.expr("coalesce(try_add(weight, more), weight)")).drop("more")
-        state = cut(grown)
-        now = state.where("anc is not null").count()
+        active = moved.where("anc is not null")
+        now = active.count()
         if now == left:  # every depth up to the largest occurs, so a round without an arrival is the last
             break
+        done.append(moved.where("anc is null").withColumn("since", F.lit(turn)))
         left = now
-    return state, left
+    whole = reduce(DataFrame.unionByName, done)
+    if gifts:
+        late = whole.select("node", "since").join(reduce(DataFrame.unionByName, gifts), "node").where("turn > since").groupBy("node").agg(F.sum("more").alias("more"))
+        whole = whole.join(late, "node", "left").withColumn("weight", F.col("weight") + _zero("more"))
+    return whole.select("node", "root", "totals", "trail", "weight"), active.select("node", "up", "anc") if left else None
 
 
 def cycle_roots(stuck: DataFrame, names: DataFrame) -> DataFrame:
-    """(node, root_id) with the smallest name on the cycle that the walk of (node, up, anc) ends in; names (node, name)."""
-    stuck = stuck.select("node", "up", "anc")
+    """(node, root) with the smallest name on the cycle that the walk of (node, up, anc) ends in; names (node, name)."""
     size = -1
     while True:  # the images of ever longer walks shrink to the nodes on cycles
         ends = stuck.select("anc").distinct().count()
@@ -69,74 +92,139 @@ def cycle_roots(stuck: DataFrame, names: DataFrame) -> DataFrame:
         if not ring.where("changed").count():
             break
         ring = ring.drop("changed")
-    return stuck.join(ring.select(F.col("node").alias("anc"), F.col("low").alias("root_id")), "anc").select("node", "root_id")
+    return stuck.join(ring.select(F.col("node").alias("anc"), F.col("low").alias("root")), "anc").select("node", "root")
+
 
+def layers_of(named: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Of (tree, node, parent): layers of nodes with their subtree's size, each without children but in earlier layers; and what remains, with the weight of a node and of all below it in layers."""
+    kids = named.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("n"))
+    state = cut(named.join(kids, KEY, "left").select(*KEY, "parent", _zero("n").alias("n"), F.lit(1).cast(BIG).alias("weight")))
+    layers, left = [], state.count()
+    while left:
+        leaves = state.where("n = 0")
+        gone = leaves.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("gone"), F.sum("weight").alias("more"))
+        state = cut(state.where("n > 0").join(gone, KEY, "left").select(*KEY, "parent", (F.col("n") - _zero("gone")).alias("n"), (F.col("weight") + _zero("more")).alias("weight")))
+        layers.append(leaves.select(*KEY, "parent", F.col("weight").alias("size")))
+        now = state.count()
+        if 2 * now > left:
+            break
+        left = now
+    return layers, state.select(*KEY, "parent", "weight") if left and now else None
 
-def hierarchy(links: DataFrame, full: bool = True) -> DataFrame:
+
+def ordered(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """rows (tree, node, parent, size, …) with heavy, whether a node is its parent's largest child, and offset, its distance in preorder from its parent (0 for roots).
+
+    Siblings come by descending size. The children of a parent with very many of them are ordered within groups, which follow each other behind the heavy child.
+    """
+    roots = rows.where("parent is null").withColumns({"heavy": F.lit(False), "offset": F.lit(0).cast(BIG)})
+    kids = rows.where("parent is not null")
+    by_size = [F.desc("size"), F.desc("node")]
+    many = kids.groupBy("tree", "parent").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    few = kids
+    if not many.isEmpty():
+        few = kids.join(many, ["tree", "parent"], "left_anti")
+    w = Window.partitionBy("tree", "parent").orderBy(*by_size)
+    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = roots.unionByName(few.withColumns({"heavy": F.row_number().over(w) == 1, "offset": 1 + before}))
+    if few is kids:
+        return out
+    first = kids.join(many, ["tree", "parent"], "left_semi").groupBy("tree", "parent").agg(F.max(F.struct("size", "node")).alias("h"))
+    dealt = kids.join(many, ["tree", "parent"]).join(first, ["tree", "parent"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / hot)))
+    heavy = dealt.where("node = h.node").withColumns({"heavy": F.lit(True), "offset": F.lit(1).cast(BIG)})
+    light = dealt.where("node <> h.node")
+    sums = light.groupBy("tree", "parent", "salt").agg(F.sum("size").alias("sum"))
+    base = F.coalesce(F.sum("sum").over(Window.partitionBy("tree", "parent").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    w = Window.partitionBy("tree", "parent", "salt").orderBy(*by_size).rowsBetween(Window.unboundedPreceding, -1)
+    light = light.withColumn("own", F.coalesce(F.sum("size").over(w), F.lit(0))).join(sums.withColumn("base", base).drop("sum"), ["tree", "parent", "salt"])
+    light = light.withColumns({"heavy": F.lit(False), "offset": 1 + F.col("h.size") + F.col("base") + F.col("own")})
+    return out.unionByName(heavy.unionByName(light.select(*heavy.columns)).select(*out.columns))
+
+
+#: What is known of a node from above: of those on or below a cycle only the root, with depth -1.
+FOUND = [*KEY, "parent", "root", "depth", "path", "chain", "pos", "size", "first"]
+
+
+def _core_found(core: DataFrame, stuck: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """FOUND of the nodes that doubling walks. core (id, up, tree, node, parent); rows their ordered ones."""
+    names = core.select(F.col("id").alias("node"), F.col("node").alias("name"))
+    one = F.lit(1).cast(BIG)
+    r = cut(rows.join(core.select("id", "up", *KEY), KEY))
+    # chains: position and segment of each node below the head of its chain
+    chained, _ = climb(r.select(F.col("id").alias("node"), F.when(F.col("heavy"), F.col("up")).alias("up"), F.array(one).alias("costs"), F.col("node").alias("label"), one.alias("weight")))
+    placed = chained.select(F.col("node").alias("id"), F.col("root").alias("head"), F.col("totals")[0].alias("pos"), "trail")
+    placed = placed.join(names.select(F.col("node").alias("head"), F.col("name").alias("chain")), "head").withColumn("segment", _joined("chain", "trail")).drop("trail")
+    r = cut(r.join(placed, "id"))
+    # chains of chains: each hangs by its head's parent from another
+    at = r.select(F.col("id").alias("up"), F.col("head").alias("up_head"), F.col("pos").alias("up_pos"), F.col("segment").alias("up_segment"))
+    heads = r.where("id = head").select("id", "up", "offset").join(at, "up", "left")
+    costs = F.array(F.col("up_pos") + F.col("offset"), F.col("up_pos") + 1)  # in preorder, and in depth
+    pre, _ = climb(heads.select(F.col("id").alias("node"), F.col("up_head").alias("up"), costs.alias("costs"), F.col("up_segment").alias("label"), one.alias("weight")))
+    of_chain = pre.select(F.col("node").alias("head"), F.col("root").alias("tree_root"), F.col("totals")[0].alias("head_first"), F.col("totals")[1].alias("head_depth"), "trail")
+    good = r.join(of_chain, "head").join(names.select(F.col("node").alias("tree_root"), F.col("name").alias("root")), "tree_root")
+    out = good.select(*KEY, "parent", "root", (F.col("head_depth") + F.col("pos")).cast("int").alias("depth"), _joined("trail", "segment").alias("path"), "chain", "pos", "size", (F.col("head_first") + F.col("pos")).alias("first"))
+    if stuck is None:
+        return out
+    bad = cycle_roots(stuck, names).withColumnRenamed("node", "id").join(core, "id").select(*KEY, "parent", "root", F.lit(-1).alias("depth"))
+    return out.unionByName(bad, allowMissingColumns=True)
+
+
+def hierarchy(links: DataFrame, hot: int = HOT) -> DataFrame:
     """Of links (tree, node, parent; parent null where only the node is known): a row for every node or parent.
 
-    Columns tree_id, node_id, parent_id, root_id, depth and, if full, path, chain_id, chain_pos, subtree_size, first, last. The descendants of a node are the nodes of the same
+    Columns tree_id, node_id, parent_id, root_id, depth, path, chain_id, chain_pos, subtree_size, first, last. The descendants of a node are the nodes of the same
     tree and root whose `first` lies in (first, last]. Nodes on or below a cycle: depth -1, root_id the smallest node of the cycle, no path,
     chain or interval. Repeated links count once; of several parents the smallest counts; rows without tree or node are dropped;
     a node that is its own parent is a cycle of one. An empty table gives none.
-
-    Nodes get numbers once, so that the rounds move numbers instead of names.
     """
     links = links.where("tree is not null and node is not null")
     every = links.select("tree", "node", "parent").unionByName(links.where("parent is not null").select("tree", F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
-    named = cut(every.groupBy("tree", "node").agg(F.min("parent").alias("parent")).withColumn("id", F.monotonically_increasing_id()))
-    up = named.select("tree", F.col("node").alias("parent"), F.col("id").alias("up"))
-    base = named.join(up, ["tree", "parent"], "left").select(F.col("id").alias("node"), "up", F.col("node").alias("name"))
-    names = named.select(F.col("id").alias("node"), F.col("node").alias("name"))
-    none_label, one = F.lit(None).cast("string"), F.lit(1).cast("bigint")
-    whole, cyclic = climb(base.withColumns({"costs": F.array().cast("array<bigint>"), "label": none_label}), sizes=True)
-    ends = whole.where("anc is null").select("node", "up", F.col("root").alias("tree_root"), F.col("weight").alias("size"))
-    heavy = ends.where("up is not null").groupBy("up").agg(F.max(F.struct("size", "node")).getField("node").alias("node")).select("node", F.lit(True).alias("heavy"))
-    marked = cut(ends.join(heavy, "node", "left"))
-    # chains: position and segment of each node below the head of its chain
-    labelled = marked.join(names.withColumnRenamed("name", "label"), "node") if full else marked.withColumn("label", none_label)
-    chained, _ = climb(labelled.select("node", F.when(F.col("heavy"), F.col("up")).alias("up"), F.array(one).alias("costs"), "label"))
-    placed = chained.select("node", F.col("root").alias("head"), F.col("totals")[0].alias("pos"), "trail")
-    if full:
-        placed = placed.join(names.select(F.col("node").alias("head"), F.col("name").alias("head_name")), "head").withColumn("segment", F.concat_ws(SEPARATOR, "head_name", "trail")).drop("trail", "head_name")
-    else:
-        placed = placed.withColumnRenamed("trail", "segment")
-    nodes = cut(marked.join(placed, "node"))
-    # each light child's distance in preorder from its parent: 1, the heavy sibling's subtree, then the light ones before it
-    light = nodes.where("up is not null and heavy is null").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    before = Window.partitionBy("up", "salt").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    salts = light.groupBy("up", "salt").agg(F.sum("size").alias("sum"))
-    salts = salts.withColumn("base", F.coalesce(F.sum("sum").over(Window.partitionBy("up").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum")
-    light = light.withColumn("own", F.coalesce(F.sum("size").over(before), F.lit(0))).join(salts, ["up", "salt"])
-    firsts = nodes.where("heavy").select("up", F.col("size").alias("heavy_size"))
-    light = light.join(firsts, "up").select("node", (1 + F.col("heavy_size") + F.col("base") + F.col("own")).alias("offset"))
-    # chains of chains: each hangs by its head's parent from another
-    at = nodes.select(F.col("node").alias("up"), F.col("head").alias("up_head"), F.col("pos").alias("up_pos"), F.col("segment").alias("up_segment"))
-    heads = nodes.where("node = head").select("node", "up").join(at, "up", "left").join(light, "node", "left")
-    costs = F.array(F.col("up_pos") + F.col("offset"), F.col("up_pos") + 1)  # in preorder, and in depth
-    pre, _ = climb(heads.select("node", F.col("up_head").alias("up"), costs.alias("costs"), F.col("up_segment").alias("label")))
-    of_chain = pre.select(F.col("node").alias("head"), F.col("totals")[0].alias("head_first"), F.col("totals")[1].alias("head_depth"), "trail")
-    good = nodes.join(of_chain, "head").join(named.select(F.col("id").alias("node"), F.col("tree").alias("tree_id"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id")), "node")
-    good = good.join(names.select(F.col("node").alias("tree_root"), F.col("name").alias("root_id")), "tree_root")
-    columns = ["tree_id", "node_id", "parent_id", "root_id", (F.col("head_depth") + F.col("pos")).cast("int").alias("depth")]
-    if full:
-        good = good.join(names.select(F.col("node").alias("head"), F.col("name").alias("chain_id")), "head")
-        columns += [F.concat_ws(SEPARATOR, "trail", "segment").alias("path"), "chain_id", F.col("pos").alias("chain_pos"), F.col("size").alias("subtree_size"), (F.col("head_first") + F.col("pos")).alias("first"), (F.col("head_first") + F.col("pos") + F.col("size") - 1).alias("last")]
-    good = good.select(*columns)
-    if not cyclic:
-        return good
-    rings = cycle_roots(whole.where("anc is not null"), names)
-    bad = rings.join(named.withColumnRenamed("node", "name").withColumnRenamed("id", "node"), "node").select(F.col("tree").alias("tree_id"), F.col("name").alias("node_id"), F.col("parent").alias("parent_id"), "root_id", F.lit(-1).alias("depth"))
-    if full:
-        bad = bad.withColumns({c: F.lit(None).cast(t) for c, t in (("path", "string"), ("chain_id", "string"), ("chain_pos", "bigint"), ("subtree_size", "bigint"), ("first", "bigint"), ("last", "bigint"))})
-    return good.unionByName(bad)
-
-
-def descendants(tree: DataFrame, queries: DataFrame) -> DataFrame:
-    """(tree_id, node_id, descendant_id, distance) for the nodes (tree_id, node_id) asked for, by their intervals."""
-    asked = tree.where("depth >= 0").join(queries.select("tree_id", "node_id").distinct(), ["tree_id", "node_id"]).select("tree_id", "root_id", "node_id", F.col("first").alias("a"), F.col("last").alias("z"), F.col("depth").alias("d"))
-    below = tree.where("depth >= 0").select("tree_id", "root_id", F.col("node_id").alias("descendant_id"), "first", "depth")
-    return below.join(asked, ["tree_id", "root_id"]).where("first > a and first <= z").select("tree_id", "node_id", "descendant_id", (F.col("depth") - F.col("d")).alias("distance"))
+    layers, rest = layers_of(every.groupBy(*KEY).agg(F.min("parent").alias("parent")))
+    sized = [x.withColumn("layer", F.lit(k)) for k, x in enumerate(layers)]
+    top, core, stuck = len(layers), None, None
+    if rest is not None:
+        core = cut(rest.withColumn("id", F.monotonically_increasing_id()))
+        core = cut(core.join(core.select("tree", F.col("node").alias("parent"), F.col("id").alias("up")), ["tree", "parent"], "left"))
+        whole, stuck = climb(core.select(F.col("id").alias("node"), "up", F.array().cast("array<bigint>").alias("costs"), F.lit(None).cast("string").alias("label"), "weight"))
+        sized.append(whole.select(F.col("node").alias("id"), F.col("weight").alias("size")).join(core, "id").select(*KEY, "parent", "size", F.lit(top).alias("layer")))
+    if not sized:
+        return _columns(links.sparkSession.createDataFrame([], "tree string, node string, parent string, root string, depth int, path string, chain string, pos bigint, size bigint, first bigint"))
+    rows = cut(ordered(reduce(DataFrame.unionByName, sized), hot))
+    found = [] if core is None else [cut(_core_found(core, stuck, rows.where(F.col("layer") == top).drop("layer")))]
+    for k in reversed(range(top)):
+        r = rows.where(F.col("layer") == k)
+        roots = r.where("parent is null").select(*KEY, "parent", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("node").alias("path"), F.col("node").alias("chain"), F.lit(0).cast(BIG).alias("pos"), "size", F.lit(0).cast(BIG).alias("first"))
+        step = roots
+        if found:
+            above = reduce(DataFrame.unionByName, found).select("tree", F.col("node").alias("parent"), "root", "depth", F.col("path").alias("over"), F.col("chain").alias("over_chain"), F.col("pos").alias("over_pos"), F.col("first").alias("over_first"))
+            good = F.col("depth") >= 0
+            below = r.where("parent is not null").join(above, ["tree", "parent"]).select(
+                *KEY, "parent", "root", F.when(good, F.col("depth") + 1).otherwise(-1).alias("depth"), F.when(good, _joined("over", "node")).alias("path"), F.when(good, F.when(F.col("heavy"), F.col("over_chain")).otherwise(F.col("node"))).alias("chain"),
+                F.when(good, F.when(F.col("heavy"), F.col("over_pos") + 1).otherwise(0)).alias("pos"), F.when(good, F.col("size")).alias("size"), F.when(good, F.col("over_first") + F.col("offset")).alias("first"),
+            )
+            step = roots.unionByName(below)
+        found.append(cut(step) if k else step)
+    return _columns(reduce(DataFrame.unionByName, found))
+
+
+def _columns(found: DataFrame) -> DataFrame:
+    return found.select(
+        F.col("tree").alias("tree_id"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", "path", F.col("chain").alias("chain_id"),
+        F.col("pos").alias("chain_pos"), F.col("size").alias("subtree_size"), "first", (F.col("first") + F.col("size") - 1).alias("last"),
+    )
+
+
+def descendants(tree: DataFrame, queries: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(tree_id, node_id, descendant_id, distance) of all descendants of the nodes (tree_id, node_id) asked for, by their intervals; nodes on or below cycles, and unknown ones, give none.
+
+    Intervals and preorder numbers meet by buckets: an interval is cut at the bounds of buckets, so that a node asked for is compared with no more than its descendants and two buckets of others,
+    however large its tree.
+    """
+    good = tree.where("depth >= 0")
+    asked = good.where("last > first").join(queries.select("tree_id", "node_id").distinct(), ["tree_id", "node_id"]).select("tree_id", "root_id", "node_id", F.col("first").alias("a"), F.col("last").alias("z"), F.col("depth").alias("d"))
+    pieces = asked.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("a") + 1) / bucket), F.floor(F.col("z") / bucket))))
+    below = good.select("tree_id", "root_id", F.col("node_id").alias("descendant_id"), "first", "depth", F.floor(F.col("first") / bucket).alias("bucket"))
+    return below.join(pieces, ["tree_id", "root_id", "bucket"]).where("first > a and first <= z").select("tree_id", "node_id", "descendant_id", (F.col("depth") - F.col("d")).alias("distance"))
 
 
 def links_of(relations: DataFrame, parsed_symbols: DataFrame) -> DataFrame:
@@ -149,9 +237,20 @@ def links_of(relations: DataFrame, parsed_symbols: DataFrame) -> DataFrame:
     return rel.unionByName(own).unionByName(kids)
 
 
+def asked_nodes(relations: DataFrame, parsed_symbols: DataFrame) -> DataFrame:
+    """The stated query set: sources of `contains` rows, and parsed symbols, whose ord is divisible by 100."""
+    r = relations.where("relation_type = 'contains' and ord % 100 = 0").select(norm_id("snapshot_id").alias("tree_id"), norm_id("source_id").alias("node_id"))
+    p = parsed_symbols.where("ord % 100 = 0").select(norm_id("file_id").alias("tree_id"), F.nullif("path", F.lit("")).alias("node_id"))
+    return r.unionByName(p).where("tree_id is not null and node_id is not null").distinct()
+
+
 def p2_hierarchy(relations: DataFrame, parsed_symbols: DataFrame) -> DataFrame:
     return hierarchy(links_of(relations, parsed_symbols))
 
 
+def p2_descendants(relations: DataFrame, parsed_symbols: DataFrame) -> DataFrame:
+    return descendants(cut(p2_hierarchy(relations, parsed_symbols)), asked_nodes(relations, parsed_symbols))
+
+
 def p2_found(relations: DataFrame, parsed_symbols: DataFrame) -> DataFrame:
-    return hierarchy(links_of(relations, parsed_symbols), full=False).select("tree_id", "node_id", "root_id", "depth")
+    return p2_hierarchy(relations, parsed_symbols).select("tree_id", "node_id", "root_id", "depth")

@@ -18,6 +18,7 @@ def _with(f, *names):
 QUERIES = {
     "p2_found": _with(hierarchy.p2_found, "relations", "parsed_symbols"),
     "p2_hierarchy": _with(hierarchy.p2_hierarchy, "relations", "parsed_symbols"),
+    "p2_descendants": _with(hierarchy.p2_descendants, "relations", "parsed_symbols"),
     "p3_found": _with(references.p3_found, "files", "symbols", "relations", "summaries"),
     "p3_report": _with(references.p3_report, "files", "symbols", "relations", "summaries"),
     "p5_found": _with(snapshots.p5_found, "snapshots", "files", "symbols"),
@@ -52,6 +53,22 @@ ring as (select tree, node from up where node = a),
 low as (select u.tree, u.node, min(r.node) root from up u join ring r on r.tree = u.tree and r.node = u.a group by all)
 """
 
+_SIZES = """,
+above as (
+  select tree, node, node a from down
+  union all
+  select a.tree, a.node, l.parent from above a join links l on l.tree = a.tree and l.node = a.a where l.parent is not null),
+sizes as (select tree, a node, count(*) size from above group by all),
+kids as (
+  select l.*, s.size, row_number() over w = 1 heavy, 1 + coalesce(sum(s.size) over (w rows between unbounded preceding and 1 preceding), 0) off
+  from links l join sizes s using (tree, node) where l.parent is not null window w as (partition by l.tree, l.parent order by s.size desc, l.node desc)),
+placed as (
+  select l.tree, l.node, l.parent, l.node root, 0 depth, l.node path, l.node chain, 0 pos, s.size, 0::hugeint a from links l join sizes s using (tree, node) where l.parent is null
+  union all
+  select k.tree, k.node, k.parent, p.root, p.depth + 1, p.path || '/' || k.node, case when k.heavy then p.chain else k.node end, case when k.heavy then p.pos + 1 else 0 end, k.size, p.a + k.off
+  from placed p join kids k on k.tree = p.tree and k.parent = p.node)
+"""
+
 _P3 = f"""
 with refs as (
   select 'symbols' table_name, 'file_id' ref_field, ord, 'file' kind, {_ID('file_id')} id, {_ID('snapshot_id')} snap, ingested_at seen from symbols
@@ -90,6 +107,16 @@ found as (
 
 SQL = {
     "p2_found": _TREES + "select tree tree_id, node node_id, root root_id, depth::int depth from down union all select tree, node, root, -1 from low",
+    "p2_hierarchy": _TREES + _SIZES + """select tree tree_id, node node_id, parent parent_id, root root_id, depth::int depth, path, chain chain_id, pos::bigint chain_pos, size::bigint subtree_size, a::bigint as "first", (a + size - 1)::bigint as "last" from placed
+union all select w.tree, w.node, l.parent, w.root, -1, null, null, null, null, null, null from low w join links l using (tree, node)""",
+    "p2_descendants": f"""with recursive {_LINKS} asked as (
+  select {_ID('snapshot_id')} tree, {_ID('source_id')} node from relations where relation_type = 'contains' and ord % 100 = 0 union select {_ID('file_id')}, nullif(path, '') from parsed_symbols where ord % 100 = 0),
+safe as (select tree, node from links where parent is null union all select l.tree, l.node from safe s join links l on l.tree = s.tree and l.parent = s.node),
+under as (
+  select tree, node q, node, 0 distance from asked join safe using (tree, node)
+  union all
+  select u.tree, u.q, l.node, u.distance + 1 from under u join links l on l.tree = u.tree and l.parent = u.node)
+select tree tree_id, q node_id, node descendant_id, distance::int distance from under where distance > 0""",
     "p3_found": _P3 + "select distinct table_name, ref_field, ord, reason from bad where reason is not null",
     "p3_report": _P3 + "select table_name, ref_field, strftime(seen, '%Y-%m') as month, reason, count(*) n_refs from bad where reason is not null group by all",
     "p5_found": _P5 + "select * from found",

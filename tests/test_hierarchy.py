@@ -31,15 +31,19 @@ def brute(links):
     return out, up
 
 
-def check(spark, links):
+def check(spark, links, hot=100_000):
     want, up = brute(links)
-    got = hierarchy(spark.createDataFrame(links, SCHEMA)).collect()
+    got = hierarchy(spark.createDataFrame(links, SCHEMA), hot).collect()
     assert {(r.tree_id, r.node_id): (r.root_id, r.depth, r.path) for r in got} == want
     good = [r for r in got if r.depth >= 0]
     for r in good:  # intervals hold exactly the nodes whose paths go on from here
         inside = {x.node_id for x in good if (x.tree_id, x.root_id) == (r.tree_id, r.root_id) and r.first < x.first <= r.last}
         assert inside == {x.node_id for x in good if x.tree_id == r.tree_id and x.path.startswith(r.path + "/")}
         assert r.subtree_size == len(inside) + 1
+        if r.depth and r.chain_pos:  # a chain goes on in the largest child, next to its parent
+            p = next(x for x in good if (x.tree_id, x.node_id) == (r.tree_id, r.parent_id))
+            assert (p.chain_id, p.chain_pos + 1, p.first + 1) == (r.chain_id, r.chain_pos, r.first)
+            assert r.subtree_size == max(x.subtree_size for x in good if (x.tree_id, x.parent_id) == (r.tree_id, r.parent_id))
 
 
 def test_small_trees_and_cycles(spark):
@@ -50,6 +54,14 @@ def test_deep_chain_and_wide_node(spark):
     deep = [("d", f"n{i:04}", f"n{i - 1:04}") for i in range(1, 70)]
     wide = [("w", f"c{i:04}", "hub") for i in range(300)] + [("w", f"g{i}", f"c{i:04}") for i in range(5)]
     check(spark, deep + wide)
+    check(spark, wide, hot=40)  # the hub's children in groups
+
+
+def test_bush_on_a_deep_chain(spark):
+    deep = [("d", f"n{i:04}", f"n{i - 1:04}") for i in range(1, 40)]
+    bush = [("d", f"b{i}", "n0010") for i in range(60)] + [("d", f"b{i}x", f"b{i}") for i in range(60)]
+    loop = [("d", "x", "z"), ("d", "y", "x"), ("d", "z", "y"), *[("d", f"l{i}", "y") for i in range(5)], ("d", "l0a", "l0")]
+    check(spark, deep + bush + loop)
 
 
 def test_random_forests(spark):
@@ -67,8 +79,9 @@ def test_any_links(spark, links):
 def test_descendants(spark):
     tree = hierarchy(spark.createDataFrame([("t", "b", "a"), ("t", "c", "b"), ("t", "d", "a")], SCHEMA))
     asked = spark.createDataFrame([("t", "a"), ("t", "b"), ("t", "none")], "tree_id string, node_id string")
-    got = {(r.node_id, r.descendant_id, r.distance) for r in descendants(tree, asked).collect()}
-    assert got == {("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)}
+    for bucket in (1, 2, 256):
+        got = sorted((r.node_id, r.descendant_id, r.distance) for r in descendants(tree, asked, bucket).collect())
+        assert got == [("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)]
 
 
 def test_links_of_dirty_rows(spark):
