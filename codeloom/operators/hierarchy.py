@@ -1,6 +1,6 @@
 """Parent-child links to full hierarchies (problem 2), by heavy-path decomposition.
 
-From below, nodes without children are taken off layer by layer, each passing its subtree's size to its parent, as long as a layer halves what is left; so wide and shallow forests, the usual
+From below, nodes without children are taken off layer by layer, each passing its subtree's size to its parent, as long as a layer takes a good part of what is left; so wide and shallow forests, the usual
 kind, take few joins over ever fewer rows. What remains (deep trees, cycles and what leads to them) is walked by pointer doubling, in rounds that grow with the logarithm of the
 depth; nodes that never reach a root are on a cycle or below one and are separated there. With all sizes known, each parent's largest child is its heavy one; heavy links form
 chains, and any path meets at most log2(n) of them. From above, a node continues its parent's chain or begins one of its own: paths are concatenated from the segments of chains, and heavy-first preorder
@@ -20,6 +20,8 @@ from codeloom.lineage import cut
 SEPARATOR = "/"
 #: Children of a parent that one task orders; those of a parent with more are dealt into groups of about so many.
 HOT = 100_000
+#: Layers are taken off from below until one leaves more than this share of the nodes.
+KEPT = 2 / 3
 #: Preorder numbers of one bucket, when intervals meet the nodes within them.
 BUCKET = 256
 
@@ -35,12 +37,11 @@ def _joined(prefix: str, name: str) -> Column:
     return F.concat_ws(SEPARATOR, prefix, name)
 
 
-def climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def climb(nodes: DataFrame, weights: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Doubles the pointers of nodes (node, up, costs, label, weight) until all that reach the end of their walk have; node and up are numbers.
 
     Gives (node, root, totals, trail, weight): root is the last node of the walk, totals the sums of costs (an array) and trail the joined labels over the walk without the
-    root's own; weight is that of the node and of all below it. Second come the nodes that never reach an end (node, up, anc), None where there are none.
-    Finished nodes are written once; only the others move.
+    root's own; with weights, weight is that of the node and of all below it. Second come the nodes that never reach an end (node, up, anc), None where there are none.
     """
     ended = F.col("up").isNull()
     state = cut(
@@ -49,31 +50,22 @@ def climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             F.when(~ended, F.col("label")).alias("trail"), "weight",
         )
     )
-    done, gifts, active, turn = [state.where("anc is null").withColumn("since", F.lit(0))], [], state.where("anc is not null"), 0
-    left = active.count()
+    left = state.where("anc is not null").count()
     while left:
-        turn += 1
-        sums = cut(active.groupBy(F.col("anc").alias("node")).agg(F.sum("weight").alias("more")))
-        gifts.append(sums.withColumn("turn", F.lit(turn)))
-        every = reduce(DataFrame.unionByName, [d.drop("since") for d in done], active)
-        far = every.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("root2"), F.col("totals").alias("totals2"), F.col("trail").alias("trail2"))
-        moved = cut(
-            active.join(far, "anc").join(sums, "node", "left").select(
-                "node", "up", F.col("anc2").alias("anc"), F.col("root2").alias("root"), F.zip_with("totals", "totals2", lambda x, y: x + y).alias("totals"),
-                F.when(F.col("trail").isNotNull(), _joined("trail2", "trail")).alias("trail"), (F.col("weight") + _zero("more")).alias("weight"),
-            )
+        far = state.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("root2"), F.col("totals").alias("totals2"), F.col("trail").alias("trail2"))
+        moved = state.join(far, "anc", "left").select(
+            "node", "up", F.col("anc2").alias("anc"), F.coalesce("root", "root2").alias("root"), F.coalesce(F.zip_with("totals", "totals2", lambda x, y: x + y), "totals").alias("totals"),
+            F.when(F.col("trail").isNotNull(), _joined("trail2", "trail")).alias("trail"), "weight",
         )
-        active = moved.where("anc is not null")
-        now = active.count()
+        if weights:
+            sums = state.where("anc is not null").groupBy(F.col("anc").alias("node")).agg(F.sum("weight").alias("more"))
+            moved = moved.join(sums, "node", "left").withColumn("weight", F.col("weight") + _zero("more")).drop("more")
+        state = cut(moved)
+        now = state.where("anc is not null").count()
         if now == left:  # every depth up to the largest occurs, so a round without an arrival is the last
             break
-        done.append(moved.where("anc is null").withColumn("since", F.lit(turn)))
         left = now
-    whole = reduce(DataFrame.unionByName, done)
-    if gifts:
-        late = whole.select("node", "since").join(reduce(DataFrame.unionByName, gifts), "node").where("turn > since").groupBy("node").agg(F.sum("more").alias("more"))
-        whole = whole.join(late, "node", "left").withColumn("weight", F.col("weight") + _zero("more"))
-    return whole.select("node", "root", "totals", "trail", "weight"), active.select("node", "up", "anc") if left else None
+    return state.where("anc is null").select("node", "root", "totals", "trail", "weight"), state.where("anc is not null").select("node", "up", "anc") if left else None
 
 
 def cycle_roots(stuck: DataFrame, names: DataFrame) -> DataFrame:
@@ -95,50 +87,52 @@ def cycle_roots(stuck: DataFrame, names: DataFrame) -> DataFrame:
     return stuck.join(ring.select(F.col("node").alias("anc"), F.col("low").alias("root")), "anc").select("node", "root")
 
 
-def layers_of(named: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
-    """Of (tree, node, parent): layers of nodes with their subtree's size, each without children but in earlier layers; and what remains, with the weight of a node and of all below it in layers."""
+def layers_of(named: DataFrame, hot: int) -> tuple[list[DataFrame], DataFrame | None, DataFrame | None]:
+    """Of (tree, node, parent): layers of nodes with their subtree's size, each without children but in earlier layers; what remains, with the weight of a node and of all below it in layers;
+    and the parents (tree, parent, n) of more than `hot` children."""
     kids = named.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("n"))
     state = cut(named.join(kids, KEY, "left").select(*KEY, "parent", _zero("n").alias("n"), F.lit(1).cast(BIG).alias("weight")))
-    layers, left = [], state.count()
+    many = state.where(F.col("n") > hot).select("tree", F.col("node").alias("parent"), "n")
+    layers, left, now = [], state.count(), 0
+    hub = None if many.isEmpty() else many
     while left:
         leaves = state.where("n = 0")
         gone = leaves.where("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count("*").alias("gone"), F.sum("weight").alias("more"))
         state = cut(state.where("n > 0").join(gone, KEY, "left").select(*KEY, "parent", (F.col("n") - _zero("gone")).alias("n"), (F.col("weight") + _zero("more")).alias("weight")))
         layers.append(leaves.select(*KEY, "parent", F.col("weight").alias("size")))
         now = state.count()
-        if 2 * now > left:
+        if now > KEPT * left:
             break
         left = now
-    return layers, state.select(*KEY, "parent", "weight") if left and now else None
+    return layers, state.select(*KEY, "parent", "weight") if now else None, hub
 
 
-def ordered(rows: DataFrame, hot: int = HOT) -> DataFrame:
+def ordered(rows: DataFrame, many: DataFrame | None, hot: int = HOT) -> DataFrame:
     """rows (tree, node, parent, size, …) with heavy, whether a node is its parent's largest child, and offset, its distance in preorder from its parent (0 for roots).
 
-    Siblings come by descending size. The children of a parent with very many of them are ordered within groups, which follow each other behind the heavy child.
+    Siblings come by descending size. The children of the parents (tree, parent, n) with very many of them are ordered within groups, which follow each other behind the heavy child.
     """
+    key = ["tree", "parent"]
     roots = rows.where("parent is null").withColumns({"heavy": F.lit(False), "offset": F.lit(0).cast(BIG)})
     kids = rows.where("parent is not null")
+    few = kids if many is None else kids.join(many, key, "left_anti")
     by_size = [F.desc("size"), F.desc("node")]
-    many = kids.groupBy("tree", "parent").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    few = kids
-    if not many.isEmpty():
-        few = kids.join(many, ["tree", "parent"], "left_anti")
-    w = Window.partitionBy("tree", "parent").orderBy(*by_size)
+    w = Window.partitionBy(*key).orderBy(*by_size)
     before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = roots.unionByName(few.withColumns({"heavy": F.row_number().over(w) == 1, "offset": 1 + before}))
-    if few is kids:
+    if many is None:
         return out
-    first = kids.join(many, ["tree", "parent"], "left_semi").groupBy("tree", "parent").agg(F.max(F.struct("size", "node")).alias("h"))
-    dealt = kids.join(many, ["tree", "parent"]).join(first, ["tree", "parent"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / hot)))
+    theirs = kids.join(many, key)
+    first = theirs.groupBy(*key).agg(F.max(F.struct("size", "node")).alias("h"))
+    dealt = theirs.join(first, key).withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / hot)))
     heavy = dealt.where("node = h.node").withColumns({"heavy": F.lit(True), "offset": F.lit(1).cast(BIG)})
     light = dealt.where("node <> h.node")
-    sums = light.groupBy("tree", "parent", "salt").agg(F.sum("size").alias("sum"))
-    base = F.coalesce(F.sum("sum").over(Window.partitionBy("tree", "parent").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = Window.partitionBy("tree", "parent", "salt").orderBy(*by_size).rowsBetween(Window.unboundedPreceding, -1)
-    light = light.withColumn("own", F.coalesce(F.sum("size").over(w), F.lit(0))).join(sums.withColumn("base", base).drop("sum"), ["tree", "parent", "salt"])
+    sums = light.groupBy(*key, "salt").agg(F.sum("size").alias("sum"))
+    base = F.coalesce(F.sum("sum").over(Window.partitionBy(*key).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    w = Window.partitionBy(*key, "salt").orderBy(*by_size).rowsBetween(Window.unboundedPreceding, -1)
+    light = light.withColumn("own", F.coalesce(F.sum("size").over(w), F.lit(0))).join(sums.withColumn("base", base).drop("sum"), [*key, "salt"])
     light = light.withColumns({"heavy": F.lit(False), "offset": 1 + F.col("h.size") + F.col("base") + F.col("own")})
-    return out.unionByName(heavy.unionByName(light.select(*heavy.columns)).select(*out.columns))
+    return out.unionByName(heavy.select(*out.columns)).unionByName(light.select(*out.columns))
 
 
 #: What is known of a node from above: of those on or below a cycle only the root, with depth -1.
@@ -178,18 +172,19 @@ def hierarchy(links: DataFrame, hot: int = HOT) -> DataFrame:
     a node that is its own parent is a cycle of one. An empty table gives none.
     """
     links = links.where("tree is not null and node is not null")
-    every = links.select("tree", "node", "parent").unionByName(links.where("parent is not null").select("tree", F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
-    layers, rest = layers_of(every.groupBy(*KEY).agg(F.min("parent").alias("parent")))
+    both = F.array(F.struct("node", "parent"), F.when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent"))))
+    every = links.select("tree", F.explode(both).alias("x")).where("x is not null").select("tree", "x.node", "x.parent")
+    layers, rest, many = layers_of(every.groupBy(*KEY).agg(F.min("parent").alias("parent")), hot)
     sized = [x.withColumn("layer", F.lit(k)) for k, x in enumerate(layers)]
     top, core, stuck = len(layers), None, None
     if rest is not None:
         core = cut(rest.withColumn("id", F.monotonically_increasing_id()))
         core = cut(core.join(core.select("tree", F.col("node").alias("parent"), F.col("id").alias("up")), ["tree", "parent"], "left"))
-        whole, stuck = climb(core.select(F.col("id").alias("node"), "up", F.array().cast("array<bigint>").alias("costs"), F.lit(None).cast("string").alias("label"), "weight"))
+        whole, stuck = climb(core.select(F.col("id").alias("node"), "up", F.array().cast("array<bigint>").alias("costs"), F.lit(None).cast("string").alias("label"), "weight"), weights=True)
         sized.append(whole.select(F.col("node").alias("id"), F.col("weight").alias("size")).join(core, "id").select(*KEY, "parent", "size", F.lit(top).alias("layer")))
     if not sized:
         return _columns(links.sparkSession.createDataFrame([], "tree string, node string, parent string, root string, depth int, path string, chain string, pos bigint, size bigint, first bigint"))
-    rows = cut(ordered(reduce(DataFrame.unionByName, sized), hot))
+    rows = cut(ordered(reduce(DataFrame.unionByName, sized), many, hot))
     found = [] if core is None else [cut(_core_found(core, stuck, rows.where(F.col("layer") == top).drop("layer")))]
     for k in reversed(range(top)):
         r = rows.where(F.col("layer") == k)
