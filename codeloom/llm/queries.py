@@ -30,6 +30,7 @@ QUERIES = {
     "p6_found": _tables(handwritten.p6_found, "documents", "files"),
     "p6_reasons": _tables(handwritten.p6_reasons, "documents", "files"),
     "p7_found": _tables(secrets.p7_found, "documents", "risks"),
+    "p7_kinds": _documents(secrets.p7_kinds),
     "p7_redacted": _documents(secrets.p7_redacted),
     "p7_redacted_risks": _tables(secrets.p7_redacted_risks, "risks"),
     "p8_ids": _documents(encode.encode),

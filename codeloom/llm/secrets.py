@@ -1,8 +1,8 @@
 """Credentials embedded in source code (problem 7).
 
-Unnatural strings are those of few characters per subword under a public vocabulary. They, and literals in places that hold credentials (assignments, headers, connection strings,
-URLs, arguments, comments, key blocks), are judged by context rules, and what remains is redacted in place: every character of a credential becomes an asterisk, so that all
-offsets, quotes and lines stay as they are.
+Unnatural strings are those of few characters per subword under a public vocabulary. A literal is a candidate only if it is one, and context rules (assignments, headers, connection strings,
+URLs, arguments, comments, key blocks; stand-ins, references, addresses, checksums) accept or reject it. The one exception are passwords that people choose, in words: those are found by
+their context alone, and counted apart (`p7_kinds`). What is found is redacted in place: every character of a credential becomes an asterisk, so that all offsets, quotes and lines stay as they are.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from codeloom.llm.bpe import Encoder, encoder
 from codeloom.llm.encode import vocabulary
 
-#: Characters per subword at or below which a string is unnatural, and the length from which that is judged.
+#: Characters per subword at or below which a string is unnatural: of letters alone (from the length at which words differ enough from chance), and with digits or symbols.
 UNNATURAL = 2.4
 JUDGED = 12
+UNNATURAL_MIXED = 3.25
 
 # The words that end the names of credentials, and words that make a name mean something else.
 CREDENTIAL_WORDS = frozenset("password passwd pwd pw pass passphrase passcode secret secrets token bearer credential credentials apikey accesskey secretkey authtoken privatekey auth authorization psk pat creds cred sas kennwort passwort contraseña clave mdp пароль".split())
@@ -30,6 +31,8 @@ KEY_KINDS = frozenset("api access session deploy secret private signing sign enc
 PHRASE_KINDS = frozenset("admin login user pass root db secret recovery seed backup wallet unlock master service sudo".split())
 CODE_KINDS = frozenset("license licence access auth activation security recovery backup pairing".split())
 OTHER_MEANING = frozenset("public endpoint url uri host path file filename name field header id ids type length len min max size ttl expiry expires count limit policy param label placeholder regex pattern sha1 sha256 sha512 md5 checksum digest hash integrity commit revision etag version format prefix column attribute index env var variable input prompt hint".split())
+#: Names of what people choose in words.
+CHOSEN = frozenset("password passwd pwd pw pass passphrase passcode phrase word kennwort passwort contraseña clave mdp пароль".split())
 #: What names of credentials end with, whatever separates their words.
 JOINED = ("password", "passwd", "passphrase", "dbpass", "apikey", "accesskey", "secretkey", "authtoken", "accesstoken", "sessionkey", "deploykey", "smtppw", "licensecode", "connectionauth", "signingsecret", "clientsecret", "webhooksecret", "hmacsaltkey")
 
@@ -88,6 +91,8 @@ _BARE = re.compile(r"(?<![\w/+=-])(?:AKIA[0-9A-Z]{13,17}|eyJ[\w-]{8,}\.[\w-]{8,}
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _ANY_WORDS = regex.compile(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\p{Lo}+|\d+")
 
+# Words of sentences about passwords, which no passphrase is made of.
+_TALK = frozenset("the your you this that must should may can not and for with from please enter wrong missing invalid required has have was were are will too short long reset forgot change confirm again match matches".split())
 # Literals that stand in for a credential (matched whole, in lower case).
 _STAND_IN = re.compile(
     r"<.*>|\[.*\]|\$\{.*\}|\$\(.*\)|\{\{.*\}\}|\{[\w.:-]*\}|%\w+%|%\(\w+\)s|\$\w+|@\w+@|#\{.*\}|__\w+__|(.)\1*|(?:[*x•.#?_-])\1*|[*x•#]{3,}.*|\.{2,}"
@@ -121,6 +126,20 @@ def names_credential(key: str) -> bool:
     return "".join(words).endswith(JOINED)
 
 
+_WORDY = regex.compile(r"\p{Lu}?\p{Ll}{2,}(?:[-_.]?(?:\p{Lu}?\p{Ll}{2,}|\d+))*+[^\w\s]*+")
+_PHRASE = regex.compile(r"\p{Ll}{3,}(?:[ _-]\p{Ll}{3,}){2,}")
+
+
+def chosen(value: str, key: str) -> bool:
+    """Whether a value may be a password that someone chose in words, by its name alone: a phrase of three or more words in small letters, or words with numbers or symbols."""
+    words = name_of(key)
+    if not words or words[-1] not in CHOSEN and not "".join(words).endswith(JOINED):
+        return False
+    if any(c.isspace() for c in value):
+        return bool(_PHRASE.fullmatch(value)) and not any(names_credential(w) or w in _TALK for w in value.replace("_", " ").replace("-", " ").split())
+    return bool(_WORDY.fullmatch(value)) and not value.isalpha()
+
+
 #: What follows from names_credential: the name ends with one of these words, no letter goes on, and at least the five characters of a value come later.
 _NAME_ENDS = re.compile(rf"(?=(?:{'|'.join(sorted(NAME_ENDS))})(?![a-z])(?:\s*\S){{5}})[{''.join(sorted({w[0] for w in NAME_ENDS}))}]")
 _SEPARATORS = bytes(c for c in range(256) if c != 10 and not (chr(c).isascii() and chr(c).isalnum()))
@@ -183,29 +202,34 @@ class Judge:
     def unnatural(self, value: str) -> bool:
         return len(value) >= JUDGED and self.per_subword(value) <= UNNATURAL
 
-    def literal(self, value: str) -> bool:
-        """Whether a value may be a credential at all: no stand-in, reference, address, checksum, id or natural word."""
+    def candidate(self, value: str) -> bool:
+        """Whether a literal is an unnatural string: by its characters per subword, below which no words of any length stay."""
+        if any(c.isdigit() or not (c.isalnum() or c in "-_./:") for c in value):
+            return self.per_subword(value) <= UNNATURAL_MIXED
+        return (len(value) >= JUDGED or len(value) >= 8 and bool(_MIXED.search(value))) and self.per_subword(value) <= UNNATURAL
+
+    def literal(self, value: str, key: str = "") -> bool:
+        """Whether a value is a candidate, or one that people choose under that name, and no stand-in, reference, address, checksum or id."""
         v = value.strip()
+        if not (self.candidate(v) or key and chosen(v, key)) or len(v) < 4:
+            return False
         low = v.lower()
-        if len(v) < 5 or any(c.isspace() for c in v) or _STAND_IN.fullmatch(low) or _REFERENCE.fullmatch(v) and not (v[0] in "/." and self.random(v)) or _UUID.fullmatch(v) or _SUM.fullmatch(v):
+        if _STAND_IN.fullmatch(low) or _REFERENCE.fullmatch(v) and not (v[0] in "/." and self.random(v)) or _UUID.fullmatch(v) or _SUM.fullmatch(v):
             return False
-        if _ADDRESS.fullmatch(v) and not (v.startswith("eyJ") or self.random(v)):
+        if any(c.isspace() for c in v) and not chosen(v, key):
             return False
-        if "${" in v or "{{" in v or "<" in v and ">" in v or v.isdigit():
+        if _ADDRESS.fullmatch(v) and not (v.startswith("eyJ") or self.random(v)):
             return False
-        if _BARE.fullmatch(v):
-            return True
-        odd = any(c.isdigit() or not (c.isalnum() or c in "-_./:") for c in v)
-        return odd or self.unnatural(v) or len(v) >= 8 and bool(_MIXED.search(v)) and self.per_subword(v) <= UNNATURAL
+        return not ("${" in v or "{{" in v or "<" in v and ">" in v or v.isdigit())
 
     def random(self, value: str) -> bool:
         """Unnatural, with digits and capitals."""
         return self.unnatural(value) and any(c.isdigit() for c in value) and any(c.isupper() for c in value)
 
-    def plain(self, value: str) -> bool:
+    def plain(self, value: str, key: str = "") -> bool:
         """Stricter, for values without quotes: no code."""
         code = r"[()\[\]{}]|=>|\w\.\w+\(" if value.startswith("eyJ") or self.random(value) else r"[()\[\]{}]|=>|\w\.\w+\(|^[\w.]+\.[a-z_]\w*$"
-        return self.literal(value) and not re.search(code, value) and not re.fullmatch(r"[a-z_]+\d{0,3}|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)*\d{0,2}", value)
+        return self.literal(value, key) and not re.search(code, value) and not re.fullmatch(r"[a-z_]+\d{0,3}|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)*\d{0,2}", value)
 
 
 def _clean(value: str) -> str:
@@ -222,7 +246,7 @@ def line_spans(line: str, judge: Judge) -> list[tuple[int, int]]:
             out.append((a, z))
 
     for m in _USERINFO.finditer(line) if "://" in line else ():
-        if judge.literal(m["v"]) or not _STAND_IN.fullmatch(m["v"].lower()) and len(m["v"]) >= 5 and "{" not in m["v"] and "$" != m["v"][:1] and (any(not c.isalpha() for c in m["v"]) or _MIXED.search(m["v"])):
+        if judge.literal(m["v"], "password") or not _STAND_IN.fullmatch(m["v"].lower()) and len(m["v"]) >= 5 and "{" not in m["v"] and "$" != m["v"][:1] and (any(not c.isalpha() for c in m["v"]) or _MIXED.search(m["v"])):
             take(*m.span("v"))
     for m in _BARE.finditer(line):
         if not _STAND_IN.fullmatch(m[0].lower()) and (m[0].startswith(("eyJ", "AKIA")) or judge.unnatural(m[0])):
@@ -232,44 +256,44 @@ def line_spans(line: str, judge: Judge) -> list[tuple[int, int]]:
         if judge.literal(m["v"]) and (judge.unnatural(m["v"]) or m["s"].lower() != "token" and any(c.isdigit() for c in m["v"]) and len(m["v"]) >= 16):
             take(*m.span("v"))
     for m in _CONNECTION.finditer(line) if "=" in line else ():
-        if judge.literal(m["v"]) and not re.search(r"[()\[\]]|^[a-z_.]+$", m["v"]):
+        if judge.literal(m["v"], m["k"]) and not re.search(r"[()\[\]]|^[a-z_.]+$", m["v"]):
             take(*m.span("v"))
     if not may_name(line):  # the rules below begin with the name of a credential
         return out
     spoken, ticked = (_SPOKEN, _TICKED) if line.isascii() else (_SPOKEN_ANY, _TICKED_ANY)
     at = 0
     while m := _ASSIGN.search(line, at):
-        if names_credential(m["k"].split()[-1]) and judge.literal(m["v"]):
+        if names_credential(m["k"].split()[-1]) and judge.literal(m["v"], m["k"].split()[-1]):
             take(*m.span("v"))
         at = max(m.end("k"), at + 1)
     for m in _TOGETHER.finditer(line):
         pieces = [(p.start(2) + m.start("parts"), p[2]) for p in re.finditer(r"([\"'])([^\"'\n]*)\1", m["parts"])]
-        if names_credential(m["k"]) and judge.literal("".join(p for _, p in pieces)):
+        if names_credential(m["k"]) and judge.literal("".join(p for _, p in pieces), m["k"]):
             for a, p in pieces:
                 take(a, a + len(p))
     for m in _PAIR.finditer(line):
-        if names_credential(m["k"]) and judge.literal(m["v"]):
+        if names_credential(m["k"]) and judge.literal(m["v"], "password"):
             take(*m.span("v"))
     for m in _XML.finditer(line):
         k, v = ("k", "v") if m["k"] else ("k2", "v2")
-        if names_credential(m[k]) and judge.literal(m[v]):
+        if names_credential(m[k]) and judge.literal(m[v], m[k]):
             take(*m.span(v))
     for pattern in (_HEADER, ticked):
         for m in pattern.finditer(line):
             k, v = ("k", "v") if m["k"] else ("k2", "v2")
-            if names_credential(m[k]) and judge.literal(m[v]) and (pattern is ticked or judge.unnatural(m[v])):
+            if names_credential(m[k]) and judge.literal(m[v], m[k]) and (pattern is ticked or judge.unnatural(m[v])):
                 take(*m.span(v))
     for pattern in (_PLAIN, _FLAG):
         at = 0
         while m := pattern.search(line, at):
             v, a = _clean(m["v"]), m.start("v")
-            if names_credential(m["k"].split()[-1]) and judge.literal(m["v"]) and judge.plain(v):
+            if names_credential(m["k"].split()[-1]) and judge.literal(m["v"], m["k"].split()[-1]) and judge.plain(v, m["k"].split()[-1]):
                 take(a, a + len(v))
             at = max(m.end("k"), at + 1)
     at = 0
     while m := spoken.search(line, at):
         v, a = _clean(m["v"]), m.start("v")
-        if names_credential(" ".join(m["k"].split()[-3:])) and judge.literal(m["v"]) and judge.plain(v) and (judge.unnatural(v) or any(c.isdigit() for c in v) and any(not c.isalnum() for c in v)):
+        if names_credential(" ".join(m["k"].split()[-3:])) and judge.literal(m["v"], m["k"].split()[-1]) and judge.plain(v, m["k"].split()[-1]) and (judge.unnatural(v) or any(c.isdigit() for c in v) and any(not c.isalnum() for c in v)):
             take(a, a + len(v))
         at = line.find(" ", m.start() + 1)
         if at < 0:
@@ -298,7 +322,7 @@ def over_lines(text: str, judge: Judge, ends: list[int], hits: set[int], apart:
         start, own = line(k)
         if k < len(ends) and "ame" in own.lower() and (m := _NAMED.search(own)) and names_credential(m["k"]):
             below, after = line(k + 1)
-            if (v := _VALUE.match(after)) and judge.literal(v["v"]):
+            if (v := _VALUE.match(after)) and judge.literal(v["v"], m["k"]):
                 out.append((below + v.start("v"), below + v.end("v"), k + 2))
         if k < len(ends) and own.rstrip().endswith(_GOES_ON) and (m := _OPENS.search(own)) and names_credential(m["k"]):
             pieces = [(start + m.start("first") + 1, m["first"][1:-1], k + 1)] if m["first"] else []
@@ -311,7 +335,7 @@ def over_lines(text: str, judge: Judge, ends: list[int], hits: set[int], apart:
                 j += 1
                 if v["end"]:
                     break
-            if len(pieces) > bool(m["first"]) and judge.literal("".join(p for _, p, _ in pieces)):
+            if len(pieces) > bool(m["first"]) and judge.literal("".join(p for _, p, _ in pieces), m["k"]):
                 n = pieces[0][2]  # the credential begins on the line of its first piece
                 out += [(x, x + len(p), n) for x, p, _ in pieces]
     return out
@@ -399,20 +423,23 @@ def document_credentials(documents: DataFrame, folder: str | None = None) -> Dat
 
 
 def document_lines(documents: DataFrame, folder: str | None = None) -> DataFrame:
-    """(doc_id, line_no) of credentials; texts are not carried on."""
+    """(doc_id, line_no, unnatural) of credentials, and whether any on the line is an unnatural string; texts are not carried on."""
     raw = vocabulary(documents, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(raw.value)
         for b in batches:
-            ids, lines = [], []
+            ids, lines, odd = [], [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for k in sorted({k for _, _, k in spans(t, judge)}) if t else ():
-                    ids.append(i)
-                    lines.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32())], names=["doc_id", "line_no"])
+                found: dict[int, bool] = {}
+                for a, z, k in spans(t, judge) if t else ():
+                    found[k] = found.get(k, False) or judge.candidate(t[a:z])
+                ids += [i] * len(found)
+                lines += found
+                odd += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(odd, pa.bool_())], names=["doc_id", "line_no", "unnatural"])
 
-    return documents.where("text <> ''").select("doc_id", "text").mapInArrow(run, "doc_id bigint, line_no int")
+    return documents.where("text <> ''").select("doc_id", "text").mapInArrow(run, "doc_id bigint, line_no int, unnatural boolean")
 
 
 def risk_credentials(risks: DataFrame, folder: str | None = None) -> DataFrame:
@@ -439,6 +466,11 @@ def p7_found(documents: DataFrame, risks: DataFrame) -> DataFrame:
     return d.unionByName(r).distinct()
 
 
+def p7_kinds(documents: DataFrame) -> DataFrame:
+    """Places in documents by what found them: unnatural strings that the context accepts (subwords), or the context alone (context)."""
+    return document_lines(documents).groupBy(F.when(F.col("unnatural"), "subwords").otherwise("context").alias("kind")).agg(F.count("*").alias("n_places"))
+
+
 def p7_redacted(documents: DataFrame) -> DataFrame:
     """(doc_id, text) with every credential redacted."""
     return document_credentials(documents).select("doc_id", F.col("redacted").alias("text"))

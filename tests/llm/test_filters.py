@@ -70,6 +70,18 @@ def test_triggers_cover_the_rules():
     assert secrets.spans("x = 'İİİİ'\nclave = 'Zx9$kLm2'", J)[0][2] == 2
 
 
+def test_candidates_come_from_the_vocabulary(monkeypatch):
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    found = sum(len(secrets.spans(t, J)) for t in texts)
+    assert secrets.spans('password = "Orchard-partial-4414-dossier"', J) and secrets.spans('db_passphrase = "correct horse battery staple"', J)
+    monkeypatch.setattr(J, "per_subword", lambda v: 9.0)  # every string natural
+    assert sum(len(secrets.spans(t, J)) for t in texts) < found / 2
+    assert not secrets.spans('api_key = "q7Rw2LmX9vTz4Kd8"', J) and secrets.spans('password = "Orchard-partial-4414-dossier"', J)
+    assert not secrets.spans('password = "please enter your password"', J) and not secrets.spans('title = "correct horse battery staple"', J)
+
+
 def test_credentials_of_any_length():
     rnd = random.Random(3)
     run = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=n))
