@@ -1,8 +1,9 @@
 """Generated, minified or vendored source files (problem 6).
 
 Layout statistics are held against thresholds tuned per language: maximum and mean line length, shares of white space, alphanumerics and digits, long encoded runs, and the
-share of lines that two line shapes cover. Banners count only in the comments a file opens with, and packages only where the path names a kept copy of one; directories for builds or
-tools, and texts that merely mention generated files, make no difference.
+share of lines that two line shapes cover. They find what was generated, minified or is mere data. Copies of other people's code look like any code; what they are shows in evidence of their origin: a
+banner in the comments they open with, or a package's name in the path, where the repository has no directory of that name of its own. Directories alone, and texts that merely mention
+generated files, make no difference.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.tables import source_documents
+from codeloom.functions.keys import norm_id
+from codeloom.tables import file_paths, source_documents
 
-#: Thresholds by extension. Minified: longest and mean line at least, white space at most. Data: digits or encoded runs at least. Repetition: lines and share of two shapes at least.
+#: Thresholds by extension, halfway between the most that hand-written files of the language show and the least that others do. Minified: longest and mean line at least, white space at most, alphanumerics
+#: at least. Data: digits or encoded runs at least. Generated: lines with a word, and share of two line shapes at least.
 LIMITS = {
-    "py": {"max_line": 400, "mean_line": 160, "space": 0.12, "alnum": 0.45, "digits": 0.35, "encoded": 0.65, "shape_lines": 8, "shapes": 0.74},
-    "ts": {"max_line": 400, "mean_line": 160, "space": 0.11, "alnum": 0.45, "digits": 0.35, "encoded": 0.65, "shape_lines": 8, "shapes": 0.74},
-    "js": {"max_line": 400, "mean_line": 160, "space": 0.11, "alnum": 0.45, "digits": 0.35, "encoded": 0.65, "shape_lines": 8, "shapes": 0.74},
-    "cs": {"max_line": 400, "mean_line": 160, "space": 0.12, "alnum": 0.45, "digits": 0.35, "encoded": 0.65, "shape_lines": 8, "shapes": 0.74},
+    "py": {"max_line": 420, "mean_line": 160, "space": 0.12, "alnum": 0.45, "digits": 0.38, "encoded": 0.7, "shape_lines": 8, "shapes": 0.79},
+    "ts": {"max_line": 400, "mean_line": 150, "space": 0.11, "alnum": 0.45, "digits": 0.36, "encoded": 0.58, "shape_lines": 8, "shapes": 0.8},
+    "js": {"max_line": 400, "mean_line": 150, "space": 0.1, "alnum": 0.45, "digits": 0.36, "encoded": 0.58, "shape_lines": 8, "shapes": 0.8},
+    "cs": {"max_line": 420, "mean_line": 160, "space": 0.12, "alnum": 0.45, "digits": 0.32, "encoded": 0.5, "shape_lines": 8, "shapes": 0.66},
 }
 # How tools sign what they write (at the start of a comment line).
 GENERATED = re.compile(
@@ -47,9 +50,9 @@ VENDORED = re.compile(
 _NAME_VERSION = re.compile(r"[@\w][\w@./-]* v?\d+\.\d+(?:\.\d+)*(?:[-+][\w.]+)?$", re.I)
 _LICENCE = re.compile(r"copyright|\(c\)|©|licen[cs]ed? |released under|spdx-license", re.I)
 # Directories in which package managers and people keep copies of packages.
-PACKAGE_PATH = re.compile(
-    r"(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages|third[_-]?party|thirdparty|vendor|deps|externals?|extern|Libs|Pods|Carthage)/(?:@[\w.-]+/)?[\w.-]+/"
-    r"|(?:^|/)packages/[\w.-]*?[\w-]\.\d+\.\d+(?:\.\d+)*[\w.-]*/"
+PACKAGE_PATH = (
+    r"(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages|third[_-]?party|thirdparty|vendor|deps|externals?|extern|Libs|Pods|Carthage)/(?:@[\w.-]+/)?([\w.-]+)/"
+    r"|(?:^|/)packages/([\w.-]*?[\w-])\.\d+\.\d+(?:\.\d+)*[\w.-]*/"
 )
 #: A comment (a block, or a line) and the white space before it; a string that stands alone.
 _OPENING = re.compile(r"(?P<s>[\s\ufeff]*+)(?P<c>/\*(?:[\s\S]*?\*/|[\s\S]*)|<!--(?:[\s\S]*?-->|[\s\S]*)|(?:#|//|--)[^\n]*)")
@@ -96,12 +99,8 @@ def repetition(text: str) -> tuple[int, float]:
     return n, two / n
 
 
-def verdict(text: str, path: str, ext: str) -> str | None:
-    """generated, minified, vendored or data; None for what someone wrote by hand for the repository."""
-    if (signed := banner(text, ext)) is not None:
-        return signed
-    if PACKAGE_PATH.search(path):
-        return "vendored"
+def layout(text: str, ext: str) -> str | None:
+    """generated, minified or data by the statistics of a text's layout; None where they are those of hand-written code."""
     limit = LIMITS[ext]
     raw = text.encode()
     n = len(raw)
@@ -114,24 +113,46 @@ def verdict(text: str, path: str, ext: str) -> str | None:
             return "minified"
     if (n - len(raw.translate(None, b"0123456789"))) / n >= limit["digits"]:
         return "data"
-    if n > 400 and sum(map(len, _ENCODED.findall(text))) / n >= limit["encoded"]:
+    if sum(map(len, _ENCODED.findall(text))) / n >= limit["encoded"]:
         return "data"
     count, share = repetition(text)
-    if count >= limit["shape_lines"] and share >= limit["shapes"]:
-        return "generated"
-    return None
+    return "generated" if count >= limit["shape_lines"] and share >= limit["shapes"] else None
+
+
+def verdict(text: str, ext: str, package: bool = False) -> tuple[str | None, str | None]:
+    """(reason, evidence): generated, minified, vendored or data, by layout, banner or package; None for what someone wrote by hand for the repository. package: whether the path names a kept copy of one."""
+    if (by_layout := layout(text, ext)) is not None:
+        return by_layout, "layout"
+    if (signed := banner(text, ext)) is not None:
+        return signed, "banner"
+    return ("vendored", "package") if package else (None, None)
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [verdict(t, p, e) for t, p, e in zip(b.column("text").to_pylist(), b.column("path").to_pylist(), b.column("ext").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), pa.array(out, pa.string())], names=["doc_id", "path", "reason"])
+        out = [verdict(t, e, k) for t, e, k in zip(*(b.column(c).to_pylist() for c in ("text", "ext", "package")))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), pa.array([r for r, _ in out], pa.string()), pa.array([e for _, e in out], pa.string())], names=["doc_id", "path", "reason", "evidence"])
+
+
+def packages(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """(fid): files under a directory for packages, in one whose name no directory of the repository's own code has. Only ids, repositories and paths are read."""
+    at = documents.select(norm_id("file_id").alias("fid"), "source").distinct().join(file_paths(files), "fid")
+    name = F.concat(F.regexp_extract("path", PACKAGE_PATH, 1), F.regexp_extract("path", PACKAGE_PATH, 2))
+    kept = at.where(F.col("path").rlike(PACKAGE_PATH)).select("fid", "source", name.alias("name"))
+    own = at.where(~F.col("path").rlike(PACKAGE_PATH)).select("source", F.explode(F.array_distinct(F.split("path", "/"))).alias("name")).distinct()
+    strange = kept.join(own, kept["source"].eqNullSafe(own["source"]) & (kept["name"] == own["name"]), "left_anti")
+    return strange.select("fid").distinct()
 
 
 def classified(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """(doc_id, path, reason) of source documents with a text; reason is null for hand-written ones. Null and empty texts are nobody's work and left out."""
+    """(doc_id, path, reason, evidence) of source documents (doc_id, file_id, text, source) with a text; reason is null for hand-written ones. Null and empty texts are nobody's work and left out.
+
+    Repeated rows are judged each; a null source is a repository of its own. Empty tables give none.
+    """
     src = source_documents(documents.select("doc_id", "file_id", "text"), files).where("text <> ''")
-    return src.select("doc_id", "path", "ext", "text").mapInArrow(_verdicts, "doc_id bigint, path string, reason string")
+    known = packages(documents, files).withColumn("known", F.lit(True))
+    rows = src.join(known, "fid", "left").select("doc_id", "path", "ext", "text", F.coalesce("known", F.lit(False)).alias("package"))
+    return rows.mapInArrow(_verdicts, "doc_id bigint, path string, reason string, evidence string")
 
 
 def p6_found(documents: DataFrame, files: DataFrame) -> DataFrame:
@@ -139,5 +160,5 @@ def p6_found(documents: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def p6_reasons(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """Numbers of source files by reason (null: hand-written)."""
-    return classified(documents, files).groupBy("reason").agg(F.count("*").alias("n_files"))
+    """Numbers of source files by reason and what shows it (both null: hand-written)."""
+    return classified(documents, files).groupBy("reason", "evidence").agg(F.count("*").alias("n_files"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import handwritten, queries, secrets
 from codeloom.llm.bpe import Encoder, vocabulary_path
@@ -114,14 +115,14 @@ HAND = "import os\nfrom a.b import c\n\n\ndef work(x, y):\n    for i in range(x)
 
 
 @pytest.mark.parametrize(("text", "path", "want"), [
-    (HAND, "src/a.py", None), (HAND, "tools/codegen/a.py", None), (HAND, "src/vendors/x/a.py", None), (HAND, "build/dist/a.py", None), (HAND, "node_modules/pkg/lib/a.py", "vendored"), (HAND, "packages/pkg.1.2.3/content/a.py", "vendored"), (HAND, "packages/app/src/a.py", None), (HAND, "lib/python3/site-packages/pkg/a.py", "vendored"),
+    (HAND, "src/a.py", None), (HAND, "tools/codegen/a.py", None), (HAND, "src/vendors/x/a.py", None), (HAND, "build/dist/a.py", None), (HAND, "vendor/total/a.py", None),
     ("# Code generated by protogen. DO NOT EDIT.\n" + HAND, "a.py", "generated"), ("# @generated\n" + HAND, "a.py", "generated"), ("# a service\n# <auto-generated> by x 1.2 </auto-generated>\n" + HAND, "a.py", "generated"), ("# This file was produced by x 1.2.3; changes will be lost.\n" + HAND, "a.py", "generated"), ("# Automatisch erzeugt mit x - nicht von Hand ändern.\n" + HAND, "a.py", "generated"), ("# Fichier produit par x, ne pas modifier.\n" + HAND, "a.py", "generated"), ("# AUTOGENERATED FILE, rebuild with `make x`\n" + HAND, "a.py", "generated"),
     ("# DO NOT EDIT the kiln table below without asking the yard team.\n" + HAND, "a.py", None), ("# Numbers are kept. See generated_at in the report.\n" + HAND, "a.py", None), (HAND + 'T = """// Code generated by x. DO NOT EDIT.\n"""\n', "a.py", None),
     ("# Copied verbatim from barge 1.2.3 (see LICENCE.barge).\n" + HAND, "a.py", "vendored"), ("# barge v1.2.3\n# Copyright (c) the barge contributors. Released under X.\n" + HAND, "a.py", "vendored"), ("# barge 1.2.3 | (c) barge project | licence: X\n" + HAND, "a.py", "vendored"), ("# Upstream: https://barge.example/x, release 1.2.3\n" + HAND, "a.py", "vendored"), ("# Copyright (c) 2024 Own Company\n" + HAND, "a.py", None),
     ("var a,b;" + "".join(f"function f{i}(x,y){{return x+y*{i}}}" for i in range(40)), "a.js", "minified"), ("D = [\n" + "    [1234, 567, 8901, 2345, 678],\n" * 30 + "]\n", "a.py", "data"), ("export const op = 1;\n" + "".join(f"export const op{i} = {{ id: {i}, path: '/v1/x/{i}' }};\n" for i in range(30)), "a.ts", "generated"), ('{\n' + "".join(f'  "k{i}": "v",\n' for i in range(12)) + '  "z": 1\n}\n', "a.ts", None),
 ])
 def test_hand_written(text, path, want):
-    assert handwritten.verdict(text, path, path.rsplit(".", 1)[1]) == want
+    assert handwritten.verdict(text, path.rsplit(".", 1)[1])[0] == want
 
 
 APACHE = "".join(f"LINE line {i} of the terms under which this is given away.\n" for i in range(30))
@@ -133,17 +134,24 @@ APACHE = "".join(f"LINE line {i} of the terms under which this is given away.\n"
     (HAND + "# @generated\n", "py", None), ('T = """\n@generated\n"""\n' + HAND, "py", None), ("const a = 1;\n/*\n@generated\n*/\n", "js", None), ('"""One."""\n"""\n@generated\n"""\n' + HAND, "py", None), ("/* a */ const a = 1; /* @generated */\n", "js", None),
 ])
 def test_banners_in_all_opening_comments(text, ext, want):
-    assert handwritten.verdict(text, "src/a." + ext, ext) == want
+    assert handwritten.verdict(text, ext)[0] == want
 
 
 def test_encoded_data():
     rnd = random.Random(1)
     blob = "".join(f"  '{''.join(rnd.choices('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/0123456789', k=64))}',\n" for _ in range(20))
-    assert handwritten.verdict(f"export const DATA = [\n{blob}];\n", "a.ts", "ts") == "data"
+    assert handwritten.verdict(f"export const DATA = [\n{blob}];\n", "ts") == ("data", "layout")
+
+
+def test_packages(spark):
+    paths = ["node_modules/pkg/lib/a.py", "packages/pkg.1.2.3/content/a.py", "packages/app/src/a.py", "lib/python3/site-packages/pkg/a.py", "src/vendor/billing/total.ts", "src/billing/x.ts", "vendor/billing/y.ts", "core/external/api/x.ts", "api/y.ts"]
+    docs = [(i, HAND, f"F{i} ", "r" if i != 6 else "other") for i in range(len(paths))]
+    got = handwritten.classified(spark.createDataFrame(docs, "doc_id long, text string, file_id string, source string"), spark.createDataFrame([(f"f{i}", p) for i, p in enumerate(paths)], "file_id string, path string")).collect()
+    assert {r.doc_id for r in got if r.evidence == "package"} == {0, 1, 3, 6}  # own directories are billing and api in one repository
 
 
 def test_found_table(spark):
-    docs = spark.createDataFrame([(1, "# @generated\nx = 1\n", "f1"), (2, HAND, "f1"), (3, None, "f1"), (4, "", "f1"), (5, "# @generated", "f2"), (1, "# @generated\nx = 1\n", "f1")], "doc_id long, text string, file_id string")
+    docs = spark.createDataFrame([(1, "# @generated\nx = 1\n", "f1"), (2, HAND, "f1"), (3, None, "f1"), (4, "", "f1"), (5, "# @generated", "f2"), (1, "# @generated\nx = 1\n", "f1")], "doc_id long, text string, file_id string").withColumn("source", F.lit(None).cast("string"))
     files = spark.createDataFrame([("f1", "a.py"), ("f2", "a.md")], "file_id string, path string")
     assert [r.doc_id for r in handwritten.p6_found(docs, files).collect()] == [1]
 
