@@ -65,7 +65,9 @@ def _round(items: DataFrame, capacity: int, label: str, grow: bool) -> DataFrame
         return pdf[["doc_id", "part", "size"]].assign(container_id=[f"{label}-{shard}-{x}" if x >= 0 else None for x in k])
 
     dealt = items.select("doc_id", "part", "size", F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(run, "doc_id bigint, part int, size bigint, container_id string")
+    spark = items.sparkSession
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    return dealt.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, "doc_id bigint, part int, size bigint, container_id string")
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -89,3 +91,16 @@ def p9_containers(documents: DataFrame, capacity: int = CAPACITY, folder: str |
     cost = F.col("n_tokens") + F.col("n_tokens") * F.col("n_tokens") / ATTENTION
     g = p9_packing(documents, capacity, folder).groupBy("container_id")
     return g.agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"), F.round(F.sum(cost), 3).alias("cost"), F.round(F.sum("n_tokens") / capacity, 6).alias("fill"))
+
+
+def p9_invariants(documents: DataFrame, capacity: int = CAPACITY, folder: str | None = None) -> DataFrame:
+    """One row (none for an empty table) of what must hold: rows of documents, rows that are packed once and whole, texts split although they fit, and containers over their capacity."""
+    sizes = cut(token_counts(documents, folder))
+    packed = cut(pack(sizes, capacity))
+    given = sizes.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("most"))
+    got = packed.groupBy("doc_id").agg(F.count_if(F.col("part") == 0).alias("m"), F.max("part").alias("last"), F.sum("n_tokens").alias("m_tokens"))
+    both = given.join(got, "doc_id", "left")
+    of_texts = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_texts"), F.coalesce(F.sum(F.when((F.col("n") == F.col("m")) & (F.col("n_tokens") == F.col("m_tokens")), F.col("n"))), F.lit(0)).alias("n_whole"), F.count_if((F.col("most") <= capacity) & (F.col("last") > 0)).alias("n_split"))
+    over = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n_tokens")).agg(F.count_if(F.col("n_tokens") > capacity).alias("n_over"))
+    rows = of_texts.unionByName(over, allowMissingColumns=True)
+    return rows.agg(*[F.sum(c).alias(c) for c in ("n_texts", "n_whole", "n_split", "n_over")]).where("n_texts > 0")

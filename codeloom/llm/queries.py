@@ -37,7 +37,11 @@ QUERIES = {
     "p8_offsets": _documents(lambda d: encode.encode(d, offsets=True)),
     "p9_packing": _documents(packing.p9_packing),
     "p9_containers": _documents(packing.p9_containers),
+    "p9_invariants": _documents(packing.p9_invariants),
     "p10_found": _documents(canonical.p10_found),
     "p10_canonical": _documents(canonical.p10_canonical),
+    "p10_classes": _documents(canonical.p10_classes),
+}
+SQL: dict[str, str] = {
+    "p9_invariants": "select count(*) n_texts, count(*) n_whole, 0::bigint n_split, 0::bigint n_over from documents having count(*) > 0",
 }
-SQL: dict[str, str] = {}

@@ -83,9 +83,13 @@ def test_canonical_table(spark):
     brute = {(a, b) for a in raw for b in raw if a < b and raw[a] and raw[b] and raw[a] != raw[b] and want[a] == want[b]}
     assert {(2 * i, 2 * i + 1) for i in range(len(PAIRS))} <= brute
     assert {tuple(r) for r in canonical.p10_found(df).collect()} == brute
+    of = {r.doc_id: (r.class_id, r.variant_id, r.n_links) for r in canonical.p10_classes(df).collect()}
+    like = lambda x: [y for y in raw if raw[y] and want[x] == want[y]]
+    assert of == {x: (min(like(x)), min(y for y in like(x) if raw[y] == raw[x]), sum(raw[y] != raw[x] for y in like(x))) for p in brute for x in p}
     assert canonical.p10_found(df.limit(0)).collect() == []
 
 
 def test_repeated_rows_give_no_pair_with_themselves(spark):
+    assert len(canonical.p10_canonical(spark.createDataFrame([(1, "é")] * 3 + [(2, "e")] * 2, "doc_id long, text string")).collect()) == 5
     df = spark.createDataFrame([(1, "a​b"), (1, "a​b"), (2, "ab"), (3, "ab")], "doc_id long, text string")
     assert {tuple(r) for r in canonical.p10_found(df).collect()} == {(1, 2), (1, 3)}
