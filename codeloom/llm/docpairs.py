@@ -151,7 +151,7 @@ def pairs_of(text: str, lang: str) -> list[tuple]:
         found = [(d, d.docstring) for d in defs]
     else:
         lexed = lex(text, lang)
-        if lexed.error or not whole([t[0] for t in lexed.tokens], lang):
+        if lexed.error or not whole("".join([t[0] for t in lexed.tokens]), lang):
             return []
         lines = Lines(text)
         defs = definitions(text, lang, lexed, lines)

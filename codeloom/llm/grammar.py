@@ -1,4 +1,4 @@
-"""Local grammars: what may stand between one pair of brackets, with everything bracketed inside it already reduced to a name.
+"""Local grammars of typescript, javascript, c_sharp and python: what may stand between one pair of brackets, with everything bracketed inside it already reduced to a name.
 
 A group of brackets is read once, from the inside out. Its content, a short string of token codes, is matched against the roles that such brackets can play (arguments,
 parameters, block, object, class body, ...), and the group is replaced by its kind and the letters of the roles it fits. Most
@@ -14,23 +14,24 @@ from re import _parser as sre  # its trees of regular expressions
 
 import regex
 
-from codeloom.parse.lexer import CONTEXTUAL, HOLE, ID, WORDS
+from codeloom.parse.lexer import CONTEXTUAL, HOLE, ID, MARK, WORDS
 
 #: Roles by kind of bracket. A group is written as the opening of its kind, the letters of the roles it fits, and END.
 ROLES = {
     "ts": {"P": "EXPFT", "B": "BOKISWN", "S": "AXY", "H": "H"},
     "js": {"P": "EXPF", "B": "BOKSW", "S": "AX", "H": "H"},
     "cs": {"P": "EXPFTGUCQ", "B": "BOKWNVYDQ", "S": "AXRZQP", "H": "H"},
+    "py": {"P": "EXPSUVWICQ", "B": "OQ", "S": "AXTSVQ", "H": "H"},
 }
 BASE = {"P": "\ue000", "B": "\ue001", "S": "\ue002", "H": "\ue004"}
 END = "\ue003"
 OPEN = {"(": "P", "{": "B", "[": "S", HOLE: "H"}
 CLOSE = {"(": ")", "{": "}", "[": "]", HOLE: "}"}
 # Roles whose content never holds a semicolon at its own level.
-NO_SEMICOLON = {"P": "EXPTGUCQ", "B": "ONYQS", "S": "AXRZQPY", "H": "H"}
+NO_SEMICOLON = {"P": "EXPTGUCQSVWI", "B": "ONYQS", "S": "AXRZQPYTSV", "H": "H"}
 #: Answers kept in a worker; they start anew beyond this.
 CACHE = 200_000
-#: Seconds for one match by backtracking; what takes longer goes to Exact, so the answer doesn't depend on them.
+#: Seconds for one match by backtracking; what takes longer goes to Exact. No rule holds a possessive or atomic part, so both search all ways to match, and the answer doesn't depend on time.
 PATIENCE = 2.0
 
 # The grammar of ECMAScript modules; what stands in braces {{ }} is typescript's.
@@ -39,7 +40,7 @@ JS = {
     # types
     "type": "tunion ( 'extends' tunion '?' type ':' type )?",
     "tunion": "[&|]? tpost ( [&|] tpost )*",
-    "tpost": "( 'keyof' | 'readonly' | 'unique' | 'infer' )*+ tprim ( S.Y | S.X )*",
+    "tpost": "( 'keyof' | 'readonly' | 'unique' | 'infer' )* tprim ( S.Y | S.X )*",
     "tprim": "( 'abstract'? 'new' )? tparams? P.P 'A' rtype | P.T | B.I | S.Y | 'typeof' id ( '.' NAME )* targs? | 'import' P.E ( '.' NAME )* targs? | 'S' | 'n' | tpl | '+' 'n' | NAME ( '.' NAME )* targs?",
     "rtype": "( ID | 'this' ) 'is' type | 'asserts' ( ID | 'this' ) ( 'is' type )? | type",
     "targs": "'<' type ( ',' type )* ','? '>'",
@@ -49,13 +50,13 @@ JS = {
     # expressions
     "expr": "arrow | 'yield' '*'? expr? | bin ( ( '=' | 'a' ) expr | '?' expr ':' expr )?",
     "arrow": "'async'? ( id | {{tparams?}} P.P {{ann?}} ) 'A' ( B.B | expr )",
-    "bin": "unary ( binop unary )*+",
-    "binop": "'b' | '+' | '*' | '<' | '>'{1,3}+ | '&' | '|' | 'in' | 'instanceof'",
-    "unary": "( '+' | '!' | '~' | 'typeof' | 'void' | 'delete' | 'await' | 'I' | 'new' (?! '.' ) )*+ post",
+    "bin": "unary ( binop unary )*",
+    "binop": "'b' | '+' | '*' | '<' | '>'{1,3} | '&' | '|' | 'in' | 'instanceof'",
+    "unary": "( '+' | '!' | '~' | 'typeof' | 'void' | 'delete' | 'await' | 'I' | 'new' (?! '.' ) )* post",
     "post": "prim tail* 'I'? {{( ( 'as' | 'satisfies' ) ( 'const' | type ) )*}}",
     "tail": "'.' nm | 'q' ( nm | P.E | S.X ) | S.X | {{targs?}} P.E | tpl {{| '!'}}",
     "prim": "func | klass | ( 'import' ( P.E | '.' NAME ) | 'new' '.' NAME ) | id {{( targs (?= P.E ) )?}} | 'this' | 'super' | 'null' | 'true' | 'false' | lit | tpl | S.A | P.X | B.O | '#'",
-    "list": "expr ( ',' expr )*+",
+    "list": "expr ( ',' expr )*",
     "func": "'async'? 'function' '*'? id? {{tparams?}} P.P {{ann?}} B.B",
     "fdecl": "'async'? 'function' '*'? id {{tparams?}} P.P {{ann?}} B.B",
     "klass": "deco* {{'abstract'?}} 'class' ( (?! 'extends' | 'implements' ) id )? kbody",
@@ -65,8 +66,8 @@ JS = {
     # statements
     "end": "';' | 'N' | \\Z",
     "bind": "( id | B.O | S.A ) {{'!'?}} {{( ':' type )?}} ( '=' expr )?",
-    "vars": "( 'var' | 'let' | 'const' {{(?! 'enum' )}} ) bind ( ',' bind )*+ {{| 'using' id '=' expr ( ',' id '=' expr )*}}",
-    "stmts": "( ';' | 'N' | stmt )*+",
+    "vars": "( 'var' | 'let' | 'const' {{(?! 'enum' )}} ) bind ( ',' bind )* {{| 'using' id '=' expr ( ',' id '=' expr )*}}",
+    "stmts": "( ';' | 'N' | stmt )*",
     "sub": "'N'? stmt",
     "stmt": "B.B | 'if' P.X sub ( 'N'? 'else' sub )? | 'for' 'await'? P.F sub | 'while' P.X sub | 'with' P.X sub | 'do' sub 'N'? 'while' P.X ';'? | 'switch' P.X B.W | 'try' B.B ( 'catch' ( P.P )? B.B ( 'finally' B.B )? | 'finally' B.B )"
     " | 'return' list? end | 'throw' list end | 'break' id? end | 'continue' id? end | 'debugger' end | import | export | {{tdecl |}} fdecl | kdecl | vars end | id ':' sub | ';' | (?! 'function' | 'class' | 'let' S.X ) list end",
@@ -85,7 +86,7 @@ JS = {
     "B_O": "( prop ( ',' prop )* ','? )?",
     "prop": "'d' expr | ( 'get' | 'set' ) pname P.P {{ann?}} B.B | 'async'? '*'? pname {{tparams?}} P.P {{ann?}} B.B | pname ':' expr | id ( '=' expr )?",
     "pname": "NAME | 'S' | 'n' | S.X",
-    "B_K": "( ';' | 'N' | member )*+",
+    "B_K": "( ';' | 'N' | member )*",
     "cname": "pname | '#'",
     "member": "deco* mod*? ( 'static' B.B | 'async'? '*'? cname {{'?'? tparams?}} P.P {{ann?}} ( B.B {{| end}} ) | ( 'get' | 'set' ) cname P.P {{ann?}} ( B.B {{| end}} ) | cname {{( '?' | '!' )? ( ':' type )?}} ( '=' expr )? end {{| S.Y ':' type end}} )",
     "mod": "'static' {{| 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'override' | 'declare' | 'accessor'}}",
@@ -122,7 +123,7 @@ CS = {
     "patom": "'not'* ( 'var' ( id | P.E ) | ( '<' | '>' | 'b' ) unary | P.Q | ( type )? ( P.Q )? B.Q id? | type P.Q id? | type id | S.Q id? | unary )",
     "init": "'ref'? expr | B.O",
     "decl": "( 'await'? 'using' )? ( 'const' | 'static' )* type id ( '=' init )? ( ',' id ( '=' init )? )*",
-    "stmts": "stmt*+",
+    "stmts": "stmt*",
     "stmt": "';' | B.B | 'if' P.X stmt ( 'else' stmt )? | 'while' P.X stmt | 'for' P.F stmt | 'await'? 'foreach' P.G stmt | 'do' stmt 'while' P.X ';' | 'switch' ( P.X | P.E ) B.W | 'try' B.B ( ( 'catch' P.C? ( 'when' P.X )? B.B )+ ( 'finally' B.B )? | 'finally' B.B )"
     " | 'lock' P.X stmt | 'await'? 'using' ( P.G | P.X ) stmt | 'fixed' P.G stmt | ( 'checked' | 'unchecked' | 'unsafe' ) B.B | 'return' 'ref'? expr? ';' | 'throw' expr? ';' | ( 'break' | 'continue' ) ';' | 'goto' ( id | 'case' expr | 'default' ) ';' | 'yield' ( 'return' expr | 'break' ) ';'"
     " | decl ';' | attr* fmod* type id tparams? P.P where* ( B.B | 'A' expr ';' ) | id ':' stmt | effect ';'",
@@ -152,7 +153,7 @@ CS = {
     "B_B": "stmts",
     "B_O": "( oelem ( ',' oelem )* ','? )?",
     "oelem": "( id | S.X ) '=' init | B.O | expr",
-    "B_K": "member*+",
+    "B_K": "member*",
     "B_W": "( ( 'case' pattern ( 'when' expr )? ':' | 'default' ':' )+ stmt+ )*",
     "B_N": "( attr* id ( '=' expr )? ( ',' attr* id ( '=' expr )? )* ','? )?",
     "H_H": "expr ( ',' '+'? 'n' )?",
@@ -170,24 +171,91 @@ CS = {
 }
 
 
-def _group(kind: str, role: str) -> str:
-    return f"(?:{BASE[kind]}[A-Z]*{role}[A-Z]*{END})"
+# The grammar of python. A line is one logical line: simple statements, or the head of a compound one, perhaps with its body.
+PY = {
+    "id": "ID", "fstr": "'`' H.H* '`'", "lit": "'n' | ( 'S' | fstr )+ | 'y'+ | 'None'",
+    # expressions
+    "atom": "ID | lit | 'd' | P.X | S.A | B.O",
+    "trailer": "'.' ID | P.E | S.X",
+    "primary": "atom trailer*",
+    "unary": "( '+' | '~' )* 'await'? primary",
+    "bor": "unary ( ( '|' | 'b' | '/' | '+' | '*' | '@' | 'X' ) unary )*",
+    "comp": "bor ( ( 'c' | 'in' | 'not' 'in' | 'is' 'not'? ) bor )*",
+    "inv": "'not'* comp",
+    "disj": "inv ( ( 'and' | 'or' ) inv )*",
+    "expr": "disj ( 'if' disj 'else' expr )? | 'lambda' lparams ':' expr",
+    "named": "ID 'w' expr | expr",
+    "star": "'*' bor | named",
+    "stars": "( '*' bor | expr ) ( ',' ( '*' bor | expr ) )* ','?",
+    "yield": "'yield' ( 'from' expr | stars )?",
+    "cfor": "( 'async'? 'for' targets 'in' disj ( 'if' disj )* )+",
+    # targets
+    "place": "primary ( '.' ID | S.X )",
+    "target": "ID | place | P.S | S.S",
+    "targets": "'*'? target ( ',' '*'? target )* ','?",
+    "single": "ID | place | P.U",
+    "dtargets": "dtarget ( ',' dtarget )* ','?",
+    "dtarget": "ID | place | P.V | S.V",
+    # simple statements
+    "rhs": "yield | stars",
+    "dotted": "ID ( '.' ID )*",
+    "names": "ID ( 'as' ID )? ( ',' ID ( 'as' ID )? )*",
+    "simple": "( targets '=' )* rhs | single ':' expr ( '=' rhs )? | single 'a' rhs | 'return' stars? | 'raise' ( expr ( 'from' expr )? )? | 'pass' | 'break' | 'continue' | 'del' dtargets | ( 'global' | 'nonlocal' ) ID ( ',' ID )*"
+    " | 'assert' expr ( ',' expr )? | 'import' dotted ( 'as' ID )? ( ',' dotted ( 'as' ID )? )* | 'from' ( ( '.' | 'd' )* dotted | ( '.' | 'd' )+ ) 'import' ( '*' | names | P.I ) | 'type' ID S.T? '=' expr",
+    "simples": "simple ( ';' simple )* ';'?",
+    # parameters
+    "N": "ID ( ':' expr )?", "D": "ID ( ':' expr )? '=' expr",
+    "positional": "N ( ',' ( N | '/' ) )* ( ',' ( D | '/' ) )* | D ( ',' ( D | '/' ) )*",
+    "kw": "'X' ID ( ':' expr )?",
+    "only": "'*' ( ID ( ':' ( '*' bor | expr ) )? ( ',' ( N | D ) )* | ( ',' ( N | D ) )+ ) ( ',' kw )?",
+    "lname": "ID", "ldef": "ID '=' expr",
+    "lpositional": "lname ( ',' ( lname | '/' ) )* ( ',' ( ldef | '/' ) )* | ldef ( ',' ( ldef | '/' ) )*",
+    "lonly": "'*' ( ID ( ',' ( lname | ldef ) )* | ( ',' ( lname | ldef ) )+ ) ( ',' 'X' ID )?",
+    "lparams": "( ( lpositional ( ',' ( lonly | 'X' ID ) )? | lonly | 'X' ID ) ','? )?",
+    # patterns
+    "plit": "'+'? 'n' ( '+' 'n' )? | ( 'S' | fstr )+ | 'y'+ | 'None'",
+    "pattern": "spattern ( ',' spattern )* ','?",
+    "spattern": "'*' ID | aspattern",
+    "aspattern": "orpattern ( 'as' ID )?",
+    "orpattern": "cpattern ( '|' cpattern )*",
+    "cpattern": "plit | ID ( '.' ID )* P.C? | P.Q | S.Q | B.Q",
+    # heads of compound statements
+    "body": "simples?",
+    "witem": "expr ( 'as' '*'? target )?",
+    "line": "simples",
+    "if": "'if' named ':' body", "elif": "'elif' named ':' body", "else": "'else' ':' body", "while": "'while' named ':' body", "for": "'async'? 'for' targets 'in' stars ':' body",
+    "try": "'try' ':' body", "except": "'except' ( expr ( 'as' ID )? )? ':' body", "exceptstar": "'except' '*' expr ( 'as' ID )? ':' body", "finally": "'finally' ':' body",
+    "with": "'async'? 'with' ( witem ( ',' witem )* | P.W ) ':' body", "def": "'async'? 'def' ID S.T? P.P ( 'A' expr )? ':' body", "class": "'class' ID S.T? P.E? ':' body",
+    "match": "'match' ( star ',' ( star ( ',' star )* ','? )? | named ) ':'", "case": "'case' pattern ( 'if' named )? ':' body", "decorator": "'@' named",
+    # contents of groups
+    "pos": "'*' expr | named", "kwst": "ID '=' expr | '*' expr", "kwds": "ID '=' expr | 'X' expr",
+    "kws": "kwst ( ',' kwst )* ( ',' kwds ( ',' kwds )* )? | kwds ( ',' kwds )*",
+    "P_E": "( named cfor | pos ( ',' pos )* ( ',' kws )? ','? | kws ','? )?",
+    "P_X": "( yield | named cfor | named | star ',' ( star ( ',' star )* ','? )? )?",
+    "P_P": "( ( positional ( ',' ( only | kw ) )? | only | kw ) ','? )?",
+    "P_S": "targets?", "P_U": "single", "P_V": "dtargets?",
+    "P_W": "witem ( ',' witem )* ','?",
+    "P_I": "names ','?",
+    "P_C": "( ( ID '=' )? aspattern ( ',' ( ID '=' )? aspattern )* ','? )?",
+    "P_Q": "pattern?",
+    "S_A": "( named cfor | star ( ',' star )* ','? )?",
+    "S_X": "slice ( ',' slice )* ','?",
+    "slice": "expr? ':' expr? ( ':' expr? )? | named | '*' bor",
+    "S_T": "tparam ( ',' tparam )* ','?",
+    "tparam": "ID ( ':' expr )? ( '=' expr )? | '*' ID ( '=' ( '*' bor | expr ) )? | 'X' ID ( '=' expr )?",
+    "S_S": "targets?", "S_V": "dtargets?", "S_Q": "pattern?",
+    "B_O": "( item ( ',' item )* ','? | expr ':' expr cfor | named cfor | star ( ',' star )* ','? )?",
+    "item": "'X' bor | expr ':' expr",
+    "B_Q": "( ( ( plit | ID ( '.' ID )+ ) ':' aspattern | 'X' ID ) ( ',' ( ( plit | ID ( '.' ID )+ ) ':' aspattern | 'X' ID ) )* ','? )?",
+    "H_H": "( yield | stars ) '='? '!'? ( ':' H.H* )?",
+    "unit": "simples",
+}
+#: Kinds of logical lines of python besides simple statements, in the order in which they are tried.
+HEADS = "if elif else while for try exceptstar except finally with def class match case decorator".split()
 
 
-def _shorter(content: str) -> str:
-    """Content with like items of a long list cut to two of each; a rule that fits the one fits the other. Where angle brackets may hold commas, only neighbours are cut."""
-    items = content.split(",")
-    if len(items) < 4:
-        return content
-    if "<" in content:
-        return ",".join(x for k, x in enumerate(items) if k < 2 or not (x == items[k - 1] == items[k - 2]))
-    seen: dict[str, int] = {}
-    out = []
-    for x in items[:-1]:
-        seen[x] = seen.get(x, 0) + 1
-        if seen[x] <= 2:
-            out.append(x)
-    return ",".join([*out, items[-1]])
+def _group(kind: str, role: str) -> str:
+    return f"(?:{BASE[kind]}[A-Z]*{role}[A-Z]*{END})"
 
 
 class Exact:
@@ -256,7 +324,7 @@ class Exact:
             if arg[0] < 0:
                 raise ValueError("rules do not look back")
             out = {at} if bool(self._sequence(arg[1], {at}, content, memo)) == (op is sre.ASSERT) else set()
-        elif op is sre.MAX_REPEAT or op is sre.MIN_REPEAT or op is sre.POSSESSIVE_REPEAT:
+        elif op is sre.MAX_REPEAT or op is sre.MIN_REPEAT:
             least, most, part = arg
             now, out, n = {at}, set(), 0
             while now and n < least:
@@ -281,7 +349,7 @@ def _in_class(items: list, c: int) -> bool:
 
 class Grammar:
     def __init__(self, lang: str):
-        rules = {"ts": JS, "js": JS, "cs": CS}[lang]
+        rules = {"ts": JS, "js": JS, "cs": CS, "py": PY}[lang]
         words, own = WORDS[lang], ROLES[lang]
         classes = {
             "ID": "[" + ID + "".join(CONTEXTUAL[lang]) + "]", "NAME": "[" + ID + "".join(words.values()) + "]", "GROUP": "[" + "".join(BASE.values()) + "]",
@@ -290,7 +358,7 @@ class Grammar:
         if lang == "cs":
             classes["PREDEF"] = "[" + "".join(words[w] for w in "bool byte char decimal double float int long object sbyte short string uint ulong ushort".split()) + "]"
             classes["VALUE"] = "[" + "".join(words[w] for w in "this base null true false new typeof default sizeof".split()) + "]"
-        token = regex.compile(r"'([^']+)'|\b([PBSH])\.([A-Z])\b|\{\{|\}\}|(\\Z|\(\?[<!=]+|\[[^\]]+\]|\{\d,?\d?\})|([A-Z]{2,})|([a-zA-Z]+_?[A-Z]?)|\s+|(.)")
+        token = regex.compile(r"'([^']+)'|\b([PBSH])\.([A-Z])\b|\{\{|\}\}|(\\Z|\(\?[<!=]+|\[[^\]]+\]|\{\d,?\d?\})|([A-Z]{2,})|([a-zA-Z]+(?:_[A-Z])?)|\s+|(.)")
 
         def translate(rule: str) -> str:
             if lang != "ts":
@@ -315,21 +383,25 @@ class Grammar:
         never = r"(?!)"
         bodies = {k: translate(v) or never for k, v in rules.items()}
         self.exact = Exact(bodies)
-        self.define = "(?(DEFINE)" + "".join(f"(?P<{k}>{v})" for k, v in bodies.items()) + ")"
-        self.roles = {kind: [(r, regex.compile(self.define + f"(?&{kind}_{r})\\Z")) for r in roles if f"{kind}_{r}" in rules and bodies[f"{kind}_{r}"] != never] for kind, roles in own.items()}
+        # one expression for all rules that are asked for, as each would hold the whole grammar: the content follows the rule's letter
+        self.roles = {kind: [r for r in roles if f"{kind}_{r}" in rules and bodies[f"{kind}_{r}"] != never] for kind, roles in own.items()}
         # lists of statements and of members are matched piece by piece, as the pieces repeat more than the lists
-        self.pieces = {r: regex.compile(self.define + f"(?&{r})\\Z") for r in ("B_B", "B_K", "unit")}
+        self.pieces = {"B_B", "B_K", "unit"} & set(bodies)
+        asked = [f"{kind}_{r}" for kind, roles in self.roles.items() for r in roles] + ["unit"] + (["line", *HEADS] if lang == "py" else [])
+        self.letters = {name: chr(0xF100 + k) for k, name in enumerate(dict.fromkeys(asked))}
+        self.rules = regex.compile("(?(DEFINE)" + "".join(f"(?P<{k}>{v})" for k, v in bodies.items()) + ")(?:" + "|".join(f"{c}(?&{name})" for name, c in self.letters.items()) + r")\Z")
+        self.breaks = regex.compile(MARK + "..", regex.S) if lang == "py" else None
         # a piece ends with a semicolon, or with a curly group (and its line end) before a word that carries no expression or statement on
         after = f"(?<={BASE['B']}[A-Z]*{END})"
-        onward = set("else catch finally while when and or is as in on of by into equals switch with select where orderby let join group from ascending descending instanceof satisfies extends implements".split())
+        onward = set() if lang == "py" else set("else catch finally while when and or is as in on of by into equals switch with select where orderby let join group from ascending descending instanceof satisfies extends implements".split())
         starts = "".join({c for w, c in words.items() if w not in onward})
-        until = "".join(words[w] for w in ("else", "while", "catch", "finally"))
+        until = "".join(words[w] for w in ("else", "while", "catch", "finally") if w in words)
         line = f"|(?<={BASE['B']}[A-Z]*{END}N)(?![{until}])" if lang != "cs" else ""
-        self.cuts = {r: regex.compile(f"(?<=;)(?![{until}])|{after}(?={follow}){line}", regex.V1) for r, follow in (("B_B", f"[{starts}]"), ("unit", f"[{starts}]"), ("B_K", f"[@#*{BASE['S']}{ID}{''.join(words.values())}]"))}
+        self.cuts = {} if lang == "py" else {r: regex.compile(f"(?<=;)(?![{until}])|{after}(?={follow}){line}", regex.V1) for r, follow in (("B_B", f"[{starts}]"), ("unit", f"[{starts}]"), ("B_K", f"[@#*{BASE['S']}{ID}{''.join(words.values())}]"))}
         self.only_semicolons = ("PF", "BV") if lang == "cs" else ()
         # roles that need one of these codes in their content, and roles that only patterns play
         of = lambda names: set(words[w] for w in names.split())
-        self.needs = {"PG": of("in") | {"="}, "PU": {","}, "BD": of("class struct interface enum record delegate namespace using"), "BW": of("case default")} if lang == "cs" else {"BW": of("case default")}
+        self.needs = {"PG": of("in") | {"="}, "PU": {","}, "BD": of("class struct interface enum record delegate namespace using"), "BW": of("case default")} if lang == "cs" else {"BW": of("case default")} if lang != "py" else {"PI": {ID}, "PC": {ID}}
         self.rich_roles = {"PQ", "BQ", "SQ", "BY"} if lang == "cs" else set()
         self.rich_codes = of("is case switch") if lang == "cs" else set()
         self.known: dict[tuple[str, str, bool], str | None] = {}
@@ -337,87 +409,119 @@ class Grammar:
 
     def group(self, opening: str, content: str, rich: bool = True) -> str | None:
         """The name of a group, or None where its content fits no role. Roles in patterns are tried only where the text is rich, that is, may have patterns."""
-        if len(content) > 40:
-            content = _shorter(content)
         key = (opening, content, rich)
         if key not in self.known:
             if len(self.known) > CACHE:
                 self.known.clear()
+            if self.breaks:
+                content = self.breaks.sub("", content)
             kind, fits = OPEN[opening], ""
             semicolons = ";" in content
-            for role, pattern in self.roles[kind]:
+            for role in self.roles[kind]:
                 if semicolons and role in NO_SEMICOLON[kind] or not semicolons and (kind + role) in self.only_semicolons:
                     continue
                 name = kind + role
                 if name in self.rich_roles and not rich or content and name in self.needs and self.needs[name].isdisjoint(content):
                     continue
-                if (rule := f"{kind}_{role}") in self.pieces:
-                    fits += role * self.all_fit(rule, content)
-                else:
-                    fits += role * self.match(pattern, rule, content)
+                rule = f"{kind}_{role}"
+                fits += role * (self.all_fit(rule, content) if rule in self.pieces else self.match(rule, content))
             self.known[key] = BASE[kind] + fits + END if fits else None
         return self.known[key]
 
-    def match(self, pattern: regex.Pattern, rule: str, content: str) -> bool:
+    def match(self, rule: str, content: str) -> bool:
         try:
-            return bool(pattern.match(content, timeout=PATIENCE))
+            return bool(self.rules.match(self.letters[rule] + content, timeout=PATIENCE))
         except TimeoutError:
             return self.exact.fits(rule, content)
 
+    def fit(self, rule: str, content: str) -> bool:
+        """As match, with answers kept."""
+        if len(self.fits) > CACHE:
+            self.fits.clear()
+        if (rule, content) not in self.fits:
+            self.fits[rule, content] = self.match(rule, content)
+        return self.fits[rule, content]
+
     def all_fit(self, rule: str, content: str) -> bool:
-        fits, pattern = self.fits, self.pieces[rule]
-        if len(fits) > CACHE:
-            fits.clear()
-        for piece in self.cuts[rule].split(content):
-            if (rule, piece) not in fits:
-                fits[rule, piece] = self.match(pattern, rule, piece)
-            if not fits[rule, piece]:
-                return False
-        return True
+        return all(self.fit(rule, piece) for piece in self.cuts[rule].split(content))
+
+    def head(self, content: str) -> str | None:
+        """The kind of a logical line of python: line for simple statements, or of HEADS; None where it is neither."""
+        return next((r for r in ("line", *HEADS) if self.fit(r, content)), None)
 
     def whole(self, content: str) -> bool:
         """Whether a reduced text is a whole module or compilation unit."""
-        return self.all_fit("unit", content)
-
-    def reduce(self, codes: str | list[str], rich: bool = True) -> str | None:
-        """Codes with every balanced group replaced by its name; unmatched brackets stay. None where a group is invalid or closed by another bracket."""
-        stack: list[tuple[str, list[str]]] = []
-        out: list[str] = []
-        for c in codes:
-            if c in OPEN:
-                stack.append((c, out))
-                out = []
-            elif c in ")]}":
-                if not stack:  # closes what an earlier chunk opened
-                    out.append(c)
-                    continue
-                opening, before = stack.pop()
-                if CLOSE[opening] != c:
-                    return None
-                content = "".join(out)
-                if any(x in content for x in ")]}"):
-                    before.append(opening + content + c)
-                else:
-                    g = self.group(opening, content, rich)
-                    if g is None:
-                        return None
-                    before.append(g)
-                out = before
+        return self.python(content) if self.breaks else self.all_fit("unit", content)
+
+    def python(self, content: str) -> bool:
+        """Whether logical lines, each behind its indentation, are valid and nest as statements do."""
+        before, *rows = content.split(MARK)
+        if before:
+            return False
+        stack, kinds = [(0, 0)], [""]  # of open blocks: indentation, and the last statement's kind
+        opened = None  # by the line before
+        inside = ["module"]
+        for row in rows:
+            col, alt, line = ord(row[0]), ord(row[1]), row[2:]
+            col, alt = col - 0xF0000, alt - 0xF0000
+            kind = self.head(line)
+            if kind is None:
+                return False
+            if opened:
+                if col <= stack[-1][0] or alt <= stack[-1][1]:
+                    return False
+                stack.append((col, alt))
+                kinds.append("")
+                inside.append(opened)
+                opened = None
             else:
-                out.append(c)
-        for opening, before in reversed(stack):
-            before.append(opening)
-            before += out
-            out = before
-        return "".join(out)
-
-
+                while col < stack[-1][0]:
+                    if kinds[-1] in ("try", "decorator"):
+                        return False
+                    stack.pop()
+                    kinds.pop()
+                    inside.pop()
+                if (col, alt) != stack[-1]:
+                    return False
+            last = kinds[-1]
+            if (kind == "case") != (inside[-1] == "match") or last == "try" and kind not in ("except", "exceptstar", "finally") or last == "decorator" and kind not in ("decorator", "def", "class"):
+                return False
+            if kind in AFTER and last not in AFTER[kind]:
+                return False
+            kinds[-1] = "tryelse" if kind == "else" and last in ("except", "exceptstar") else kind
+            if kind != "line" and kind != "decorator" and line.endswith(":"):
+                opened = kind
+        return not opened and not any(k in ("try", "decorator") for k in kinds)
+
+    def reduce(self, codes: str, rich: bool = True) -> str | None:
+        """Codes with every balanced group replaced by its name, from the inside out; unmatched brackets stay. None where a group is invalid or closed by another bracket."""
+        bad = False
+
+        def name(m) -> str:
+            nonlocal bad
+            text = m[0]
+            g = self.group(text[0], text[1:-1], rich) if CLOSE[text[0]] == text[-1] else None
+            bad = bad or g is None
+            return g or ""
+
+        n = 1
+        while n and not bad:
+            codes, n = _INNERMOST.subn(name, codes)
+        return None if bad else codes
+
+
+#: What must stand before in the same block: of clauses that go on with a statement.
+AFTER = {
+    "elif": ("if", "elif"), "else": ("if", "elif", "for", "while", "except", "exceptstar"), "except": ("try", "except"), "exceptstar": ("try", "exceptstar"),
+    "finally": ("try", "except", "exceptstar", "tryelse"),
+}
+_INNERMOST = regex.compile(r"[(\[{$][^()\[\]{}$]*[)\]}]")
 _grammars: dict[str, Grammar] = {}
 
 
 def grammar(lang: str) -> Grammar:
-    """The grammar of typescript, javascript or c_sharp, one a worker process."""
-    short = {"typescript": "ts", "javascript": "js", "c_sharp": "cs"}[lang]
+    """The grammar of a language, one a worker process."""
+    short = {"typescript": "ts", "javascript": "js", "c_sharp": "cs", "python": "py"}[lang]
     if short not in _grammars:
         _grammars[short] = Grammar(short)
     return _grammars[short]

@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import ast
+import pathlib
+import random
+import warnings
+
 import pytest
 
 from codeloom.llm import grammar, syntax
-from codeloom.llm.syntax import chunk_map, chunks, compose, valid, whole
+from codeloom.llm.syntax import Map, chunk_map, chunks, compose, valid
 
 JS_GOOD = [
     "", "﻿const a = 1;\n", "let a = b\nlet c = d\n(e)\n", "const f = async ({ a, b: [c], ...d } = {}, e = 1) => { await a?.b?.[c]?.(d) }\n", "export default class extends A { static #p = 1; get x() { return this.#p } static { init() } async *gen() { yield* x } }",
@@ -37,54 +42,95 @@ def test_grammars(lang, good, bad):
     assert [t for t in bad if valid(t, lang)] == []
 
 
-@pytest.mark.parametrize(("lang", "good", "bad"), [("javascript", JS_GOOD, JS_BAD), ("typescript", TS_GOOD, TS_BAD), ("c_sharp", CS_GOOD, CS_BAD)])
+SHORT = {"typescript": "ts", "javascript": "js", "c_sharp": "cs", "python": "py"}
+
+
+@pytest.mark.parametrize(("lang", "good", "bad"), [("javascript", JS_GOOD, JS_BAD), ("typescript", TS_GOOD, TS_BAD), ("c_sharp", CS_GOOD, CS_BAD), ("python", PY_GOOD, PY_BAD)])
 def test_no_answer_depends_on_time(monkeypatch, lang, good, bad):
-    g = grammar.Grammar({"typescript": "ts", "javascript": "js", "c_sharp": "cs"}[lang])
+    g = grammar.Grammar(SHORT[lang])
 
     class Slow:
         def match(self, *args, **kwargs):
             raise TimeoutError
 
-    g.roles = {kind: [(r, Slow()) for r, _ in roles] for kind, roles in g.roles.items()}
-    g.pieces = {r: Slow() for r in g.pieces}
-    monkeypatch.setitem(grammar._grammars, {"typescript": "ts", "javascript": "js", "c_sharp": "cs"}[lang], g)
+    g.rules = Slow()
+    monkeypatch.setitem(grammar._grammars, SHORT[lang], g)
     assert [t for t in good if not valid(t, lang)] == []
     assert [t for t in bad if valid(t, lang)] == []
 
 
+def by_interpreter(text):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            ast.parse(text.removeprefix("\ufeff"))
+        except (SyntaxError, ValueError):
+            return False
+    return True
+
+
+def test_python_equals_the_interpreter():
+    rnd = random.Random(11)
+    files = [f for f in sorted(pathlib.Path(ast.__file__).parent.glob("*.py")) if f.stat().st_size < 30_000]
+    for f in rnd.sample(files, 15):
+        text = f.read_text(encoding="utf-8")
+        lines = text.split("\n")
+        tries = [text]
+        for _ in range(6):
+            i, j = rnd.randrange(len(text) + 1), rnd.randrange(len(lines))
+            tries += [text[:i], text[:i] + text[i + 1 :], text[:i] + rnd.choice("()[]{}:,='\"+ *") + text[i:], "\n".join(lines[:j] + lines[j + 1 :]), "\n".join([*lines[:j], "<<<<<<< HEAD", *lines[j:]]), "\n".join([*lines[:j], " " + lines[j], *lines[j + 1 :]])]
+        for t in tries:
+            assert valid(t, "python", 700) == by_interpreter(t), (f, t)
+
+
 def test_exact_takes_long_contents():
     exact = grammar.grammar("c_sharp").exact
     assert exact.fits("P_X", "i" + "+i" * 2000) and not exact.fits("P_X", "i" + "+i" * 2000 + " i")
     assert exact.fits("P_X", "i?i:" * 2000 + "i") and not exact.fits("P_X", "i?i:" * 2000)
 
 
-def test_python_too_deep_for_the_parser():
-    assert not valid("x = " + "-" * 200_000 + "1\n", "python")
+def test_no_depth_is_too_deep():
+    assert valid("x = " + "-" * 20_000 + "1\n", "python") and not valid("x = " + "-" * 20_000 + "\n", "python")
+    assert valid("x = " + "(" * 3000 + "1" + ")" * 3000 + "\n", "python") and not valid("x = " + "(" * 3000 + "1" + ")" * 2999 + "\n", "python")
 
 
 LONG = {
     "typescript": "const a = `one\n${b}\ntwo ${c(`x\n${d}`)}\nthree`;\n/* com\nment } */\nfunction f() {\n  return [\n    1,\n  ];\n}\nlet x = y\nlet z = w\n",
-    "c_sharp": "class A\n{\n    /* com\n    ment { */\n    string v = @\"one\n    two\"\"x\n    \";\n    string r = \"\"\"\n    raw { \"\n    \"\"\";\n    void F()\n    {\n        G(1,\n          2);\n    }\n}\n",
+    "c_sharp": "class A\n{\n    /* com\n    ment { */\n    string v = @\"one\n    two\"\"x\n    \";\n    string r = \"\"\"\n    raw { \"\n    \"\"\";\n    void F()\n    {\n        G(1,\n          2);\n        H($@\"a\n {b + $@\"c {\n d}\"} \n e\");\n    }\n}\n",
+    "javascript": "const a = `one\n${b\n / 2}${`x${\n{ c: 1 }.d\n}\n`}`\n  / 3\nlet z = w;\n/re/.test(z)\n",
+    "python": 'x = f"""one\n{y[\'a\']:>{w}}\n{\n {"k": [\n1]}\n!r}\n""" + \\\n  \'\'\'a\n\\\'\'\'b\'\'\'\nif x:\n\tdef f(a, /,\n  b=(1,\n2)):\n\t\treturn r\'\'\'\n\\x\'\'\'\nelse: pass\n',
 }
 
 
 @pytest.mark.parametrize("lang", sorted(LONG))
 @pytest.mark.parametrize("size", [1, 12, 40])
 def test_chunks_compose_to_the_whole(lang, size):
-    for text in (LONG[lang], LONG[lang][:-3], LONG[lang].replace("1", "1 2", 1)):
-        parts = [chunk_map(c, lang) for c in chunks(text, size)]
+    for text in (LONG[lang], LONG[lang][:-3], LONG[lang].replace("1", "1 2", 1), LONG[lang] * 2):
         assert "".join(chunks(text, size)) == text
-        left = parts[0]
+        assert valid(text, lang, size) == valid(text, lang, 10**6) and (lang != "python" or valid(text, lang) == by_interpreter(text))
+        parts = [chunk_map(c, lang, k == 0) for k, c in enumerate(chunks(text, size))]
+        both = lambda a, b: Map(lang, compose(a, b, list(a.found)), a.text + b.text)
+        left, right = parts[0], parts[-1]
         for p in parts[1:]:
-            left = compose(left, p, lang)
-        right = parts[-1]
+            left = both(left, p)
         for p in reversed(parts[:-1]):
-            right = compose(p, right, lang)
-        if "nested" not in (left[""][0], right[""][0]):
-            assert left[""] == right[""]  # associative
-        end, summary = left[""]
-        if end != "nested":
-            assert (end == "" and summary is not None and whole(summary, lang)) == valid(text, lang)
+            right = both(p, right)
+        assert left.get("") == right.get("")  # associative
+    assert valid(LONG[lang], lang)
+
+
+def test_no_chunk_size_matters(folder):
+    import pyarrow.parquet as pq
+
+    ends = {".py": "python", ".ts": "typescript", ".js": "javascript", ".cs": "c_sharp"}
+    paths = dict(zip(*(pq.read_table(f"{folder}/files.parquet")[c].to_pylist() for c in ("file_id", "path"))))
+    d = pq.read_table(f"{folder}/documents.parquet")
+    seen = 0
+    for t, f in zip(d["text"].to_pylist(), d["file_id"].to_pylist()):
+        if t and (lang := ends.get((paths.get(f) or "")[-3:])):
+            seen += 1
+            assert len({valid(t, lang, size) for size in (256, 4096, 65536)}) == 1
+    assert seen > 50
 
 
 def test_verdicts_by_chunks(spark):
@@ -94,8 +140,11 @@ def test_verdicts_by_chunks(spark):
         want[k] = ok
     rows.append((99, None, "python"))
     df = spark.createDataFrame(rows, "doc_id long, text string, code_language string")
-    for size in (30, 65536):
-        assert {r.doc_id: r.ok for r in syntax.verdicts(df, size).collect()} == want
+    rows += [(200 + k, LONG[lang] * 2, lang) for k, lang in enumerate(sorted(LONG))] + [(300 + k, LONG[lang] * 2 + "(", lang) for k, lang in enumerate(sorted(LONG))]
+    want |= {200 + k: True for k in range(len(LONG))} | {300 + k: False for k in range(len(LONG))}
+    df = spark.createDataFrame(rows, "doc_id long, text string, code_language string")
+    for size, block in ((10, 3), (30, 1), (4096, 64)):  # with blocks that meet by text, and look again at states that they leave
+        assert {r.doc_id: r.ok for r in syntax.verdicts(df, size, block).collect()} == want
 
 
 def test_joins_of_dirty_ids(spark):
