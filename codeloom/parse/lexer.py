@@ -12,6 +12,7 @@ holes that nest. Modes: "" code, "/" code after a value (a slash divides), "c" a
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from typing import NamedTuple
 from unicodedata import lookup
 
@@ -46,11 +47,11 @@ CONTEXTUAL["ts"] = CONTEXTUAL["js"]
 
 _NAME = r"(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:\w|\$|[‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
 _JS = re.compile(
-    rf"""(?P<skip>[\s﻿]+|//[^\n\r\u2028\u2029]*|/\*(?:[^*]|\*(?!/))*\*/|(?<![\s\S])\#!.*)
+    rf"""[ \t]*+(?:(?P<skip>[\s﻿]+|//[^\n\r\u2028\u2029]*|/\*(?:[^*]|\*(?!/))*\*/|(?<![\s\S])\#!.*)
     |(?P<id>{_NAME})|(?P<priv>\#{_NAME})
     |(?P<num>(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?(?![\w$]))
     |(?P<str>"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')
-    |(?P<op>=>|\.\.\.|\?\.(?!\d)|\+\+|--|===?|!==?|<=|>=(?!=)|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\*\*=|\*\*|<<=|<<|[-+*%&|^]=|[-+*%&|^<>=!~?:;,.@()\[\]{{}}])|(?P<slash>/)|(?P<tick>`)""",
+    |(?P<op>=>|\.\.\.|\?\.(?!\d)|\+\+|--|===?|!==?|<=|>=(?!=)|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\*\*=|\*\*|<<=|<<|[-+*%&|^]=|[-+*%&|^<>=!~?:;,.@()\[\]{{}}])|(?P<slash>/)|(?P<tick>`)|(?P<eof>\Z))""",
     re.X,
 )
 _JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[dgimsuvy]*(?![\w$])")
@@ -58,12 +59,12 @@ _JS_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 _JS_OPS = {"=>": ARROW, "...": DOTS, "?.": NULLDOT, "++": INC, "--": INC, "-": "+", "~": "~", "%": BIN, "^": BIN} | {o: BIN for o in "== === != !== <= >= && || ?? ** <<".split()} | {o: ASSIGN for o in "&&= ||= ??= **= <<= -= += *= %= &= |= ^= /=".split()}
 
 _CS = re.compile(
-    r"""(?P<skip>[\s﻿]+|//[^\n\r]*|/\*(?:[^*]|\*(?!/))*\*/|(?<!\S)\#[ \t]*(?:if|elif|else|endif|define|undef|region|endregion|pragma|nullable|line|error|warning)\b[^\n]*)
+    r"""[ \t]*+(?:(?P<skip>[\s﻿]+|//[^\n\r]*|/\*(?:[^*]|\*(?!/))*\*/|(?<!\S)\#[ \t]*(?:if|elif|else|endif|define|undef|region|endregion|pragma|nullable|line|error|warning)\b[^\n]*)
     |(?P<raw>\$*\"{3,})|(?P<verb>@"(?:[^"]|"")*+"(?:u8)?)|(?P<interp>\$@"|@\$"|\$")
     |(?P<id>@?[^\W\d]\w*)
     |(?P<num>(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*(?:\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)(?:[uUlLfFdDmM]{0,2})(?!\w))
     |(?P<str>"(?:[^"\\\n\r]|\\.)*"(?:u8)?|'(?:\\(?:u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|x[0-9a-fA-F]{1,4}|[^\n\r])|[^'\\\n\r])')
-    |(?P<op>=>|\?\?=|\?\?|\+\+|--|->|::|\.\.|==|!=|<=|>=|&&|\|\||<<=|<<|[-+*/%&|^]=|[-+*/%&|^<>=!~?:;,.()\[\]{}])""",
+    |(?P<op>=>|\?\?=|\?\?|\+\+|--|->|::|\.\.|==|!=|<=|>=|&&|\|\||<<=|<<|[-+*/%&|^]=|[-+*/%&|^<>=!~?:;,.()\[\]{}])|(?P<eof>\Z))""",
     re.X,
 )
 _CS_HOLE_TEXT = {False: re.compile(r'(?:[^"\\{}\n\r]|\\.|\{\{|\}\})*'), True: re.compile(r'(?:[^"{}]|""|\{\{|\}\})*')}
@@ -140,7 +141,10 @@ def _lex_js(text: str, mode: str, stack: list[str]) -> Lexed:
         m = match(text, pos)
         if m is None:
             return ends("error")
-        kind, end = m.lastgroup, m.end()
+        kind = m.lastgroup
+        pos, end = m.span(kind)
+        if kind == "eof":
+            break
         if kind == "skip":
             if text[pos] == "/":
                 comments.append((pos, end))
@@ -150,9 +154,9 @@ def _lex_js(text: str, mode: str, stack: list[str]) -> Lexed:
             pos = end
             continue
         if kind == "id":
-            code = words.get(m.group(), ID)
+            code = words.get(m[kind], ID)
         elif kind == "op":
-            o = m.group()
+            o = m[kind]
             code = _JS_OPS.get(o, o)
             if o == "{":
                 depth += 1
@@ -270,19 +274,22 @@ def _lex_cs(text: str, mode: str, stack: list[str]) -> Lexed:
     while pos < n:
         m = match(text, pos)
         if m is None:
-            return ends("v" if text.startswith('@"', pos) else "error")
-        kind, end = m.lastgroup, m.end()
+            return ends("v" if text[pos:].lstrip(" \t").startswith('@"') else "error")
+        kind = m.lastgroup
+        pos, end = m.span(kind)
+        if kind == "eof":
+            break
         if kind == "skip":
             if text[pos] == "/":
                 comments.append((pos, end))
             pos = end
             continue
         if kind == "id":
-            code = words.get(m.group(), ID)
+            code = words.get(m[kind], ID)
         elif kind == "op":
             if text.startswith("/*", pos):
                 return ends("c")
-            o = m.group()
+            o = m[kind]
             code = _CS_OPS.get(o, o)
             if o in "([{":
                 depth += 1
@@ -308,7 +315,7 @@ def _lex_cs(text: str, mode: str, stack: list[str]) -> Lexed:
         elif kind in ("str", "verb"):
             code = STR
         elif kind == "raw":
-            quotes = m.group().lstrip("$")
+            quotes = m[kind].lstrip("$")
             close = text.find(quotes, end)
             if close < 0:
                 return ends(f"r{len(quotes)}")
@@ -318,7 +325,7 @@ def _lex_cs(text: str, mode: str, stack: list[str]) -> Lexed:
             code = STR
         else:
             add(("`", pos, end))
-            pos = string_on(end, "@" in m.group())
+            pos = string_on(end, "@" in m[kind])
             if pos < 0:
                 return ends("i" if pos == -2 else "error")
             continue
@@ -329,10 +336,10 @@ def _lex_cs(text: str, mode: str, stack: list[str]) -> Lexed:
 
 _DIGITS = r"\d(?:_?\d)*"
 _PY = re.compile(
-    rf"""(?P<skip>[ \t\f]+|\\(?:\r\n|\r|\n))|(?P<line>(?:\#[^\n\r]*)?(?:\r\n|\r|\n)|\#[^\n\r]*)
-    |(?P<str>(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?(?:\"\"\"|\'\'\'|"|'))|(?P<id>[^\W\d]\w*)
+    rf"""[ \t\f]*+(?:(?P<skip>\\(?:\r\n|\r|\n))|(?P<line>(?:\#[^\n\r]*)?(?:\r\n|\r|\n)|\#[^\n\r]*)
+    |(?P<str>(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?(?:\"\"\"|\'\'\'|"|'))|(?P<id>(?:[^\W\d]|[^\x00-\x7f])(?:\w|[^\x00-\x7f])*)
     |(?P<num>(?>0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:{_DIGITS})?\.{_DIGITS}(?:[eE][+-]?{_DIGITS})?[jJ]?|{_DIGITS}\.(?:[eE][+-]?{_DIGITS})?[jJ]?|{_DIGITS}(?:[eE][+-]?{_DIGITS}[jJ]?|[jJ])|0(?:_?0)*|[1-9](?:_?\d)*)(?:(?!\w)|(?=(?:and|else|for|if|in|is|not|or)\b)))
-    |(?P<op>\.\.\.|->|:=|\*\*=|//=|<<=|>>=|\*\*|//|<<|>>|[-+*/%&|^@]=|==|!=|<=|>=|[-+*/%&|^@<>~=:;,.()\[\]{{}}!])""",
+    |(?P<op>\.\.\.|->|:=|\*\*=|//=|<<=|>>=|\*\*|//|<<|>>|[-+*/%&|^@]=|==|!=|<=|>=|[-+*/%&|^@<>~=:;,.()\[\]{{}}!])|(?P<eof>\Z))""",
     re.X,
 )
 _PY_OPS = {"...": DOTS, "->": ARROW, ":=": "w", "**": "X", "-": "+"} | {o: ASSIGN for o in "**= //= <<= >>= -= += *= /= %= &= |= ^= @=".split()} | {o: BIN for o in "// << >> % & ^".split()} | {o: "c" for o in "== != <= >= < >".split()}
@@ -360,6 +367,7 @@ def _py_escapes(body: str, raw: bool, is_bytes: bool) -> bool:
     return True
 
 
+@lru_cache(4096)
 def _mark(space: str) -> str:
     col = alt = 0
     for c in space:
@@ -450,11 +458,10 @@ def _lex_py(text: str, mode: str, stack: list[str]) -> Lexed:
         m = match(text, pos)
         if m is None:
             return ends("error")
-        kind, end = m.lastgroup, m.end()
-        if kind == "skip":
-            pos = end
-        elif kind == "id":
-            word = m.group()
+        kind = m.lastgroup
+        pos, end = m.span(kind)
+        if kind == "id":
+            word = m[kind]
             if not word.isascii() and not word.isidentifier():
                 return ends("error")
             add((words.get(word, ID), pos, end))
@@ -464,7 +471,7 @@ def _lex_py(text: str, mode: str, stack: list[str]) -> Lexed:
                 comments.append((pos, end))
             pos = line_at(end)
         elif kind == "op":
-            o = m.group()
+            o = m[kind]
             if frames:  # in a hole
                 if o in "([{":
                     frames[-1] += 1
@@ -495,9 +502,11 @@ def _lex_py(text: str, mode: str, stack: list[str]) -> Lexed:
         elif kind == "num":
             add((NUM, pos, end))
             pos = end
+        elif kind != "str":  # a joined line, or the end
+            pos = end
         else:
-            prefix = m.group().rstrip("\"'").lower()
-            q = m.group()[len(prefix) :]
+            prefix = m[kind].rstrip("\"'").lower()
+            q = m[kind][len(prefix) :]
             if len(q) == 1 and text.startswith(q, end) and "f" not in prefix:  # an empty one
                 add(("y" if "b" in prefix else STR, pos, end + 1))
                 pos = end + 1
