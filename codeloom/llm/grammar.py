@@ -96,6 +96,7 @@ JS = {
     "B_W": "( ( 'case' list | 'default' ) ':' stmts )*",
     "B_N": "{{( pname ( '=' expr )? ( ',' pname ( '=' expr )? )* ','? )?}}",
     "H_H": "list",
+    "elem": "'d'? expr", "eitem": "pname ( '=' expr )?",
     "S_A": "( ',' | 'd'? expr ( ',' | \\Z ) )*",
     "S_X": "list",
     "S_Y": "{{( telem ( ',' telem )* ','? )? | id ':' type | id 'in' type ( 'as' type )?}}",
@@ -161,6 +162,7 @@ CS = {
     "B_Y": "( pattern ( 'when' expr )? 'A' expr ( ',' pattern ( 'when' expr )? 'A' expr )* ','? )?",
     "B_D": "( using | space | attr* mod* tdecl )*",
     "B_Q": "( id ( '.' id )* ':' pattern ( ',' id ( '.' id )* ':' pattern )* ','? )?",
+    "elem": "'d'? expr", "eitem": "attr* id ( '=' expr )?",
     "S_A": "( ( 'd' )? expr ( ',' 'd'? expr )* ','? )?",
     "S_X": "arg ( ',' arg )*",
     "S_R": "','*",
@@ -191,8 +193,8 @@ PY = {
     "cfor": "( 'async'? 'for' targets 'in' disj ( 'if' disj )* )+",
     # targets
     "place": "primary ( '.' ID | S.X )",
-    "target": "ID | place | P.S | S.S",
-    "targets": "'*'? target ( ',' '*'? target )* ','?",
+    "target": "ID | place | P.S | S.S", "starget": "'*'? target",
+    "targets": "starget ( ',' starget )* ','?",
     "single": "ID | place | P.U",
     "dtargets": "dtarget ( ',' dtarget )* ','?",
     "dtarget": "ID | place | P.V | S.V",
@@ -236,7 +238,8 @@ PY = {
     "P_S": "targets?", "P_U": "single", "P_V": "dtargets?",
     "P_W": "witem ( ',' witem )* ','?",
     "P_I": "names ','?",
-    "P_C": "( ( ID '=' )? aspattern ( ',' ( ID '=' )? aspattern )* ','? )?",
+    "citem": "( ID '=' )? aspattern",
+    "P_C": "( citem ( ',' citem )* ','? )?",
     "P_Q": "pattern?",
     "S_A": "( named cfor | star ( ',' star )* ','? )?",
     "S_X": "slice ( ',' slice )* ','?",
@@ -250,7 +253,19 @@ PY = {
     "H_H": "( yield | stars ) '='? '!'? ( ':' H.H* )?",
     "unit": "simples",
 }
+#: The rule of one item of a role that is a list with commas. A long list fits its role if all its items fit this; else the role's own rule decides.
+ITEMS = {
+    "js": {"P_E": "elem", "P_X": "expr", "B_O": "prop", "S_A": "elem", "S_X": "expr", "S_Y": "telem", "B_N": "eitem"},
+    "cs": {"P_E": "arg", "B_O": "oelem", "S_A": "elem", "S_X": "arg", "B_N": "eitem"},
+    "py": {"P_E": "pos", "P_X": "star", "S_A": "star", "S_X": "slice", "P_S": "starget", "S_S": "starget", "P_V": "dtarget", "S_V": "dtarget", "P_W": "witem", "P_Q": "spattern", "S_Q": "spattern", "P_C": "citem", "B_O": "item"},
+}
+ITEMS["ts"] = ITEMS["js"]
+#: Roles whose lists may not end with a comma.
+UNENDED = {"js": ("P_X", "S_X"), "cs": ("P_E", "S_X"), "py": ()}
+UNENDED["ts"] = UNENDED["js"]
 #: Kinds of logical lines of python besides simple statements, in the order in which they are tried.
+#: Those that begin with a word; all others are simple statements. A soft keyword may be a name.
+BY_WORD = {"if": "if", "elif": "elif", "else": "else", "while": "while", "for": "for", "async": "for with def", "try": "try", "except": "exceptstar except", "finally": "finally", "with": "with", "def": "def", "class": "class", "match": "match", "case": "case", "@": "decorator"}
 HEADS = "if elif else while for try exceptstar except finally with def class match case decorator".split()
 
 
@@ -387,7 +402,9 @@ class Grammar:
         self.roles = {kind: [r for r in roles if f"{kind}_{r}" in rules and bodies[f"{kind}_{r}"] != never] for kind, roles in own.items()}
         # lists of statements and of members are matched piece by piece, as the pieces repeat more than the lists
         self.pieces = {"B_B", "B_K", "unit"} & set(bodies)
-        asked = [f"{kind}_{r}" for kind, roles in self.roles.items() for r in roles] + ["unit"] + (["line", *HEADS] if lang == "py" else [])
+        self.items, self.unended = {r: i for r, i in ITEMS[lang].items() if bodies.get(i, never) != never}, UNENDED[lang]
+        asked = [f"{kind}_{r}" for kind, roles in self.roles.items() for r in roles] + ["unit", *self.items.values()] + (["line", *HEADS] if lang == "py" else [])
+        self.by_word = {words.get(w, w): [h for h in HEADS if h in heads.split()] for w, heads in BY_WORD.items()} if lang == "py" else {}
         self.letters = {name: chr(0xF100 + k) for k, name in enumerate(dict.fromkeys(asked))}
         self.rules = regex.compile("(?(DEFINE)" + "".join(f"(?P<{k}>{v})" for k, v in bodies.items()) + ")(?:" + "|".join(f"{c}(?&{name})" for name, c in self.letters.items()) + r")\Z")
         self.breaks = regex.compile(MARK + "..", regex.S) if lang == "py" else None
@@ -399,11 +416,15 @@ class Grammar:
         line = f"|(?<={BASE['B']}[A-Z]*{END}N)(?![{until}])" if lang != "cs" else ""
         self.cuts = {} if lang == "py" else {r: regex.compile(f"(?<=;)(?![{until}])|{after}(?={follow}){line}", regex.V1) for r, follow in (("B_B", f"[{starts}]"), ("unit", f"[{starts}]"), ("B_K", f"[@#*{BASE['S']}{ID}{''.join(words.values())}]"))}
         self.only_semicolons = ("PF", "BV") if lang == "cs" else ()
+        self.contextual = CONTEXTUAL[lang]
         # roles that need one of these codes in their content, and roles that only patterns play
         of = lambda names: set(words[w] for w in names.split())
-        self.needs = {"PG": of("in") | {"="}, "PU": {","}, "BD": of("class struct interface enum record delegate namespace using"), "BW": of("case default")} if lang == "cs" else {"BW": of("case default")} if lang != "py" else {"PI": {ID}, "PC": {ID}}
-        self.rich_roles = {"PQ", "BQ", "SQ", "BY"} if lang == "cs" else set()
-        self.rich_codes = of("is case switch") if lang == "cs" else set()
+        self.needs = {"PG": of("in") | {"="}, "PU": {","}, "BD": of("class struct interface enum record delegate namespace using"), "BW": of("case default")} if lang == "cs" else {"BW": of("case default")} if lang != "py" else {"PI": {ID} | self.contextual, "PW": of("as")}
+        self.rich_roles = {"cs": {"PQ", "BQ", "SQ", "BY"}, "py": {"PC", "PQ", "SQ", "BQ"}}.get(lang, set())
+        self.rich_word = {"cs": regex.compile(r"\b(?:is|case|switch)\b"), "py": regex.compile(r"\bcase\b")}.get(lang)
+        # codes that no target holds outside of brackets, and those that parameters and imported names begin with
+        self.bans = dict.fromkeys(("PS", "PU", "PV", "SS", "SV"), set("+b|/c~=:wa") | {c for w, c in words.items() if c not in self.contextual and w != "None"} - {words.get("None")}) if lang == "py" else {}
+        self.begins = {"PP": {ID, "*", "X"} | self.contextual, "PI": {ID} | self.contextual} if lang == "py" else {}
         self.known: dict[tuple[str, str, bool], str | None] = {}
         self.fits: dict[tuple[str, str], bool] = {}
 
@@ -423,8 +444,10 @@ class Grammar:
                 name = kind + role
                 if name in self.rich_roles and not rich or content and name in self.needs and self.needs[name].isdisjoint(content):
                     continue
+                if content and (name in self.bans and not self.bans[name].isdisjoint(content) or name in self.begins and content[0] not in self.begins[name]):
+                    continue
                 rule = f"{kind}_{role}"
-                fits += role * (self.all_fit(rule, content) if rule in self.pieces else self.match(rule, content))
+                fits += role * (self.all_fit(rule, content) if rule in self.pieces else self.listed(rule, content))
             self.known[key] = BASE[kind] + fits + END if fits else None
         return self.known[key]
 
@@ -434,6 +457,15 @@ class Grammar:
         except TimeoutError:
             return self.exact.fits(rule, content)
 
+    def listed(self, rule: str, content: str) -> bool:
+        if (item := self.items.get(rule)) and content.count(",") > 2:
+            pieces = content.split(",")
+            if not pieces[-1] and rule not in self.unended:
+                pieces.pop()
+            if all(self.fit(item, x) for x in set(pieces)):
+                return True
+        return self.match(rule, content)
+
     def fit(self, rule: str, content: str) -> bool:
         """As match, with answers kept."""
         if len(self.fits) > CACHE:
@@ -447,7 +479,9 @@ class Grammar:
 
     def head(self, content: str) -> str | None:
         """The kind of a logical line of python: line for simple statements, or of HEADS; None where it is neither."""
-        return next((r for r in ("line", *HEADS) if self.fit(r, content)), None)
+        heads = self.by_word.get(content[:1], [])
+        tried = heads if heads and content[0] not in self.contextual else ["line", *heads]
+        return next((r for r in tried if self.fit(r, content)), None)
 
     def whole(self, content: str) -> bool:
         """Whether a reduced text is a whole module or compilation unit."""
@@ -493,6 +527,10 @@ class Grammar:
                 opened = kind
         return not opened and not any(k in ("try", "decorator") for k in kinds)
 
+    def rich(self, text: str) -> bool:
+        """Whether a text may hold patterns."""
+        return self.rich_word is None or bool(self.rich_word.search(text))
+
     def reduce(self, codes: str, rich: bool = True) -> str | None:
         """Codes with every balanced group replaced by its name, from the inside out; unmatched brackets stay. None where a group is invalid or closed by another bracket."""
         bad = False

@@ -49,22 +49,21 @@ def chunks(text: str, size: int) -> list[str]:
     return [*out, text[a:]]
 
 
-def entry(chunk: str, lang: str, state: str) -> Entry:
-    """Where a chunk that begins in a state ends, and its summary."""
+def entry(chunk: str, lang: str, state: str, rich: bool = True) -> Entry:
+    """Where a chunk that begins in a state ends, and its summary. rich: whether its text may hold patterns."""
     lexed = lex(chunk, lang, state)
     if lexed.state == "error":
         return "error", None
     codes = "".join([t[0] for t in lexed.tokens])
-    g = grammar(lang)
-    summary = g.reduce(codes, not g.rich_codes or not g.rich_codes.isdisjoint(codes))
+    summary = grammar(lang).reduce(codes, rich)
     return (lexed.state, summary) if summary is not None else ("error", None)
 
 
 class Map:
     """The entries of one or more adjacent chunks by state. Where the text is at hand, entries are found when asked for."""
 
-    def __init__(self, lang: str, found: dict[str, Entry], text: str | None = None):
-        self.lang, self.found, self.text = lang, found, text
+    def __init__(self, lang: str, found: dict[str, Entry], text: str | None = None, rich: bool = True):
+        self.lang, self.found, self.text, self.rich = lang, found, text, rich
 
     def get(self, state: str) -> Entry | None:
         """None where the state needs a look at the text, and it isn't here."""
@@ -80,7 +79,7 @@ class Map:
                 return out, summary
         if self.text is None:
             return None
-        self.found[state] = entry(self.text, self.lang, state)
+        self.found[state] = entry(self.text, self.lang, state, self.rich)
         return self.found[state]
 
     def slash(self) -> bool:
@@ -110,13 +109,13 @@ def _before_hole(summary: str) -> int:
     return summary[: summary.index("$")].count("{")
 
 
-def chunk_map(chunk: str, lang: str, first: bool) -> Map:
-    m = Map(lang, {}, chunk)
+def chunk_map(chunk: str, lang: str, first: bool, rich: bool = True) -> Map:
+    m = Map(lang, {}, chunk, rich)
     m.get("")
     if not first:
         for mode in MODES[lang]:
             leaves = LEAVES.get(mode, (mode[1:],))
-            m.found[mode] = entry(chunk, lang, mode) if any(x in chunk for x in leaves) or lang == "python" and "\\" in chunk else (mode, "")
+            m.found[mode] = entry(chunk, lang, mode, rich) if any(x in chunk for x in leaves) or lang == "python" and "\\" in chunk else (mode, "")
         if lang in ("typescript", "javascript") and m.slash():
             m.get("/")
     return m
@@ -142,28 +141,27 @@ def compose(a: Map, b: Map, states: list[str]) -> dict[str, Entry | str]:
             out[state] = ("error", None)
             continue
         line = LINE if a.lang in ("typescript", "javascript") and mid.partition("|")[0] in ("", "/") and left and right and right[0] in _LINE_STARTS and (left[-1] in _LINE_ENDS or left[-1] == END) else ""
-        both = grammar(a.lang).reduce(left + line + right)
+        both = grammar(a.lang).reduce(left + line + right, a.rich)
         out[state] = ("error", None) if both is None else (end, both)
     return out
 
 
-def block_map(text: str, lang: str, first: bool, size: int) -> Map:
+def block_map(text: str, lang: str, first: bool, size: int, rich: bool = True) -> Map:
     """The map of a block: those of its chunks, composed pair by pair. A first block begins in code."""
-    maps = [chunk_map(c, lang, first and k == 0) for k, c in enumerate(chunks(text, size))]
+    maps = [chunk_map(c, lang, first and k == 0, rich) for k, c in enumerate(chunks(text, size))]
     while len(maps) > 1:
         pairs = []
         for k in range(0, len(maps) - 1, 2):
             a, b = maps[k], maps[k + 1]
             both = (a.text or "") + (b.text or "")
-            pairs.append(Map(lang, compose(a, b, list(a.found)), both))
+            pairs.append(Map(lang, compose(a, b, list(a.found)), both, rich))
         maps = pairs + maps[len(maps) // 2 * 2 :]
     return maps[0]
 
 
 def whole(codes: str, lang: str) -> bool:
     """Whether the token codes of a text are a whole module or compilation unit."""
-    g = grammar(lang)
-    reduced = g.reduce(codes, not g.rich_codes or not g.rich_codes.isdisjoint(codes))
+    reduced = grammar(lang).reduce(codes)
     return reduced is not None and ends_well(("", reduced), lang)
 
 
@@ -174,7 +172,7 @@ def ends_well(e: Entry, lang: str) -> bool:
 
 def valid(text: str, lang: str, size: int = CHUNK) -> bool:
     """Whether a text follows the grammar of its language. An empty one does. A leading byte order mark is no part of it."""
-    return ends_well(block_map(text.removeprefix("\ufeff"), lang, True, size).get(""), lang)
+    return ends_well(block_map(text.removeprefix("\ufeff"), lang, True, size, grammar(lang).rich(text)).get(""), lang)
 
 
 def _first_pass(size: int, block: int):
