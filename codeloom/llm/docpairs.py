@@ -1,7 +1,8 @@
 """Functions paired with their documentation (problem 1).
 
-In a text, comments are candidates for the definitions that follow within a few lines. Links are costed by distance, parameter tags and names, and assigned one to one in the order of
-their cost; a link over a gap is implausible and dropped. In python the docstring is given. What tells nothing is dropped.
+In a text, a comment is a candidate for the definitions that follow within a few lines and for the one whose body it opens. Links are scored by distance, by the parameters that tags name (theirs or others') and by
+names, and assigned one to one so that the sum of scores is greatest; links that score nothing are implausible and dropped. Docstrings, and the documentation of parsed symbols, are candidates of one
+definition and pass the same score. What tells nothing is dropped. p1_pairs gives all links, p1_found those of documentation that ends right above its definition.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from codeloom.tables import source_documents
 
 #: Lines between the end of a comment and a definition for which the comment is a candidate.
 REACH = 4
+#: Scores: a comment right above, each line between, each tag (of two at most) that names a parameter, each that names another word, the definition's name in the text, and a comment within the body.
+NEAR, LINE_BETWEEN, OWN_TAG, OTHER_TAG, NAMED, WITHIN = 10, 4, 3, 3, 1, 4
 
 # Words that say nothing about a function beside its name.
 FILLER = frozenset(
@@ -122,33 +125,100 @@ def comment_blocks(text: str, comments: list[tuple[int, int]], lines: Lines) ->
     return out
 
 
-def assign(defs: list, blocks: list[tuple[int, int, str]]) -> dict[int, str]:
-    """Documentation by the place of its definition in defs: links by cost, each comment and definition once, none over a gap."""
+_TAGGED = re.compile(r"[@\\](?:param|arg|argument)\s+(?:\{[^}]*\}\s*)?\[?([\w$]+)|<param\s+name\s*=\s*[\"']([\w$]+)|:param\s+(?:[\w\[\], ]+\s)?([\w$]+):")
+
+
+def score(doc: str, name: str, parameters: list[str] | None, base: int) -> int:
+    """How well documentation fits a definition; base is what its place is worth."""
+    tags = {t for m in _TAGGED.finditer(doc) for t in m.groups() if t}
+    own = tags & {p.lstrip("*") for p in parameters or () if p}
+    return base + OWN_TAG * min(len(own), 2) - OTHER_TAG * min(len(tags) - len(own), 2) + NAMED * (name in doc)
+
+
+def best_links(scores: dict[tuple[int, int], int]) -> dict[int, int]:
+    """Of scored links (a, b), all above zero, the assignment one to one with the greatest sum: the b of each a. Ties go to the smaller numbers."""
+    near: dict[int, list[int]] = {}
+    for a, b in scores:
+        near.setdefault(a, []).append(b)
+        near.setdefault(~b, []).append(a)
+    out: dict[int, int] = {}
+    seen: set[int] = set()
+    for start in sorted(a for a in near if a >= 0):
+        if start in seen:
+            continue
+        part, todo = set(), [start]
+        while todo:  # what hangs together is assigned together
+            x = todo.pop()
+            if x not in part:
+                part.add(x)
+                todo += [~b for b in near[x]] if x >= 0 else near[x]
+        seen |= part
+        left, right = sorted(x for x in part if x >= 0), sorted(~x for x in part if x < 0)
+        if len(left) == 1 or len(right) == 1:
+            _, a, b = max((scores[a, b], -a, -b) for a in left for b in right if (a, b) in scores)
+            out[-a] = -b
+        else:
+            out |= _hungarian(left, right, scores)
+    return out
+
+
+def _hungarian(left: list[int], right: list[int], scores: dict[tuple[int, int], int]) -> dict[int, int]:
+    """The assignment of greatest sum by shortest augmenting paths; each of left may stay without."""
+    n, m = len(left), len(right) + len(left)
+    cost = [[-scores.get((a, b), 0) for b in right] + [0] * n for a in left]
+    u, v, match = [0] * (n + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0], j0, way = i, 0, [0] * (m + 1)
+        low, used = [10**9] * (m + 1), [False] * (m + 1)
+        while match[j0]:
+            used[j0], i0, delta, j1 = True, match[j0], 10**9, 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    if (c := cost[i0 - 1][j - 1] - u[i0] - v[j]) < low[j]:
+                        low[j], way[j] = c, j0
+                    if low[j] < delta:
+                        delta, j1 = low[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[match[j]] += delta
+                    v[j] -= delta
+                else:
+                    low[j] -= delta
+            j0 = j1
+        while j0:
+            match[j0], j0 = match[way[j0]], way[j0]
+    return {left[i - 1]: right[j - 1] for j, i in enumerate(match) if j and i and j <= len(right) and (left[i - 1], right[j - 1]) in scores}
+
+
+def assign(defs: list, blocks: list[tuple[int, int, str]]) -> dict[int, tuple[str, int, int]]:
+    """(documentation, gap, score) by the place of its definition in defs; gap is the number of lines between, -1 for a comment within the body."""
     by_end = {b[1]: k for k, b in enumerate(blocks)}
-    links = []
+    by_start = {b[0]: k for k, b in enumerate(blocks)}
+    scores: dict[tuple[int, int], int] = {}
+    gaps: dict[tuple[int, int], int] = {}
+
+    def link(i: int, k: int, gap: int, base: int) -> None:
+        worth = score(blocks[k][2], defs[i].name, defs[i].parameters, base)
+        if worth > 0 and worth > scores.get((i, k), 0):
+            scores[i, k], gaps[i, k] = worth, gap
+
     for i, d in enumerate(defs):
         for gap in range(REACH):
             if (k := by_end.get(d.head - 1 - gap)) is not None:
-                doc = blocks[k][2]
-                tags = sum(1 for p in d.parameters if re.search(rf"(?:@param\s+(?:\{{[^}}]*\}}\s*)?|name=\")\[?{re.escape(p)}\b", doc))
-                links.append((4 * gap - min(tags, 2) - (d.name in doc), gap, i, k))
-    out: dict[int, str] = {}
-    taken = set()
-    for _, gap, i, k in sorted(links):
-        if gap == 0 and i not in out and k not in taken:
-            out[i] = blocks[k][2]
-            taken.add(k)
-    return out
+                link(i, k, gap, NEAR - LINE_BETWEEN * gap)
+        if (k := by_start.get(d.line + 1)) is not None and blocks[k][1] < d.end:
+            link(i, k, -1, WITHIN)
+    return {i: (blocks[k][2], gaps[i, k], scores[i, k]) for i, k in best_links(scores).items()}
 
 
 def pairs_of(text: str, lang: str) -> list[tuple]:
-    """(name, kind, line, parameters, documentation) of the documented functions of a text; none where it breaks the grammar."""
+    """(name, kind, line, parameters, documentation, gap, score) of the documented functions of a text; none where it breaks the grammar."""
     if lang == "python":
         try:
             defs = python_definitions(parse_python(text))
         except (SyntaxError, ValueError, MemoryError, RecursionError):
             return []
-        found = [(d, d.docstring) for d in defs]
+        found = [(d, d.docstring, 0, score(d.docstring, d.name, d.parameters, NEAR)) for d in defs if d.docstring]
     else:
         lexed = lex(text, lang)
         if lexed.error or not whole("".join([t[0] for t in lexed.tokens]), lang):
@@ -156,30 +226,34 @@ def pairs_of(text: str, lang: str) -> list[tuple]:
         lines = Lines(text)
         defs = definitions(text, lang, lexed, lines)
         docs = assign(defs, comment_blocks(text, lexed.comments, lines)) if defs else {}
-        found = [(d, docs.get(i)) for i, d in enumerate(defs)]
-    return [(d.name, d.kind, d.line, d.parameters, doc) for d, doc in found if telling(doc, d.name, d.parameters)]
+        found = [(defs[i], *link) for i, link in sorted(docs.items())]
+    return [(d.name, d.kind, d.line, d.parameters, doc, gap, worth) for d, doc, gap, worth in found if worth > 0 and telling(doc, d.name, d.parameters)]
 
 
-_COLUMNS = "owner_id string, name string, kind string, line_start int, parameters array<string>, documentation string"
+_COLUMNS = "owner_id string, name string, kind string, line_start int, parameters array<string>, documentation string, gap int, score int"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string())
+    types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32())
+    names = [c.split()[0] for c in _COLUMNS.split(", ")]
     for b in batches:
         rows = []
         for i, t, lang in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("code_language").to_pylist()):
             rows += [(str(i), *p) for p in pairs_of(t, lang)]
-        cols = list(zip(*rows)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["owner_id", "name", "kind", "line_start", "parameters", "documentation"])
+        cols = list(zip(*rows)) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
 def _telling_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf[[telling(d, n or "", list(p) if p is not None else []) for d, n, p in zip(pdf["documentation"], pdf["name"], pdf["parameters"])]]
+        lists = [list(p) if p is not None else [] for p in pdf["parameters"]]
+        worth = [score(d, n or "", p, NEAR) for d, n, p in zip(pdf["documentation"], pdf["name"], lists)]
+        pdf = pdf.assign(gap=0, score=worth)
+        yield pdf[[w > 0 and telling(d, n or "", p) for w, d, n, p in zip(worth, pdf["documentation"], pdf["name"], lists)]]
 
 
 def p1_pairs(documents: DataFrame, files: DataFrame, parsed_symbols: DataFrame) -> DataFrame:
-    """(origin, owner_id, name, kind, line_start, parameters, documentation) of functions and methods with telling documentation.
+    """(origin, owner_id, name, kind, line_start, parameters, documentation, gap, score) of functions and methods with telling documentation, wherever near them it stands.
 
     Texts that are null, empty or break their language's grammar give none; parsed rows without owner, name or documentation neither. Rows repeat where the input repeats.
     """
@@ -193,4 +267,4 @@ def p1_pairs(documents: DataFrame, files: DataFrame, parsed_symbols: DataFrame)
 
 
 def p1_found(documents: DataFrame, files: DataFrame, parsed_symbols: DataFrame) -> DataFrame:
-    return p1_pairs(documents, files, parsed_symbols).select("origin", "owner_id", "name", "line_start").distinct()
+    return p1_pairs(documents, files, parsed_symbols).where("gap = 0").select("origin", "owner_id", "name", "line_start").distinct()
