@@ -33,11 +33,16 @@ def eligible(files: DataFrame) -> DataFrame:
     return files.where(~name.isin(SKIP_NAMES) & ~extension(F.col("path")).isin(SKIP_EXTENSIONS) & (F.coalesce(F.col("language"), F.lit("unknown")) != "unknown") & (F.length("content") > 0))
 
 
+#: Lines of one bucket, when lines meet the symbols around them.
+BUCKET = 64
+
+
 def enclosing(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """lines (file_id, n, …) with symbol_name: the first symbol by ord of the file whose range holds the line, else null. The file is the equality key, so no nested loop is planned."""
+    """lines (file_id, n, …) with symbol_name: the first symbol by ord of the file whose range holds the line, else null. Ranges are cut into buckets of lines, so that a line is not compared with all symbols of its file."""
     s = symbols.select("file_id", "line_start", "line_end", F.col("name").alias("symbol_name"), F.col("ord").alias("symbol_ord"))
-    keyed = lines.select("file_id", "n").distinct()
-    hit = keyed.join(s, "file_id").where("n between line_start and line_end").groupBy("file_id", "n").agg(F.min_by("symbol_name", "symbol_ord").alias("symbol_name"))
+    s = s.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("line_start") / BUCKET), F.floor(F.col("line_end") / BUCKET))))
+    keyed = lines.select("file_id", "n").distinct().withColumn("bucket", F.floor(F.col("n") / BUCKET))
+    hit = keyed.join(s, ["file_id", "bucket"]).where("n between line_start and line_end").groupBy("file_id", "n").agg(F.min_by("symbol_name", "symbol_ord").alias("symbol_name"))
     return lines.join(hit, ["file_id", "n"], "left")
 
 

@@ -187,9 +187,15 @@ def import_rows(parsed: DataFrame) -> DataFrame:
     return parsed.select("file_id", F.explode("imports").alias("i")).select("file_id", "i.*")
 
 
+#: Lines of one bucket, when calls meet the symbols around them.
+BUCKET = 64
+
+
 def call_rows(parsed: DataFrame) -> DataFrame:
     """(file_id, callee, line, caller_path): calls with the innermost function or method whose lines hold them."""
     calls = parsed.select("file_id", F.explode("calls").alias("c")).select("file_id", "c.*")
     s = symbol_rows(parsed).where("kind in ('function', 'method')").select("file_id", "path", "line_start", "line_end")
-    inner = calls.select("file_id", "line").distinct().join(s, "file_id").where("line between line_start and line_end").groupBy("file_id", "line").agg(F.max_by("path", "line_start").alias("caller_path"))
+    s = s.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("line_start") / BUCKET), F.floor(F.col("line_end") / BUCKET))))
+    at = calls.select("file_id", "line").distinct().withColumn("bucket", F.floor(F.col("line") / BUCKET))
+    inner = at.join(s, ["file_id", "bucket"]).where("line between line_start and line_end").groupBy("file_id", "line").agg(F.max_by("path", "line_start").alias("caller_path"))
     return calls.join(inner, ["file_id", "line"], "left")

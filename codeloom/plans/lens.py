@@ -11,8 +11,8 @@ from codeloom.tables import SOURCE_LANGUAGES, spread, table, with_paths
 
 #: A line that defines a symbol: modifiers, the defining word and the name.
 DEFINITION = r"^\s*(?:(?:export|default|public|private|protected|internal|static|abstract|sealed|partial|async)\s+)*(def|function|class|interface|struct|enum)\s+([A-Za-z_][A-Za-z0-9_]*)"
-#: Lines that a symbol is taken to span at most.
-SPAN = 24
+#: Lines of one bucket, when lines meet the symbols around them.
+BUCKET = 64
 PY_FROM = r"^from\s+([A-Za-z0-9_.]+)\s+import\s+([A-Za-z0-9_, ]+)"
 TS_FROM = r"^import\s+\{([A-Za-z0-9_, ]+)\}\s+from\s+'([^']+)'"
 CALL = r"([A-Za-z_][A-Za-z0-9_]*)\("
@@ -41,28 +41,39 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def symbols(ls: DataFrame) -> DataFrame:
-    """(symbol_id, repo, file_id, name, path, kind, line_start, line_end, ord): one symbol per defining line. A definition that is indented is a method."""
+    """(symbol_id, repo, file_id, name, path, kind, line_start, line_end, ord): one symbol per defining line. A definition that is indented is a method; it ends before the next one that is indented no further, else with its file."""
     word, name = F.regexp_extract("line", DEFINITION, 1), F.regexp_extract("line", DEFINITION, 2)
     kind = F.when(word.isin("def", "function"), F.when(F.col("line").rlike(r"^\s"), "method").otherwise("function")).otherwise(word)
-    s = ls.where(F.col("line").rlike(DEFINITION)).select("repo", "file_id", "file_ord", "n", "n_lines", name.alias("name"), kind.alias("kind"))
+    d = ls.where(F.col("line").rlike(DEFINITION)).select("repo", "file_id", "file_ord", "n_lines", F.struct("n", F.length(F.regexp_extract("line", r"^\s*", 0)).alias("indent"), name.alias("name"), kind.alias("kind")).alias("d"))
+    g = d.groupBy("repo", "file_id", "file_ord", "n_lines").agg(F.array_sort(F.collect_list("d")).alias("ds"))  # of one file, whose text was one row
+
+    def end(x, i):
+        return F.coalesce(F.get(F.filter(F.slice("ds", i + 2, F.size("ds")), lambda y: y["indent"] <= x["indent"]), F.lit(0))["n"] - 1, F.col("n_lines"))
+
+    s = g.select("repo", "file_id", "file_ord", F.explode(F.transform("ds", lambda x, i: F.struct(x["n"].alias("n"), x["name"].alias("name"), x["kind"].alias("kind"), end(x, i).alias("end")))).alias("d")).select("repo", "file_id", "file_ord", "d.*")
     return s.select(
         short_sha(16, "repo", "file_id", "name", F.col("n").cast("string")).alias("symbol_id"), "repo", "file_id", "name", F.concat_ws(".", F.col("kind"), F.col("name")).alias("path"), "kind",
-        F.col("n").cast("int").alias("line_start"), F.least(F.col("n") + SPAN, F.col("n_lines")).cast("int").alias("line_end"), (F.col("file_ord") * 1_000_000 + F.col("n")).alias("ord"),
+        F.col("n").cast("int").alias("line_start"), F.col("end").cast("int").alias("line_end"), (F.col("file_ord") * (1 << 32) + F.col("n")).alias("ord"),
     )
 
 
+def around(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """lines (file_id, n, …) joined to the symbols (file_id, line_start, line_end, …) whose ranges hold them. Ranges are cut into buckets of lines, so that a line is compared with its neighbourhood, not with all symbols of its file."""
+    pieces = symbols.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("line_start") / BUCKET), F.floor(F.col("line_end") / BUCKET))))
+    return lines.withColumn("bucket", F.floor(F.col("n") / BUCKET)).join(pieces, ["file_id", "bucket"]).where("n between line_start and line_end").drop("bucket")
+
+
 def bodies(ls: DataFrame, syms: DataFrame) -> DataFrame:
     """(symbol_id, kind, name, line_start, body): the lines of each symbol."""
-    r = syms.select("symbol_id", "file_id", "kind", "name", "line_start", "line_end")
-    hit = ls.select("file_id", "n", "line").join(r, "file_id").where("n between line_start and line_end")
+    hit = around(ls.select("file_id", "n", "line"), syms.select("symbol_id", "file_id", "kind", "name", "line_start", "line_end"))
     g = hit.groupBy("symbol_id", "kind", "name", "line_start").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("b"))
     return g.select("symbol_id", "kind", "name", "line_start", F.array_join(F.transform("b", lambda s: s["line"]), "\n").alias("body"))
 
 
 def body_words(ls: DataFrame, syms: DataFrame) -> DataFrame:
     """(symbol_id, word): the distinct identifiers in the lines of each symbol."""
-    w = ls.select("file_id", "n", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("word"))
-    return w.join(syms.select("symbol_id", "file_id", "line_start", "line_end"), "file_id").where("n between line_start and line_end").select("symbol_id", "word").distinct()
+    w = ls.select("file_id", "n", F.array_distinct(F.regexp_extract_all("line", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("words")).where("size(words) > 0")
+    return around(w, syms.select("symbol_id", "file_id", "line_start", "line_end")).select("symbol_id", F.explode("words").alias("word")).distinct()
 
 
 def import_lines(ls: DataFrame) -> DataFrame:
@@ -72,21 +83,17 @@ def import_lines(ls: DataFrame) -> DataFrame:
     return ls.where(py | ts).select("repo", "file_id", "n", F.when(py, F.regexp_extract("line", PY_FROM, 1)).otherwise(F.regexp_extract("line", TS_FROM, 2)).alias("module_path"), F.transform(F.split(names, ","), F.trim).alias("names"))
 
 
-def linked_imports(files: DataFrame) -> DataFrame:
-    """(import_id, repo, file_id, module_path, is_from_import): each file imports the next of its repository by path, in one of four spellings; the texts' own imports name no file of their repository."""
-    w = Window.partitionBy("repo").orderBy("path", "ord")
-    nxt = files.select("repo", "file_id", "ord", "path", F.lead("path").over(w).alias("next")).where("next is not null")
-    bare, k = F.regexp_replace("next", r"\.[a-z]+$", ""), F.pmod("ord", F.lit(4))
-    module = F.when(k == 0, F.replace(bare, F.lit("/"), F.lit("."))).when(k == 1, F.concat(F.lit("./"), bare)).when(k == 2, F.col("next")).otherwise(bare)
-    return nxt.select(F.col("ord").alias("import_id"), "repo", "file_id", module.alias("module_path"), (k != 3).alias("is_from_import"))
+def own_imports(ls: DataFrame) -> DataFrame:
+    """(import_id, repo, file_id, module_path, is_from_import): the texts' own imports, as relations.imports takes them."""
+    return import_lines(ls).select(F.concat_ws(":", "file_id", F.col("n").cast("string")).alias("import_id"), "repo", "file_id", "module_path", F.lit(True).alias("is_from_import"))
 
 
-def call_sites(ls: DataFrame, syms: DataFrame) -> DataFrame:
-    """(repo, caller, callee, line): names before an opening parenthesis, with the innermost symbol whose lines hold them."""
-    c = ls.select("repo", "file_id", "n", F.explode(F.regexp_extract_all("line", F.lit(CALL), F.lit(1))).alias("callee"))
-    s = syms.select("file_id", "name", "line_start", "line_end")
-    inner = c.select("file_id", "n").distinct().join(s, "file_id").where("n between line_start and line_end").groupBy("file_id", "n").agg(F.max_by("name", "line_start").alias("caller"))
-    return c.join(inner, ["file_id", "n"]).select("repo", "caller", "callee", F.col("n").alias("line"))
+def call_sites(ls: DataFrame) -> DataFrame:
+    """(repo, caller, callee, line): names before an opening parenthesis, with the innermost symbol whose lines hold them. That is the one of the last definition so far, so one pass over a file's lines finds it."""
+    c = ls.select("repo", "file_id", "n", F.nullif(F.regexp_extract("line", DEFINITION, 2), F.lit("")).alias("name"), F.regexp_extract_all("line", F.lit(CALL), F.lit(1)).alias("callees")).where("name is not null or size(callees) > 0")
+    w = Window.partitionBy("file_id").orderBy("n")
+    inner = c.withColumn("caller", F.last("name", ignorenulls=True).over(w)).where("caller is not null")
+    return inner.select("repo", "caller", F.explode("callees").alias("callee"), F.col("n").alias("line"))
 
 
 def stored_files(spark: SparkSession, folder: str) -> DataFrame:

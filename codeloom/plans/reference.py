@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators import conventions, files, glossary, relations, retrieval, risks, search, summaries
+from codeloom.functions.keys import norm_id
+from codeloom.lineage import cut
 from codeloom.operators.profiles import DEFAULTS
 from codeloom.parse import extract
 from codeloom.plans import lens
@@ -16,20 +18,20 @@ REVIEW, DEV, DOC = DEFAULTS["review-agent"], DEFAULTS["dev-agent"], DEFAULTS["do
 
 
 class Knowledge:
-    """The lens tables of one folder, each planned once."""
+    """The lens tables of one folder. Shared: written once for a query that reads them often."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self.files = lens.content_files(spark, folder)
+    def __init__(self, spark: SparkSession, folder: str, shared: bool = False):
+        keep = cut if shared else lambda df: df
+        self.files = keep(lens.content_files(spark, folder))
         self.sources = lens.source_files(self.files)
         self.lines = lens.lines(self.sources)
-        self.symbols = lens.symbols(self.lines)
+        self.symbols = keep(lens.symbols(self.lines))
 
     def imports(self) -> DataFrame:
-        return relations.imports(lens.linked_imports(self.files), self.files)
+        return relations.imports(lens.own_imports(self.lines), self.files)
 
     def calls(self) -> DataFrame:
-        return relations.calls(lens.call_sites(self.lines, self.symbols), self.symbols)
+        return relations.calls(lens.call_sites(self.lines), self.symbols)
 
     def uses(self) -> DataFrame:
         names = lens.import_lines(self.lines).select("file_id", F.explode("names").alias("name"))
@@ -46,8 +48,8 @@ class Knowledge:
         return conventions.detect(self.files, self.symbols)
 
 
-def _lens(f):
-    return lambda spark, folder: f(Knowledge(spark, folder))
+def _lens(f, shared: bool = False):
+    return lambda spark, folder: f(Knowledge(spark, folder, shared))
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,6 +86,19 @@ def _all_relations(k: Knowledge) -> DataFrame:
     return relations.all_relations(parts).groupBy("family_ord", "relation_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
+def _import_resolution(k: Knowledge) -> DataFrame:
+    """Imports of a repository, the modules they name, and how many name one of its files."""
+    own = lens.own_imports(k.lines).groupBy("repo").agg(F.count("*").alias("n_imports"), F.countDistinct("module_path").alias("n_modules"))
+    hits = k.imports().join(k.files.select(F.col("file_id").alias("source_id"), "repo"), "source_id").groupBy("repo").agg(F.count("*").alias("n_resolved"))
+    return own.join(hits, "repo", "left").select("repo", "n_imports", "n_modules", F.coalesce("n_resolved", F.lit(0)).alias("n_resolved"))
+
+
+def _stored_imports(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored relations of type imports, as edges with evidence."""
+    r = table(spark, folder, "relations").where("relation_type = 'imports'").select(norm_id("source_id").alias("source_id"), norm_id("target_id").alias("target_id"), F.coalesce("evidence", F.lit("")).alias("evidence"))
+    return r.where("source_id is not null and target_id is not null")
+
+
 def _change_sets(f: DataFrame) -> DataFrame:
     c = f.where("ord % 100 < 2")
     return c.select(F.floor(F.col("ord") / 100).cast("bigint").alias("target"), "path", F.col("ord").alias("place"))
@@ -98,7 +113,7 @@ def _module_targets(f: DataFrame) -> DataFrame:
 
 
 def _semantic(spark: SparkSession, folder: str) -> DataFrame:
-    k = Knowledge(spark, folder)
+    k = Knowledge(spark, folder, shared=True)
     docs = k.files.select(F.col("file_id").alias("id"), F.col("content").alias("text"))
     return retrieval.semantic_items(search.search(docs, QUERY, 10), k.risks(), k.conventions(), QUERY, REVIEW)
 
@@ -117,7 +132,7 @@ def _graph(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "semantic_topk": lambda s, d: search.search(_docs(s, d), QUERY, 10),
-    "semantic_topk_filtered": lambda s, d: search.search(table(s, d, "documents").where("text is not null and lang = 'en'").select(F.col("doc_id").alias("id"), "text"), QUERY, 10),
+    "semantic_topk_filtered": lambda s, d: search.search(_docs(s, d), QUERY, 10, table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))),
     "tokenize_counts": lambda s, d: search.term_counts(_docs(s, d)).groupBy("id").agg(F.sum("tf").alias("n_tokens"), F.count("*").alias("n_terms")),
     "idf_table": lambda s, d: search.idf_table(search.term_counts(_docs(s, d)), _docs(s, d).count()).select("term", "df", F.round("idf", 6).alias("idf")),
     "doc_norms": lambda s, d: search.norms(search.term_counts(_docs(s, d)), search.idf_table(search.term_counts(_docs(s, d)), _docs(s, d).count())).select("id", F.round("norm", 4).alias("norm")),
@@ -130,14 +145,15 @@ QUERIES = {
     "line_symbols": _lens(lambda k: k.symbols.select("symbol_id", "file_id", "name", "kind", "line_start", "line_end")),
     "contains_edges": _lens(lambda k: relations.contains(k.members(), k.symbols)),
     "import_edges": _lens(lambda k: k.imports()),
-    "depends_on_edges": _lens(lambda k: relations.depends_on(k.imports())),
+    "depends_on_edges": lambda s, d: relations.depends_on(_stored_imports(s, d)),
     "call_edges": _lens(lambda k: k.calls()),
     "uses_edges": _lens(lambda k: k.uses()),
     "uses_parser": lambda s, d: relations.parser_usages(
         table(s, d, "parsed_symbols").where("return_type is not null").select(F.col("file_id").alias("repo"), F.col("name").alias("source_symbol"), F.element_at(F.split(F.try_element_at("children", F.lit(1)), r"\."), -1).alias("target_name")),
         table(s, d, "parsed_symbols").select(F.col("file_id").alias("repo"), "name", F.concat_ws(":", "file_id", "path").alias("symbol_id"), "ord"),
     ),
-    "relation_families": _lens(_all_relations),
+    "relation_families": _lens(_all_relations, shared=True),
+    "import_resolution": _lens(_import_resolution),
     "risk_areas": _lens(lambda k: k.risks()),
     "risk_severity_counts": _lens(lambda k: k.risks().groupBy("category", "severity").agg(F.count("*").alias("n_areas"), F.sum("n_matches").alias("n_matches"))),
     "conventions": _lens(lambda k: k.conventions()),
@@ -196,13 +212,13 @@ lsall as (select repo, file_id, file_ord, len(l) n_lines, unnest(range(1, len(l)
 ls as (select * from lsall where language in ('python', 'typescript', 'javascript', 'c_sharp')),
 sy0 as (select *, regexp_extract(line, '{_DEF}', 1) w, regexp_extract(line, '{_DEF}', 2) name from ls where regexp_matches(line, '{_DEF}')),
 sy1 as (select *, case when w in ('def', 'function') then case when regexp_matches(line, '^\s') then 'method' else 'function' end else w end kind from sy0),
-sy as (select left(sha256(repo || ':' || file_id || ':' || name || ':' || n), 16) symbol_id, repo, file_id, name, kind || '.' || name as path, kind, n line_start, least(n + {lens.SPAN}, n_lines) line_end, file_ord * 1000000 + n ord from sy1)
+sy2 as (select *, length(regexp_extract(line, '^\s*')) ind from sy1),
+sy as (select left(sha256(repo || ':' || file_id || ':' || name || ':' || n), 16) symbol_id, repo, file_id, name, kind || '.' || name as path, kind, n line_start, coalesce((select min(t.n) from sy2 t where t.file_id = s.file_id and t.n > s.n and t.ind <= s.ind) - 1, n_lines) line_end, file_ord * 4294967296 + n ord from sy2 s)
 """
 _C = "with " + _CONTENT
 _MEMBERS = f", mm as (select left(sha256(repo || ':module:' || {_MODULE}), 16) module_id, repo, {_MODULE} as name, {_MODULE} || '/' path_pattern, file_id, ord from cf)"
-_IMPORTS = r""", li0 as (select repo, file_id, ord, path, lead(path) over (partition by repo order by path, ord) nxt from cf),
-li as (select *, regexp_replace(nxt, '\.[a-z]+$', '') bare, ord % 4 k from li0 where nxt is not null),
-im as (select ord import_id, repo, file_id, case k when 0 then replace(bare, '/', '.') when 1 then './' || bare when 2 then nxt else bare end m, k <> 3 is_from from li),
+_PY_FROM, _TS_FROM = lens.PY_FROM, lens.TS_FROM.replace("'", "''")
+_IMPORTS = rf""", im as (select file_id || ':' || n import_id, repo, file_id, case when regexp_matches(line, '{_PY_FROM}') then regexp_extract(line, '{_PY_FROM}', 1) else regexp_extract(line, '{_TS_FROM}', 2) end m, true is_from from ls where regexp_matches(line, '{_PY_FROM}') or regexp_matches(line, '{_TS_FROM}')),
 ca0 as (select *, replace(m, '.', '/') d, regexp_replace(m, '^[./]+', '') b from im),
 ca1 as (select *, case when is_from then [d || '.py', d || '/__init__.py', d || '.ts', d || '.tsx', m || '.py', m || '.ts', b, b || '.ts', b || '.tsx'] else [d || '.py', d || '/__init__.py', d || '.ts', d || '.cs', b] end c from ca0),
 ca as (select import_id, repo, file_id, m, unnest(range(0, len(c))) pos, unnest(c) path from ca1),
@@ -273,12 +289,12 @@ idf as (select term, count(*) df, ln(((select count(*) from dc) + 1)::double / (
 nm as (select id, sqrt(sum(pow(tf * idf, 2))) norm from tf join idf using (term) group by all)"""
 
 
-def _top(source: str, query: str = QUERY) -> str:
+def _top(source: str, query: str = QUERY, kept: str = "") -> str:
     words = search.query_tokens(query)
     q = " union all ".join(f"select '{w}' term, {words.count(w)} n" for w in dict.fromkeys(words))
     return _tf(source) + f""",
 qv as (select term, n * idf w, idf from ({q}) join idf using (term)),
-sc as (select id, round(sum(tf * idf * w) / (any_value(norm) * (select sqrt(sum(w * w)) from qv)), 6) score from tf join qv using (term) join nm using (id) group by id),
+sc as (select id, round(sum(tf * idf * w) / (any_value(norm) * (select sqrt(sum(w * w)) from qv)), 6) score from tf join qv using (term) join nm using (id) {kept} group by id),
 tp as (select id, score, row_number() over (order by score desc, id) rank from sc where score > 0 qualify rank <= 10)"""
 
 
@@ -310,7 +326,7 @@ it as (select file_id target, 'File' entity_type, file_id entity_id, 1.0 relevan
 
 SQL = {
     "semantic_topk": f"with {_top(_DOCS)} select * from tp",
-    "semantic_topk_filtered": f"""with {_top(_DOCS + " and lang = 'en'")} select * from tp""",
+    "semantic_topk_filtered": f"""with {_top(_DOCS, kept="where id in (select doc_id from documents where lang = 'en')")} select * from tp""",
     "tokenize_counts": f"with {_tf(_DOCS)} select id, sum(tf)::bigint n_tokens, count(*) n_terms from tf group by id",
     "idf_table": f"with {_tf(_DOCS)} select term, df, round(idf, 6) idf from idf",
     "doc_norms": f"with {_tf(_DOCS)} select id, round(norm, 4) norm from nm",
@@ -328,7 +344,8 @@ select repo, case when len(list_filter(p[:-2], lambda x: regexp_matches(x, '^(no
     "line_symbols": f"{_C} select symbol_id, file_id, name, kind, line_start::int line_start, line_end::int line_end from sy",
     "contains_edges": f"{_C}{_MEMBERS} select module_id source_id, file_id target_id, 'contains' relation_type, 1.0::double confidence, name evidence from mm union all select file_id, symbol_id, 'contains', 1.0, name from sy",
     "import_edges": f"{_C}{_IMPORTS} select * from ie",
-    "depends_on_edges": f"{_C}{_IMPORTS} select source_id, target_id, 'depends_on' relation_type, 0.8::double confidence, min(evidence) evidence from ie group by source_id, target_id",
+    "depends_on_edges": f"select {_ID('source_id')} source_id, {_ID('target_id')} target_id, 'depends_on' relation_type, 0.8::double confidence, min(coalesce(evidence, '')) evidence from relations where relation_type = 'imports' and {_ID('source_id')} is not null and {_ID('target_id')} is not null group by 1, 2",
+    "import_resolution": f"{_C}{_IMPORTS} select repo, n_imports, n_modules, coalesce(n_resolved, 0) n_resolved from (select repo, count(*) n_imports, count(distinct m) n_modules from im group by 1) left join (select c.repo, count(*) n_resolved from ie join cf c on c.file_id = ie.source_id group by 1) using (repo)",
     "call_edges": f"{_C}{_CALLS} select * from ce",
     "uses_edges": f"{_C}{_USES} select * from us",
     "uses_parser": """with ps as (select file_id repo, name, file_id || ':' || path symbol_id, ord from parsed_symbols), fn as (select repo, name, arg_min(symbol_id, ord) symbol_id from ps group by all),
