@@ -1,4 +1,4 @@
-"""codeloom ingest | list | show | context | profiles | version"""
+"""codeloom ingest | list | show | query | context | profiles | version"""
 
 from __future__ import annotations
 
@@ -8,25 +8,51 @@ from datetime import UTC, datetime
 from pyspark.sql import functions as F
 
 import codeloom
-from codeloom.functions.keys import short_sha
-from codeloom.operators import files, profiles, render, retrieval
-from codeloom.parse import extract
+from codeloom import ingest as ingestion
+from codeloom.lineage import clear, cut
+from codeloom.operators import files, profiles, render, retrieval, search
 from codeloom.session import local_session
 from codeloom.sources.scan import scan_repository
 from codeloom.sources.store import Store
 
 
 def ingest(spark, store: Store, root: str, repo: str) -> str:
-    """Scans a folder and writes its files, symbols, modules and imports as one snapshot; gives the snapshot's id."""
-    scanned = scan_repository(spark, root, repo).where("skip_reason is null").persist()
-    parsed = extract.extract(scanned).persist()
-    symbols = extract.symbol_rows(parsed).withColumn("symbol_id", short_sha(16, F.lit(repo), "file_id", "path", "hash")).withColumn("ord", F.xxhash64("symbol_id"))
-    row = scanned.agg(F.sha2(F.array_join(F.array_sort(F.collect_set("hash")), ""), 256).alias("h")).first()
-    snapshot = (row["h"] or "")[:16]
-    store.write(repo, snapshot, {"files": scanned.drop("repo", "content"), "symbols": symbols, "modules": files.module_members(scanned).drop("repo"), "imports": extract.import_rows(parsed)}, datetime.now(UTC).strftime("%Y-%m-%d"))
+    """Scans a folder and writes all that is known of it as one snapshot; gives the snapshot's id."""
+    scanned = cut(scan_repository(spark, root, repo).where("skip_reason is null"))
+    snapshot = ingestion.snapshot_key(scanned)
+    store.write(repo, snapshot, ingestion.build(scanned), datetime.now(UTC).strftime("%Y-%m-%d"))
+    clear(spark)
     return snapshot
 
 
+def query(store: Store, repo: str, kind: str, targets: list[str], profile: profiles.Profile, top_k: int = 10):
+    """(ranked items, relations or None) for a file's path, a symbol's name or id, a module's name, changed paths or words to search for."""
+    spark, read = store.spark, lambda name: store.read(name, repo)
+    f, s, r = read("files"), read("symbols"), read("relations")
+    asked = spark.createDataFrame([(x, k) for k, x in enumerate(targets)], "target string, place long")
+    if kind == "file":
+        ids = f.join(asked.withColumnRenamed("target", "path"), "path").select(F.col("file_id").alias("target"))
+        return retrieval.file_context(f, s, r, ids, profile), retrieval.relations_of(r, ids, profile)
+    if kind == "symbol":
+        return retrieval.symbol_context(f, s, asked, profile), None
+    if kind == "module":
+        return retrieval.module_context(read("modules"), s, asked, profile), None
+    if kind == "changes":
+        changes = asked.select(F.lit("change").alias("target"), F.col("target").alias("path"), "place")
+        return retrieval.change_context(f, s, r, changes, profile), None
+    words = " ".join(targets)
+    hits = search.search_index(read("postings"), read("idf"), read("norms"), words, top_k).join(read("entities"), "id")
+    return retrieval.semantic_items(hits, read("risks"), read("conventions"), words, profile), None
+
+
+def show(store: Store, repo: str) -> str:
+    """Counts, modules and entry points of the latest snapshot."""
+    f = store.read("files", repo).withColumn("repo", F.lit(repo))
+    out = [store.metadata(repo)]
+    out += [f"{m['name']}: {m['n_files']} files, entry points: {', '.join(m['entrypoints']) or 'none'}" for m in files.module_entrypoints(f).orderBy("name").toLocalIterator()]
+    return "\n".join(out)
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="codeloom")
     p.add_argument("--store", default="codeloom-store")
@@ -35,12 +61,15 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("root")
     a.add_argument("--repo", required=True)
     sub.add_parser("list")
-    for name in ("show", "context"):
+    for name in ("show", "context", "query"):
         a = sub.add_parser(name)
         a.add_argument("--repo", required=True)
-        if name == "context":
-            a.add_argument("paths", nargs="+")
+        if name == "query":
+            a.add_argument("kind", choices=("file", "symbol", "module", "changes", "semantic"))
+        if name != "show":
+            a.add_argument("targets", nargs="+")
             a.add_argument("--profile", default="review-agent", choices=sorted(profiles.DEFAULTS))
+            a.add_argument("--top-k", type=int, default=10)
     sub.add_parser("profiles")
     sub.add_parser("version")
     args = p.parse_args(argv)
@@ -55,12 +84,9 @@ def main(argv: list[str] | None = None) -> None:
     elif args.what == "list":
         store.manifest().show(truncate=False)
     elif args.what == "show":
-        print(store.metadata(args.repo))
+        print(show(store, args.repo))
     else:
-        f, s = store.read("files", args.repo), store.read("symbols", args.repo)
-        changes = spark.createDataFrame([("change", x, k) for k, x in enumerate(args.paths)], "target string, path string, place long")
-        none = spark.createDataFrame([], "source_id string, target_id string, relation_type string, ord long")
-        print(render.bundle(retrieval.change_context(f, s, none, changes, profiles.DEFAULTS[args.profile])))
+        print(render.bundle(*query(store, args.repo, getattr(args, "kind", "changes"), args.targets, profiles.DEFAULTS[args.profile], args.top_k)))
 
 
 if __name__ == "__main__":

@@ -65,12 +65,12 @@ def skip_regex(patterns: list[str] | None = None) -> str:
     return "^(?:" + "|".join(f"(?:{fnmatch.translate(p)})" for p in (patterns or SKIP_PATTERNS)) + ")"
 
 
-def skip_reason(path: Column, size: Column, has_nul: Column, patterns: list[str] | None = None) -> Column:
+def skip_reason(path: Column, size: Column, has_nul: Column, patterns: list[str] | None = None, max_size: int = MAX_FILE_SIZE) -> Column:
     """directory, name, size or binary; null for files that a scan keeps. The cheap checks come first."""
     rx = skip_regex(patterns)
     parts = F.split(path, "/")
     in_dir = F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: s.rlike(rx))
-    return F.when(in_dir, "directory").when(base_name(path).rlike(rx), "name").when(size > MAX_FILE_SIZE, "size").when(has_nul, "binary")
+    return F.when(in_dir, "directory").when(base_name(path).rlike(rx), "name").when(size > max_size, "size").when(has_nul, "binary")
 
 
 def file_rows(files: DataFrame) -> DataFrame:
@@ -103,6 +103,15 @@ def modules(files: DataFrame, shown: int = 15) -> DataFrame:
     return counts.join(lists, "module_id")
 
 
+def module_entrypoints(files: DataFrame, shown: int = 5) -> DataFrame:
+    """(module_id, repo, name, n_files, n_entrypoints, entrypoints): files and entry points of each module, the first entry points by ord."""
+    m = module_members(files).join(files.select("file_id", "path", "is_entrypoint"), "file_id")
+    counts = m.groupBy("module_id", "repo", "name").agg(F.count("*").alias("n_files"), F.count_if("is_entrypoint").alias("n_entrypoints"))
+    first = m.where("is_entrypoint").withColumn("k", F.row_number().over(Window.partitionBy("module_id").orderBy("ord"))).where(F.col("k") <= shown)
+    lists = first.groupBy("module_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda s: s["path"]).alias("entrypoints"))
+    return counts.join(lists, "module_id", "left").withColumn("entrypoints", F.coalesce("entrypoints", F.array().cast("array<string>")))
+
+
 def histogram(df: DataFrame, by: list[str], column: Column, k: int | None = None) -> DataFrame:
     """Counts of a column's values within groups, the k most frequent where k is given (ties by value)."""
     g = df.groupBy(*by, column.alias("value")).agg(F.count("*").alias("n"))

@@ -107,6 +107,12 @@ def relations_of(relations: DataFrame, targets: DataFrame, profile: Profile) ->
     return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= profile.max_items)
 
 
+def relation_totals(relations: DataFrame, targets: DataFrame, profile: Profile) -> DataFrame:
+    """(target, total_relations): the relations at either end of each target, before any cut; targets without one have 0."""
+    n = touching(relations, targets, list(profile.preferred_relations)).groupBy("target").agg(F.count("*").alias("n"))
+    return targets.select("target").distinct().join(n, "target", "left").select("target", F.coalesce("n", F.lit(0)).alias("total_relations"))
+
+
 def totals(ranked: DataFrame) -> DataFrame:
     """Numbers of items by type, after the cut."""
     c = lambda k: F.count_if(F.col("entity_type") == k)
@@ -115,7 +121,8 @@ def totals(ranked: DataFrame) -> DataFrame:
 
 def semantic_items(hits: DataFrame, risks: DataFrame, conventions: DataFrame, query: str, profile: Profile) -> DataFrame:
     """hits (id, score, rank) of a search as items, with conventions (0.5) and risks (0.6 where high, else 0.3) if the profile wants them, ranked together."""
-    parts = [hits.select(F.lit(query).alias("target"), F.lit("File").alias("entity_type"), F.col("id").alias("entity_id"), F.col("score").alias("relevance_score"), F.lit(f"Semantic match for '{query}'").alias("reason"), F.struct(F.lit(0).alias("stage"), F.col("rank").cast("bigint").alias("ord"), F.col("id").alias("id")).alias("emit_ord"))]
+    kind = F.col("entity_type") if "entity_type" in hits.columns else F.lit("File")
+    parts = [hits.select(F.lit(query).alias("target"), kind.alias("entity_type"), F.col("id").alias("entity_id"), F.col("score").alias("relevance_score"), F.lit(f"Semantic match for '{query}'").alias("reason"), F.struct(F.lit(0).alias("stage"), F.col("rank").cast("bigint").alias("ord"), F.col("id").alias("id")).alias("emit_ord"))]
     if profile.include_conventions:
         parts.append(conventions.select(F.lit(query).alias("target"), F.lit("Convention").alias("entity_type"), F.col("convention_id").alias("entity_id"), F.lit(0.5).alias("relevance_score"), F.lit("Detected convention").alias("reason"), F.struct(F.lit(1).alias("stage"), F.lit(0).cast("bigint").alias("ord"), F.col("convention_id").alias("id")).alias("emit_ord")))
     if profile.include_risks:

@@ -139,6 +139,7 @@ QUERIES = {
     "scan_file_rows": lambda s, d: files.file_rows(lens.file_row_input(s, d)),
     "scan_skip_filters": _scan_skips,
     "module_groups": _lens(lambda k: files.modules(k.files)),
+    "module_entrypoints": _lens(lambda k: files.module_entrypoints(k.files)),
     "snapshot_counts": _lens(_snapshot_counts),
     "ext_histogram": _lens(lambda k: files.histogram(k.files, ["repo"], F.regexp_extract("path", r"\.([^./]*)$", 1), 5)),
     "kind_histogram": lambda s, d: files.histogram(table(s, d, "symbols"), [], F.col("kind"), None),
@@ -165,6 +166,8 @@ QUERIES = {
     "glossary_caps": _lens(lambda k: glossary.caps(k.files)),
     "glossary_pascal": _lens(lambda k: glossary.pascal(k.symbols)),
     "glossary_paths": _lens(lambda k: glossary.paths(k.files)),
+    "glossary_entries": _lens(lambda k: glossary.entries(k.files, k.symbols)),
+    "glossary_lookup": _lens(lambda k: glossary.lookup(glossary.entries(k.files, k.symbols), k.files.select(F.element_at(F.split("path", "/"), 2).alias("term")))),
     "lexicon_hits": _lens(lambda k: glossary.lexicon_hits(k.files, k.files.select(F.element_at(F.split("path", "/"), 2).alias("keyword")).where("keyword rlike '^[a-z]{3,}$'").distinct())),
     "file_context": _stored(lambda f, s, r: retrieval.file_context(f, s, r, _every(f, "file_id"), REVIEW)),
     "file_context_dev": _stored(lambda f, s, r: retrieval.file_context(f, s, r, _every(f, "file_id"), DEV)),
@@ -173,6 +176,7 @@ QUERIES = {
     "change_context": _stored(lambda f, s, r: retrieval.change_context(f, s, r, _change_sets(f), REVIEW)),
     "context_totals": _stored(lambda f, s, r: retrieval.totals(retrieval.file_context(f, s, r, _every(f, "file_id"), REVIEW))),
     "context_relations": _stored(lambda f, s, r: retrieval.relations_of(r, _every(f, "file_id"), REVIEW).select("target", "source_id", "relation_type", "target_id", "rank")),
+    "context_relation_totals": _stored(lambda f, s, r: retrieval.relation_totals(r, _every(f, "file_id"), REVIEW)),
     "semantic_context": _semantic,
     "neighbour_expand": _stored(_neighbours),
     "neighbour_graph": _graph,
@@ -247,6 +251,22 @@ ra as (select left(sha256(category || ':' || file_id || ':' || f), 16) risk_id,
   from rg join cf using (file_id))"""
 
 
+_GLOSSARY = rf""", wk0 as (select repo, ord, path, regexp_extract_all(content, '[\pL\pN\pM_]+') w from cf), wk as (select repo, ord, path, unnest(range(len(w))) pos, unnest(w) term from wk0),
+ak as (select * from wk where regexp_full_match(term, '[A-Z]{{2,}}(?:_[A-Z]+)*') and split_part(term, '_', 1) not in {_in(glossary.ACRONYMS + glossary.NOISE)}),
+ag as (select * from (select repo, term, count(*) n, min(ord) "first" from ak group by all) qualify row_number() over (partition by repo order by n desc, "first", term) <= 20 and n >= 2),
+ac as (select repo, term, list(path order by ord, pos)[:3] contexts from ak semi join ag using (repo, term) group by all),
+bk as (select repo, ord, unnest(regexp_extract_all(name, '[A-Z][a-z]+')) term from sy),
+bg as (select * from (select repo, term, count(*) n, min(ord) "first" from bk where length(term) > 3 group by all) qualify row_number() over (partition by repo order by n desc, "first", term) <= 15 and n >= 3),
+ck0 as (select repo, ord, unnest(string_split(path, '/')) part from cf), ck as (select repo, ord, lower({_STEM('part')}) term from ck0 where part not in {_in(glossary.COMMON_SEGMENTS)}),
+cg as (select * from (select repo, term, count(*) n, min(ord) "first" from ck where length(term) > 3 group by all) qualify row_number() over (partition by repo order by n desc, "first", term) <= 10 and n >= 2),
+bx as (select * from bg anti join ag using (repo, term)), cx as (select * from cg anti join ag using (repo, term) anti join bx using (repo, term)),
+gu as (
+  select repo, term, 'Acronym/constant used in ' || len(contexts) || ' files' definition, 'acronym' category, contexts, 0.6::double confidence from ag join ac using (repo, term)
+  union all select repo, term, 'Domain concept (found in ' || n || ' symbols)', 'domain', [], 0.5 from bx
+  union all select repo, array_to_string(list_transform(string_split(translate(term, '_-', '  '), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' '), 'Module/directory concept (in ' || n || ' paths)', 'domain', [], 0.4 from cx),
+ge as (select repo, left(sha256(term || ':' || category), 12) glossary_id, term, definition, category, contexts, confidence, 'heuristic' source from gu)"""
+
+
 def _conv(parts: tuple[str, str], kind: str, name: str, confidence: str, hits: str, frm: str, having: str) -> str:
     return f"select repo, left(sha256('{parts[0]}:{parts[1]}'), 16) convention_id, '{kind}' convention_type, '{name}' as name, round({confidence}, 6)::double confidence, ({hits})::bigint n_hits from {frm} group by repo having {having}"
 
@@ -370,6 +390,10 @@ select symbol_id, concat_ws('. ', upper(kind[1]) || kind[2:] || ' ''' || name ||
     "glossary_paths": f"{_C}, pt as (select repo, ord, unnest(string_split(path, '/')) part from cf), oc as (select repo, ord, lower({_STEM('part')}) term from pt where part not in {_in(glossary.COMMON_SEGMENTS)}), og as (select repo, term, count(*) n, min(ord) \"first\" from oc where length(term) > 3 group by all) select *, row_number() over (partition by repo order by n desc, \"first\", term) rank from og qualify rank <= 10 and n >= 2",
     "glossary_caps": rf"""{_C}, ok as (select * from (select repo, ord, unnest(regexp_extract_all(content, '[\pL\pN\pM_]+')) term from cf) where regexp_full_match(term, '[A-Z]{{2,}}(?:_[A-Z]+)*')),
 oh as (select * from ok where split_part(term, '_', 1) not in {_in(glossary.ACRONYMS + glossary.NOISE)}), og as (select repo, term, count(*) n, min(ord) "first" from oh group by all) select *, row_number() over (partition by repo order by n desc, "first", term) rank from og qualify rank <= 20 and n >= 2""",
+    "glossary_entries": f"{_C}{_GLOSSARY} select * from ge",
+    "glossary_lookup": f"{_C}{_GLOSSARY} select * from ge where lower(term) in (select lower(split_part(path, '/', 2)) from cf where split_part(path, '/', 2) <> '')",
+    "module_entrypoints": f"{_C}{_MEMBERS} select module_id, mm.repo, name, count(*) n_files, count(*) filter (is_entrypoint) n_entrypoints, coalesce(list(path order by mm.ord) filter (is_entrypoint), [])[:5] entrypoints from mm join cf using (file_id) group by module_id, mm.repo, name",
+    "context_relation_totals": f"{_STORED}, t as (select file_id target from sf where ord % 100 = 0) select target, count(r.ord) total_relations from t left join sr r on (r.source_id = t.target or r.target_id = t.target) and relation_type in {_in(REVIEW.preferred_relations)} group by target",
     "lexicon_hits": f"{_C}, lx as (select distinct split_part(path, '/', 2) keyword from cf where regexp_full_match(split_part(path, '/', 2), '[a-z]{{3,}}')), wd as (select file_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) keyword from cf) select file_id, keyword, count(*) n from wd join lx using (keyword) group by all",
     "file_context": _file_context(REVIEW) + _ranked(REVIEW),
     "file_context_dev": _file_context(DEV) + _ranked(DEV),

@@ -56,13 +56,17 @@ class Store:
 
     def export_json(self, repo_id: str, snapshot_id: str, folder: str) -> None:
         """One folder of JSON lines a table, nulls kept, written by the executors."""
-        for name in self.manifest().where((F.col("repo_id") == repo_id) & (F.col("snapshot_id") == snapshot_id)).first()["tables"]:
+        row = self.manifest().where((F.col("repo_id") == repo_id) & (F.col("snapshot_id") == snapshot_id)).first()
+        if row is None:
+            raise KeyError(f"no snapshot {snapshot_id} of {repo_id}")
+        for name in row["tables"]:
             self.read(name, repo_id, snapshot_id).write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/{name}")
 
     def metadata(self, repo_id: str) -> str:
         """A small JSON text about the latest snapshot: names and row counts."""
         snap = self.latest(repo_id)
-        names = self.manifest().where(F.col("snapshot_id") == snap).first()["tables"] if snap else []
+        row = self.manifest().where((F.col("repo_id") == repo_id) & (F.col("snapshot_id") == snap)).first() if snap else None
+        names = row["tables"] if row else []
         return json.dumps({"repo_id": repo_id, "snapshot_id": snap, "counts": {n: self.read(n, repo_id, snap).count() for n in names}}, indent=2, sort_keys=True)
 
 

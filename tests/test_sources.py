@@ -12,11 +12,14 @@ from codeloom.streaming import incremental
 def test_scan(spark, tmp_path):
     (tmp_path / "src/node_modules").mkdir(parents=True)
     (tmp_path / "tests").mkdir()
-    for name, data in {"src/app.py": b"x = 1\r\ny = 2\r\n", "src/node_modules/a.js": b"1", "src/bin": b"1", "src/my.env": b"A=1", "nul.py": b"a\0b", "edge.py": b"a" * 8191 + b"\0", "late.py": b"a" * 8192 + b"\0", "bad.py": b"\xff\xfe", "big.py": b"a" * (1024 * 1024 + 1), "fits.py": b"a" * 1024 * 1024, "tests/t.ts": b"\xef\xbb\xbf"}.items():
+    for name, data in {"src/app.py": b"x = 1\r\ny = 2\r\n", "src/node_modules/a.js": b"1", "src/bin": b"1", "src/my.env": b"A=1", "nul.py": b"a\0b", "edge.py": b"a" * 8191 + b"\0", "late.py": b"a" * 8192 + b"\0", "bad.py": b"\xff\xfe", "big.py": b"a" * (1024 * 1024 + 1), "fits.py": b"a" * 1024 * 1024, "tests/t.ts": b"\xef\xbb\xbf", "src/__init__.py": b"", ".env": b"A=1"}.items():
         (tmp_path / name).write_bytes(data)
     rows = {r.path: r for r in scan_repository(spark, str(tmp_path), "r").collect()}
     assert {p: r.skip_reason for p, r in rows.items() if r.skip_reason} == {"src/node_modules/a.js": "directory", "src/bin": "name", "nul.py": "binary", "edge.py": "binary", "big.py": "size"}
     assert rows["src/app.py"].content == "x = 1\ny = 2\n" and rows["src/app.py"].is_entrypoint and rows["tests/t.ts"].is_test
+    assert rows["src/__init__.py"].content == "" and rows["src/__init__.py"].size == 0 and rows[".env"].is_config
+    assert [p for p, r in sorted(rows.items(), key=lambda x: x[1].ord)] == sorted(rows) and rows["big.py"].hash is None
+    assert {r.path: r.skip_reason for r in scan_repository(spark, str(tmp_path), "r", max_size=10).collect()}["src/app.py"] == "size"
     assert rows["bad.py"].content == "��" and rows["tests/t.ts"].content == "\ufeff"
 
 
