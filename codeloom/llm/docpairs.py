@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import norm_id
+from codeloom.llm.grammar import grammar
 from codeloom.llm.syntax import whole
 from codeloom.parse.definitions import Lines, definitions, parse_python, python_definitions
 from codeloom.parse.lexer import lex
@@ -130,7 +131,7 @@ _TAGGED = re.compile(r"[@\\](?:param|arg|argument)\s+(?:\{[^}]*\}\s*)?\[?([\w$]+
 
 def score(doc: str, name: str, parameters: list[str] | None, base: int) -> int:
     """How well documentation fits a definition; base is what its place is worth."""
-    tags = {t for m in _TAGGED.finditer(doc) for t in m.groups() if t}
+    tags = {t for m in _TAGGED.finditer(doc) for t in m.groups() if t} if "param" in doc or "arg" in doc else set()
     own = tags & {p.lstrip("*") for p in parameters or () if p}
     return base + OWN_TAG * min(len(own), 2) - OTHER_TAG * min(len(tags) - len(own), 2) + NAMED * (name in doc)
 
@@ -221,7 +222,7 @@ def pairs_of(text: str, lang: str) -> list[tuple]:
         found = [(d, d.docstring, 0, score(d.docstring, d.name, d.parameters, NEAR)) for d in defs if d.docstring]
     else:
         lexed = lex(text, lang)
-        if lexed.error or not whole("".join([t[0] for t in lexed.tokens]), lang):
+        if lexed.error or not whole("".join([t[0] for t in lexed.tokens]), lang, grammar(lang).rich(text)):
             return []
         lines = Lines(text)
         defs = definitions(text, lang, lexed, lines)

@@ -419,7 +419,7 @@ class Grammar:
         self.contextual = CONTEXTUAL[lang]
         # roles that need one of these codes in their content, and roles that only patterns play
         of = lambda names: set(words[w] for w in names.split())
-        self.needs = {"PG": of("in") | {"="}, "PU": {","}, "BD": of("class struct interface enum record delegate namespace using"), "BW": of("case default")} if lang == "cs" else {"BW": of("case default")} if lang != "py" else {"PI": {ID} | self.contextual, "PW": of("as")}
+        self.needs = {"PG": of("in") | {"="}, "PU": {","}, "BD": of("class struct interface enum record delegate namespace using"), "BW": of("case default"), "BY": {"A"}, "BV": of("get set init add remove"), "BQ": {":"}} if lang == "cs" else {"BW": of("case default")} if lang != "py" else {"PI": {ID} | self.contextual, "PW": of("as")}
         self.rich_roles = {"cs": {"PQ", "BQ", "SQ", "BY"}, "py": {"PC", "PQ", "SQ", "BQ"}}.get(lang, set())
         self.rich_word = {"cs": regex.compile(r"\b(?:is|case|switch)\b"), "py": regex.compile(r"\bcase\b")}.get(lang)
         # codes that no target holds outside of brackets, and those that parameters and imported names begin with

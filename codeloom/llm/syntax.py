@@ -159,9 +159,9 @@ def block_map(text: str, lang: str, first: bool, size: int, rich: bool = True) -
     return maps[0]
 
 
-def whole(codes: str, lang: str) -> bool:
+def whole(codes: str, lang: str, rich: bool = True) -> bool:
     """Whether the token codes of a text are a whole module or compilation unit."""
-    reduced = grammar(lang).reduce(codes)
+    reduced = grammar(lang).reduce(codes, rich)
     return reduced is not None and ends_well(("", reduced), lang)
 
 
